@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import chat, decontam, mixing, sharding, simhash, toxicity
+from lodestone.llm import chat, decontam, fingerprints, mixing, pii, sharding, simhash, substring, tokens, toxicity
 from lodestone.llm._base import table, word_count
 
 
+#: Where the vocabulary files of public tokenizers are; None: the installed package of that name.
+TOKENIZER_PATH = None
+
+
+def op1_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.duplicated_passages(table(spark, sf_dir, "documents"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2
@@ -101,8 +110,27 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = pii.surrogates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", F.size("entities").cast("long").alias("n_entities"), "entities", "text")
+
+
+def op9_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = TOKENIZER_PATH
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("piece_bpe_32k.model")
+    counted = tokens.token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
+
+
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
+    return {k: v for k, v in globals().items() if re.match(r"op\d+_", k) and callable(v)}
 
 
 def oracle_sql() -> dict[str, str]:
