@@ -23,6 +23,8 @@ from lodestone.llm._base import ship, slices, text_bytes
 ERROR = 0.2
 #: Bytes of benchmark text that go out with one pass; more is matched in further blocks of items.
 BLOCK = 16 << 20
+#: Bit samples taken from one walk.
+PER_WALK = 6
 OUTER = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -91,18 +93,32 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return _mix(out), first
 
 
-def edit_distance(a: list, b: list, most: int) -> int:
-    """Levenshtein distance of two sequences, or most + 1 if it is above most."""
-    if abs(len(a) - len(b)) > most:
-        return most + 1
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-        if min(row) > most:
-            return most + 1
-    return row[-1] if row[-1] <= most else most + 1
+def places(a: list) -> dict:
+    """For each symbol of a the bits of its places."""
+    out: dict = {}
+    for i, x in enumerate(a):
+        out[x] = out.get(x, 0) | 1 << i
+    return out
+
+
+def edit_distance(at: dict, n: int, b: list) -> int:
+    """Levenshtein distance of a sequence of n symbols, given by its places, and b; a column of the table at a time in
+    the bits of one integer."""
+    if not n:
+        return len(b)
+    full, top = (1 << n) - 1, 1 << (n - 1)
+    up, down, score = full, 0, n
+    for x in b:
+        m = at.get(x, 0)
+        d = (((m & up) + up) ^ up) | m | down
+        hp, hn = down | ~(d | up) & full, up & d
+        if hp & top:
+            score += 1
+        elif hn & top:
+            score -= 1
+        hp = hp << 1 | 1
+        up, down = (hn << 1 | ~(d | hp)) & full, hp & d & full
+    return score
 
 
 def cgk(x: np.ndarray, seed: int, length: int) -> np.ndarray:
@@ -128,10 +144,11 @@ def repeats(words: int, most: int, samples: int, recall: float) -> int:
 class Items:
     """The items of one block, grouped by size."""
 
-    def __init__(self, ids: list[int], texts: list[bytes], recall: float = 0.99, samples: int = 2, seed: int = 3) -> None:
+    def __init__(self, ids: list[int], texts: list[bytes], recall: float = 0.99, samples: int = 4, seed: int = 3) -> None:
         h, first = word_hashes(texts)
         self.seed, self.samples = seed, samples
         self.words = [h[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
+        self.places = [places(w.tolist()) for w in self.words]
         self.ids = ids
         groups = defaultdict(list)
         for i, w in enumerate(self.words):
@@ -148,72 +165,86 @@ class Items:
             most = int(ERROR * n)
             rounds = repeats(n, most, samples, recall)
             stack = np.stack([self.words[i] for i in members])
-            tables = []
-            for r in range(rounds):
-                at = np.sort(rng.choice(3 * n, size=min(samples, 3 * n), replace=False))
-                keys = defaultdict(list)
-                for key, i in zip(self._keys(stack, r, at), members, strict=True):
-                    keys[key].append(i)
-                tables.append((at, keys))
-            self.groups.append((n, most, tables))
+            walks = []
+            for walk in range(-(-rounds // PER_WALK)):
+                embedded, tables = cgk(stack, seed + walk, 3 * n), []
+                for _ in range(min(PER_WALK, rounds - walk * PER_WALK)):
+                    at = np.sort(rng.choice(3 * n, size=min(samples, 3 * n), replace=False))
+                    keys = defaultdict(list)
+                    for key, i in zip(self._key(embedded, at).tolist(), members, strict=True):
+                        keys[key].append(i)
+                    tables.append((at, keys, np.array(sorted(keys), dtype=np.uint64)))
+                walks.append(tables)
+            self.groups.append((n, most, walks, np.isin(self.pairs, np.concatenate([self._pairs(self.words[i]) for i in members]))))
 
     @staticmethod
     def _pairs(w: np.ndarray) -> np.ndarray:
         return _mix(w[:-1] * _MULT + w[1:]) if len(w) > 1 else np.empty(0, np.uint64)
 
-    def _keys(self, x: np.ndarray, r: int, at: np.ndarray) -> list[int]:
-        e = cgk(x, self.seed + r, int(at[-1]) + 1)
-        key = np.zeros(len(x), dtype=np.uint64)
+    @staticmethod
+    def _key(embedded: np.ndarray, at: np.ndarray) -> np.ndarray:
+        key = np.zeros(len(embedded), dtype=np.uint64)
         for j in at:
-            key = _mix(key * _MULT + e[:, j])
-        return key.tolist()
+            key = _mix(key * _MULT + embedded[:, j])
+        return key
+
+    def _candidates(self, x: np.ndarray, walks: list) -> dict[int, set[int]]:
+        """Items by row of x (windows of words) that share a bit sample with it."""
+        found = defaultdict(set)
+        for w, tables in enumerate(walks):
+            embedded = cgk(x, self.seed + w, 3 * x.shape[1])
+            for at, keys, known in tables:
+                key = self._key(embedded, at)
+                hit = np.flatnonzero(known[np.minimum(np.searchsorted(known, key), len(known) - 1)] == key)
+                for row, k in zip(hit.tolist(), key[hit].tolist(), strict=True):
+                    found[row].update(keys[k])
+        return found
 
     def match(self, h: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(text, item id, first word, words, distance): the nearest window of each text for each item it holds."""
         if not len(h):
             return []
-        pair = self.hit[self._pairs(h) >> self.shift] if len(h) > 1 else np.empty(0, bool)
-        run = np.concatenate([[0], np.cumsum(pair)]).astype(np.int64)
+        pairs = self._pairs(h)
+        hit = np.flatnonzero(self.hit[pairs >> self.shift])
+        which = np.minimum(np.searchsorted(self.pairs, pairs[hit]), max(0, len(self.pairs) - 1))
+        same = self.pairs[which] == pairs[hit] if len(self.pairs) else np.zeros(len(hit), bool)
+        hit, which = hit[same], which[same]  # places of word pairs that some item has, and which pairs they are
         owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for n, most, tables in self.groups:
+        for n, most, walks, own in self.groups:
+            run = np.zeros(len(h), dtype=np.int32)
+            run[hit[own[which]] + 1] = 1
+            run = np.cumsum(run, dtype=np.int32)  # pairs of this group's items before each word
             if len(h) >= n:
-                s = np.arange(len(h) - n + 1)
-                s = s[run[s + n - 1] - run[s] >= n - 1 - 2 * most]
+                s = np.flatnonzero(run[n - 1 :] - run[: len(run) - n + 1] >= n - 1 - 2 * most)
                 s = s[owner[s] == owner[s + n - 1]]
-                self._probe(h, owner, s, n, most, tables, best)
-            short = np.flatnonzero((np.diff(first) < n) & (np.diff(first) >= n - most))  # a text that is shorter than the item is a window
-            for t in short.tolist():
-                w = h[first[t] : first[t + 1]]
-                padded = np.concatenate([w, np.zeros(n - len(w), np.uint64)])[None]
-                self._verify(h, first[t], len(w), t, {i for r, (at, keys) in enumerate(tables) for i in keys.get(self._keys(padded, r, at)[0], ())}, most, best, first[t])
+                self._probe(h, owner, first, s, n, most, walks, best)
+            size = np.diff(first)  # a text that is a little shorter than the item is a window
+            short = np.flatnonzero((size < n) & (size >= max(1, n - most)))
+            short = short[run[first[short + 1] - 1] - run[first[short]] >= n - 1 - 2 * most]
+            if len(short):
+                x = np.zeros((len(short), n), dtype=np.uint64)
+                for row, t in enumerate(short.tolist()):
+                    x[row, : size[t]] = h[first[t] : first[t + 1]]
+                for row, items in self._candidates(x, walks).items():
+                    t = int(short[row])
+                    self._verify(h, int(first[t]), int(size[t]), t, items, most, best, int(first[t]))
         return [(t, self.ids[i], a, b, d) for (t, i), (d, a, b) in sorted(best.items())]
 
-    def _probe(self, h, owner, s, n, most, tables, best) -> None:
-        if not len(s):
-            return
-        found = defaultdict(set)
+    def _probe(self, h, owner, first, s, n, most, walks, best) -> None:
         for k in range(0, len(s), 8192):
             part = s[k : k + 8192]
-            x = h[part[:, None] + np.arange(n)]
-            for r, (at, keys) in enumerate(tables):
-                for p, key in zip(part.tolist(), self._keys(x, r, at), strict=True):
-                    if key in keys:
-                        found[p].update(keys[key])
-        start = {}
-        for p in sorted(found):
-            t = int(owner[p])
-            if t not in start:
-                start[t] = int(np.searchsorted(owner, t))
-            self._verify(h, p, n, t, found[p], most, best, start[t])
+            found = self._candidates(h[part[:, None] + np.arange(n)], walks)
+            for row in sorted(found):
+                p = int(part[row])
+                self._verify(h, p, n, int(owner[p]), found[row], most, best, int(first[owner[p]]))
 
     def _verify(self, h, p, n, t, items, most, best, text_start) -> None:
         w = h[p : p + n].tolist()
         for i in items:
-            known = best.get((t, i), (most + 1, 0, 0))
-            d = edit_distance(self.words[i].tolist(), w, known[0] - 1) if known[0] else 1
-            if d < known[0]:
-                best[t, i] = (d, int(p - text_start), n)
+            known = best.get((t, i), (most + 1, 0, 0))[0]
+            if known and (d := edit_distance(self.places[i], len(self.words[i]), w)) < known:
+                best[t, i] = (d, p - text_start, n)
 
 
 SCHEMA = "doc_id long, item_id long, first_word long, n_words long, distance long"
@@ -242,7 +273,7 @@ def _matcher(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = shared.value
         for big in batches:
-            for batch in slices([big], "text", 1 << 20):
+            for batch in slices([big], "text", 4 << 20):
                 found = items.match(*word_hashes(text_bytes(batch, "text"))) if batch.num_rows else []
                 if found:
                     t, i, a, n, d = (list(x) for x in zip(*found, strict=True))
