@@ -209,10 +209,11 @@ class Model:
         return g, logit
 
 
-def train(texts: list[str], labels: np.ndarray, max_vocab: int = 50_000, steps: int = 320, batch: int = 96, seed: int = 5) -> Model:
+def train(texts: list[str], labels: np.ndarray, max_vocab: int = 50_000, steps: int = 320, batch: int = 96, seed: int = 5, prior: float | None = None) -> Model:
     """Multiple-instance training: a text's label goes to its worst window, found again after each quarter of the steps.
 
-    Where texts are few, steps are too. A tenth of the known words are read as unknown in each step.
+    Where texts are few, steps are too. A tenth of the known words are read as unknown in each step, and a
+    fifth of the clean windows repeat one of their words, as documents do that say one word over and over.
     One text in five calibrates the score and isn't trained on; the random choices follow from seed alone.
     """
     rng = np.random.default_rng(seed)
@@ -252,7 +253,10 @@ def train(texts: list[str], labels: np.ndarray, max_vocab: int = 50_000, steps:
         while done < min(round_end, steps):
             take = np.concatenate([rng.choice(pos, batch // 3) if len(pos) else pos, rng.choice(neg, batch - batch // 3) if len(neg) else neg])
             ty = np.concatenate([np.ones(batch // 3 if len(pos) else 0), np.zeros(batch - batch // 3 if len(neg) else 0)]).astype(np.float32)
-            used, at = np.unique(np.append(win[take], 0), return_inverse=True)
+            ids = win[take]
+            dull = np.flatnonzero((ty == 0) & (rng.random(len(take)) < 0.2))  # clean windows of one word over and over
+            ids[dull] = ids[dull, rng.integers(0, WINDOW, len(dull))][:, None]
+            used, at = np.unique(np.append(ids, 0), return_inverse=True)
             g, _ = model.step([words[k] for k in used], at[:-1].reshape(-1, WINDOW), ty, rng.random(len(used)) < 0.1)
             done += 1
             lr = 0.01 * min(1, done / 20) * (0.1 if done > 0.8 * steps else 1)
@@ -274,23 +278,27 @@ def train(texts: list[str], labels: np.ndarray, max_vocab: int = 50_000, steps:
         score = model.windows(*model.project(words), win)
     worst = np.maximum.reduceat(score, first) if len(docs) else np.zeros(0)
     use = hold if len(set(labels[hold].tolist())) > 1 else np.ones(len(docs), bool)
-    model.scale = platt(worst[use], labels[use])
+    model.scale = platt(worst[use], labels[use], prior)
     return model
 
 
-def platt(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of the logistic curve through scores x, with Platt's smoothed targets."""
+def platt(x: np.ndarray, y: np.ndarray, prior: float | None = None) -> tuple[float, float]:
+    """Slope and offset of the logistic curve through scores x, with Platt's smoothed targets; prior is the share of label 1
+    where the rows come from, if it isn't that of y."""
     if not len(x):
         return 1.0, 0.0
     up = y.sum()
     t = np.where(y == 1, (up + 1) / (up + 2), 1 / (len(y) - up + 2))
+    w = np.ones(len(y))
+    if prior is not None and 0 < up < len(y) and 0 < prior < 1:
+        w = np.where(y == 1, prior * len(y) / up, (1 - prior) * len(y) / (len(y) - up))
     x = x.astype(np.float64)
     ab = np.array([1.0, 0.0])
-    loss = lambda q: (np.logaddexp(0, q[0] * x + q[1]) - t * (q[0] * x + q[1])).sum() + 5e-4 * (q * q).sum()
+    loss = lambda q: (w * (np.logaddexp(0, q[0] * x + q[1]) - t * (q[0] * x + q[1]))).sum() + 5e-4 * (q * q).sum()
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(ab[0] * x + ab[1], -30, 30)))
-        g = np.array([((p - t) * x).sum(), (p - t).sum()]) + 1e-3 * ab
-        q = p * (1 - p)
+        g = np.array([(w * (p - t) * x).sum(), (w * (p - t)).sum()]) + 1e-3 * ab
+        q = w * p * (1 - p)
         hess = np.array([[(q * x * x).sum(), (q * x).sum()], [(q * x).sum(), q.sum()]]) + 1e-3 * np.eye(2)
         move = np.linalg.solve(hess, g)
         while loss(ab - move) > loss(ab) and np.abs(move).max() > 1e-7:
@@ -383,10 +391,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = 600, steps: int
     labels of both kinds the model stays near its start.
     """
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    share = known.agg(F.avg(F.col("toxic").cast("double"))).first()[0]
     sample = None
     for kind, most in ((1, max_per_class), (0, 2 * max_per_class)):
         part = known.where(F.col("toxic") == kind).orderBy(F.xxhash64(F.lit(11), "doc_id"), "doc_id").limit(most)
         sample = part if sample is None else sample.union(part)
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").toPandas()
     rows = rows.assign(k=[zlib.crc32(str(x).encode()) for x in rows["doc_id"]]).sort_values(["k", "doc_id"], kind="stable")
-    return train(rows["text"].fillna("").tolist(), rows["toxic"].to_numpy(), steps=steps)
+    return train(rows["text"].fillna("").tolist(), rows["toxic"].to_numpy(), steps=steps, prior=share)
