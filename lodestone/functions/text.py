@@ -84,7 +84,7 @@ def nfkc_casefold(x: Column) -> Column:
     """NFKC and case folding, which have no built-in."""
     import pyarrow as pa
 
-    def run(v: pa.Array) -> pa.Array:
+    def run(v):
         return pa.array([None if t is None else unicodedata.normalize("NFKC", t).casefold() for t in v.to_pylist()], pa.string())
 
     return F.arrow_udf(run, "string")(x)
