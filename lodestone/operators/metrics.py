@@ -108,3 +108,53 @@ def permutation_p(rows: DataFrame, key: str, group: str, value: str, draws: int,
     per = d.groupBy("draw").agg((F.avg(F.when(one, F.col(value))) - F.avg(F.when(~one, F.col(value)))).alias("diff"), F.first("a").alias("a"), F.first("b").alias("b"))
     out = per.agg(F.max(F.col("a") - F.col("b")).alias("observed"), F.count_if(F.abs("diff") >= F.abs(F.col("a") - F.col("b"))).alias("ge"))
     return out.select("observed", "ge", ((F.col("ge") + 1) / (draws + 1)).alias("p"))
+
+
+def split_metrics(rows: DataFrame) -> DataFrame:
+    """(split, tp, fn, fp, tn, abstained, recall, fpr) of rows split, expected (0/1), predicted (0/1 or null); rates are null
+    where undefined."""
+    is_ = lambda e, p: F.count_if((F.col("expected") == e) & (F.col("predicted") == p))
+    m = rows.groupBy("split").agg(is_(1, 1).alias("tp"), is_(1, 0).alias("fn"), is_(0, 1).alias("fp"), is_(0, 0).alias("tn"), F.count_if(F.col("predicted").isNull()).alias("abstained"))
+    return m.withColumn("recall", ratio(F.col("tp"), F.col("tp") + F.col("fn"), None)).withColumn("fpr", ratio(F.col("fp"), F.col("fp") + F.col("tn"), None))
+
+
+def paired_discrimination(rows: DataFrame) -> DataFrame:
+    """(pairs, discriminated) over groups with both an expected and an unexpected row: all of the first flagged, none of the
+    second. rows: source_group, expected, predicted."""
+    per = rows.groupBy("source_group").agg(
+        F.bool_or(F.col("expected") == 1).alias("a"), F.bool_or(F.col("expected") == 0).alias("b"),
+        F.bool_and(F.coalesce(F.col("predicted"), F.lit(-1)) == F.col("expected")).alias("ok"),
+    )
+    return per.where("a and b").agg(F.count(F.lit(1)).alias("pairs"), F.count_if("ok").alias("discriminated"))
+
+
+def topk_jaccard(a: DataFrame, b: DataFrame, ks: list[int]) -> DataFrame:
+    """(k, common, jaccard) of the top k of two (item_id, score) tables; ties break by id. Each side gives max(ks) rows."""
+    top = lambda df, n: df.orderBy(F.desc("score"), "item_id").limit(max(ks)).select("item_id", F.row_number().over(Window.orderBy(F.desc("score"), "item_id")).alias(n))
+    both = top(a, "ra").join(top(b, "rb"), "item_id").select("item_id", F.greatest("ra", "rb").alias("r"))
+    cut = a.sparkSession.range(1).select(F.explode(F.array(*[F.lit(k) for k in ks])).alias("k"))
+    per = cut.join(both, F.col("r") <= F.col("k"), "left").groupBy("k").agg(F.count("r").alias("common"))
+    return per.select("k", "common", (F.col("common") / (2 * F.col("k") - F.col("common"))).alias("jaccard"))
+
+
+def correction_impact(resp: DataFrame, fixed: DataFrame) -> DataFrame:
+    """(model_id, old, new, gain, old_rank, new_rank) when golds are corrected. resp: model_id, item_id, label, gold;
+    fixed: item_id, new_gold."""
+    rows = resp.join(fixed, "item_id", "left").withColumn("now", F.coalesce("new_gold", "gold"))
+    per = rows.groupBy("model_id").agg(F.avg((F.col("label") == F.col("gold")).cast("int")).alias("old"), F.avg((F.col("label") == F.col("now")).cast("int")).alias("new"))
+    rank = lambda c: F.row_number().over(Window.orderBy(F.desc(c), "model_id"))
+    return per.select("model_id", "old", "new", (F.col("new") - F.col("old")).alias("gain"), rank("old").alias("old_rank"), rank("new").alias("new_rank"))
+
+
+def repeat_arms(runs: DataFrame, need: int) -> DataFrame:
+    """(item_id, runs) of items that at least `need` distinct runs flag."""
+    return runs.groupBy("item_id").agg(F.count_distinct("run").alias("runs")).where(F.col("runs") >= need)
+
+
+def sampling_quotas(total: int, defects: int, clean: int, size: int, share: float) -> tuple[int, int]:
+    """Defects and clean rows to draw: the share rounded half to even, then shortfalls go to defects first."""
+    target = min(size, total)
+    d = min(defects, round(target * share))
+    c = min(clean, target - d)
+    d = min(defects, d + target - d - c)
+    return d, min(clean, target - d)

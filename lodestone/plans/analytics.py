@@ -222,3 +222,40 @@ def rubric_pass_rates(spark, sf_dir):
 @query("signal_synthesis", f"WITH {FLAG_SQL} SELECT item_id, count(DISTINCT method) AS n_signals FROM flags GROUP BY 1 HAVING count(DISTINCT method) >= 2")
 def signal_synthesis(spark, sf_dir):
     return evidence.signals(V.flags(spark, sf_dir).withColumnRenamed("method", "signal"))
+
+
+@query("split_metrics", """WITH r AS (SELECT l_returnflag AS split, (l_quantity > 25)::INT AS expected, CASE WHEN l_linenumber = 7 THEN NULL ELSE (l_extendedprice > 35000)::INT END AS predicted FROM lineitem),
+m AS (SELECT split, sum((expected = 1 AND predicted = 1)::INT)::BIGINT AS tp, sum((expected = 1 AND predicted = 0)::INT)::BIGINT AS fn, sum((expected = 0 AND predicted = 1)::INT)::BIGINT AS fp, sum((expected = 0 AND predicted = 0)::INT)::BIGINT AS tn, sum((predicted IS NULL)::INT)::BIGINT AS abstained FROM r GROUP BY 1)
+SELECT *, tp::DOUBLE / nullif(tp + fn, 0) AS recall, fp::DOUBLE / nullif(fp + tn, 0) AS fpr FROM m""")
+def split_metrics(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    rows = li.select(F.col("l_returnflag").alias("split"), (F.col("l_quantity") > 25).cast("int").alias("expected"), F.when(F.col("l_linenumber") != 7, (F.col("l_extendedprice") > 35000).cast("int")).alias("predicted"))
+    return metrics.split_metrics(rows)
+
+
+@query("paired_discrimination", """WITH r AS (SELECT l_orderkey AS g, (l_quantity > 25)::INT AS e, (l_quantity > 27)::INT AS p FROM lineitem), s AS (SELECT g, bool_or(e = 1) AS a, bool_or(e = 0) AS b, bool_and(p = e) AS ok FROM r GROUP BY 1)
+SELECT count(*) AS pairs, sum(ok::INT)::BIGINT AS discriminated FROM s WHERE a AND b""")
+def paired_discrimination(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    return metrics.paired_discrimination(li.select(F.col("l_orderkey").alias("source_group"), (F.col("l_quantity") > 25).cast("int").alias("expected"), (F.col("l_quantity") > 27).cast("int").alias("predicted")))
+
+
+@query("topk_jaccard", """WITH a AS (SELECT c_custkey AS i, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS r FROM customer), b AS (SELECT o_custkey AS i, row_number() OVER (ORDER BY sum(o_totalprice) DESC, o_custkey) AS r FROM orders GROUP BY 1),
+j AS (SELECT greatest(a.r, b.r) AS r FROM a JOIN b USING (i)), k AS (SELECT unnest([10, 50, 200]) AS k) SELECT k, count(r) AS common, count(r)::DOUBLE / (2 * k - count(r)) AS jaccard FROM k LEFT JOIN j ON r <= k GROUP BY k""")
+def topk_jaccard(spark, sf_dir):
+    a = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("item_id"), F.col("c_acctbal").alias("score"))
+    b = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("item_id")).agg(F.sum("o_totalprice").alias("score"))
+    return metrics.topk_jaccard(a, b, [10, 50, 200])
+
+
+@query("gold_correction_impact", f"""WITH {RESP_SQL}, x AS (SELECT model_id, label, 'A' AS gold, CASE WHEN item_id::INT % 5 = 0 THEN 'N' ELSE 'A' END AS now FROM resp), p AS (SELECT model_id, avg((label = gold)::INT) AS old, avg((label = now)::INT) AS new FROM x GROUP BY 1)
+SELECT model_id, old, new, new - old AS gain, row_number() OVER (ORDER BY old DESC, model_id) AS old_rank, row_number() OVER (ORDER BY new DESC, model_id) AS new_rank FROM p""")
+def gold_correction(spark, sf_dir):
+    r = V.responses(spark, sf_dir).withColumn("gold", F.lit("A"))
+    fixed = r.where("cast(item_id as int) % 5 = 0").select("item_id").distinct().withColumn("new_gold", F.lit("N"))
+    return metrics.correction_impact(r, fixed)
+
+
+@query("repeat_arms", "SELECT user_id AS item_id, count(DISTINCT event_type) AS runs FROM events GROUP BY 1 HAVING count(DISTINCT event_type) >= 5")
+def repeat_arms(spark, sf_dir):
+    return metrics.repeat_arms(table(spark, sf_dir, "events").select(F.col("user_id").alias("item_id"), F.col("event_type").alias("run")), 5)

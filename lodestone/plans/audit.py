@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import answers as A
 from lodestone.functions import text as X
-from lodestone.operators import checks, evidence, metrics, tables
+from lodestone.operators import checks, contracts, evidence, metrics, tables
 from lodestone.plans.views import ARITH_SQL, DOC_SQL, MCQ_SQL, arith_items, doc_items, mcq_items, table
 
 QUERIES: dict = {}
@@ -224,3 +224,55 @@ def adapter_projection(spark, sf_dir):
     from lodestone.sources.adapter import Binding, project
 
     return project(table(spark, sf_dir, "events"), "event_id", [Binding("task", template="{event_type} by {user_id}"), Binding("gold", path="props.$.k", required=True)])
+
+
+@query("choice_tiers", f"WITH {MCQ_SQL} SELECT item_id, 'T1' AS tier, 3::BIGINT AS n FROM mcq WHERE len(list_distinct(choices)) < 3")
+def choice_tiers(spark, sf_dir):
+    return contracts.choice_tiers(mcq_items(spark, sf_dir))
+
+
+@query("gold_resolution", f"WITH {MCQ_SQL} SELECT CASE WHEN gold IS NULL THEN 'missing' WHEN gold IN ('A', 'B', 'C') THEN 'resolved' ELSE 'not_found' END AS reason, count(*) AS n FROM mcq GROUP BY 1")
+def gold_resolution(spark, sf_dir):
+    reason = F.coalesce(contracts.gold_resolution(F.col("gold"), F.col("choices")), F.lit("resolved"))
+    return mcq_items(spark, sf_dir).groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("citation_support", """SELECT item_id AS claim_id, CASE WHEN d.text IS NULL THEN 'unresolved' WHEN contains(lower(trim(regexp_replace(d.text, '[\\s\\x0b]+', ' ', 'g'))), lower(trim(regexp_replace(substr(b.text, 1, 40), '[\\s\\x0b]+', ' ', 'g')))) THEN 'supported' ELSE 'unsupported' END AS status
+FROM benchmark b LEFT JOIN documents d ON d.doc_id = b.item_id * 3""")
+def citation_support(spark, sf_dir):
+    claims = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("claim_id"), (F.col("item_id") * 3).alias("source_id"), F.substring("text", 1, 40).alias("quote"))
+    return contracts.citations(claims, table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_id"), "text"))
+
+
+@query("missing_attachments", """SELECT DISTINCT item_id::VARCHAR AS item_id, p AS path FROM (SELECT o_orderkey AS item_id, 'part-' || (o_orderkey % 3000) || '.csv' AS p FROM orders) WHERE p NOT IN (SELECT 'part-' || p_partkey || '.csv' FROM part)""")
+def missing_attachments(spark, sf_dir):
+    refs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("item_id"), F.concat(F.lit("part-"), (F.col("o_orderkey") % 3000).cast("string"), F.lit(".csv")).alias("path"))
+    have = table(spark, sf_dir, "part").select(F.concat(F.lit("part-"), F.col("p_partkey").cast("string"), F.lit(".csv")).alias("path"))
+    return contracts.missing_attachments(refs, have)
+
+
+@query("repeated_rubric_ids", "SELECT l_partkey AS rubric_id, count(*) AS n, count(DISTINCT l_orderkey) AS items FROM lineitem GROUP BY 1 HAVING count(*) > 1")
+def repeated_rubrics(spark, sf_dir):
+    return contracts.repeated_rubrics(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("item_id"), F.array("l_partkey").alias("rubric_ids")))
+
+
+@query("workspace_issues", """WITH w AS (SELECT o_orderkey AS item_id, o_orderkey % 5 = 0 AS a, o_orderkey % 7 = 0 AS b, o_orderkey % 11 = 0 AS c FROM orders)
+SELECT item_id, 'outputs_differ_from_contract' AS issue FROM w WHERE a UNION ALL SELECT item_id, 'rubric_type_count' FROM w WHERE b UNION ALL SELECT item_id, 'manifest_without_file' FROM w WHERE c""")
+def workspace_issues(spark, sf_dir):
+    k = F.col("o_orderkey")
+    names = lambda *x: F.array(*[F.lit(v) for v in x])
+    rows = table(spark, sf_dir, "orders").select(
+        k.alias("item_id"), F.when(k % 5 == 0, names("out.csv", "more.csv")).otherwise(names("out.csv")).alias("output_files"), names("out.csv").alias("required_files"), names("r1", "r2").alias("rubrics"), names("r2", "r1").alias("evaluator_rubrics"),
+        F.when(k % 7 == 0, names("t")).otherwise(names("t", "t")).alias("rubric_types"), names("in.csv").alias("manifest"), F.when(k % 11 == 0, names("x")).otherwise(names("in.csv")).alias("files"),
+        F.array(F.struct(F.lit("in.csv").alias("from"), F.lit("out.csv").alias("to"))).alias("edges"),
+    )
+    return contracts.workspace_issues(rows)
+
+
+@query("solution_leak_lines", r"""WITH p AS (SELECT d.doc_id, list_distinct(list_filter(list_transform(string_split(d.text, chr(10)), lambda s: trim(s)), lambda s: length(s) >= 12 AND regexp_matches(s, '[A-Za-z]') AND NOT regexp_matches(s, '^(#|//|/\*|\*|import |from )'))) AS lines, t.text AS task FROM documents d JOIN documents t ON t.doc_id = d.doc_id - 1)
+SELECT doc_id, len(list_filter(lines, lambda s: contains(task, s)))::INT AS leaked FROM p WHERE len(list_filter(lines, lambda s: contains(task, s))) > 0""")
+def solution_leaks(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    patch = F.array_join(F.transform(F.split("text", "\n"), lambda s: F.concat(F.lit("+ "), s)), "\n")
+    pairs = docs.select("doc_id", patch.alias("patch")).join(docs.select((F.col("doc_id") + 1).alias("doc_id"), F.col("text").alias("task")), "doc_id")
+    return pairs.select("doc_id", checks.leaked_lines(F.col("patch"), F.col("task"))["leaked"].alias("leaked")).where("leaked > 0")
