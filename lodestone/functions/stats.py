@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 Z95 = 1.959963984540054
@@ -24,13 +24,17 @@ def wilson(k: Column, n: Column, upper: bool, edge: str = "whole") -> Column:
     return F.when(n > 0, bound).otherwise(F.lit(none).cast("double"))
 
 
-def percentile_rank(x: str, *by: str) -> Column:
-    """Average-rank percentile over all rows (or within `by`): ties share the mean of their ranks; one row alone has 0."""
-    whole = Window.partitionBy(*by)
-    ordered = whole.orderBy(x)
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*by, x))
-    n = F.count(F.lit(1)).over(whole)
-    return F.when(n > 1, (F.rank().over(ordered) - 1 + (ties - 1) / 2) / (n - 1)).otherwise(F.lit(0.0))
+def with_percentile(rows: DataFrame, x: str, out: str) -> DataFrame:
+    """rows with the average-rank percentile of x over all of them: ties share the mean of their ranks; one row alone has 0.
+
+    Ranks come from counts per distinct value, so the one window without a key runs over distinct values after
+    aggregation, and rows are only joined with their value's percentile.
+    """
+    per = rows.groupBy(F.col(x).alias("__x")).agg(F.count(F.lit(1)).alias("__c"))
+    below = F.coalesce(F.sum("__c").over(Window.orderBy("__x").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    n = F.sum("__c").over(Window.partitionBy())
+    per = per.select("__x", F.when(n > 1, (below + (F.col("__c") - 1) / 2) / (n - 1)).otherwise(F.lit(0.0)).alias("__p"))
+    return rows.join(per, F.col(x).eqNullSafe(F.col("__x"))).withColumn(out, F.col("__p")).drop("__x", "__p")
 
 
 def hash_order(seed: int, *keys: str) -> Column:

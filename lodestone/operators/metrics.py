@@ -23,11 +23,14 @@ def confusion(predicted: DataFrame, truth: DataFrame, key: str = "item_id", by:
 
 def review_budget(ranked: DataFrame, truth: DataFrame, shares: tuple[int, ...] = (5, 10, 20)) -> DataFrame:
     """(share, reviewed, found, recall): what reviewing the riskiest share of items finds. ranked: item_id, tier, risk."""
-    order = Window.orderBy(F.when(F.col("tier") == "priority", 0).otherwise(1), F.desc("risk"), "item_id")
-    n = F.count(F.lit(1)).over(Window.partitionBy())
-    hit = ranked.join(truth.select("item_id").distinct().withColumn("t", F.lit(1)), "item_id", "left")
+    hit = ranked.join(truth.select("item_id").distinct().withColumn("t", F.lit(1)), "item_id", "left").select("item_id", F.when(F.col("tier") == "priority", 0).otherwise(1).alias("tier"), "risk", F.coalesce("t", F.lit(0)).alias("t"))
     total = truth.select("item_id").distinct().agg(F.count(F.lit(1)).alias("total"))
-    placed = hit.select(F.row_number().over(order).alias("place"), n.alias("n"), F.coalesce("t", F.lit(0)).alias("t"))
+    # places come from counts per (tier, risk), few values, and from the order inside each of them
+    groups = hit.groupBy("tier", "risk").agg(F.count(F.lit(1)).alias("c"))
+    before = F.coalesce(F.sum("c").over(Window.orderBy("tier", F.desc("risk")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = groups.select("tier", "risk", before.alias("before"), F.sum("c").over(Window.partitionBy()).alias("n"))
+    inside = F.row_number().over(Window.partitionBy("tier", "risk").orderBy("item_id"))
+    placed = hit.withColumn("inside", inside).join(groups, ["tier", "risk"]).select((F.col("before") + F.col("inside")).alias("place"), "n", "t")
     cut = placed.select("place", "n", "t", F.explode(F.array(*[F.lit(s) for s in shares])).alias("share")).where(F.col("place") <= F.greatest(F.lit(1), F.ceil(F.col("n") * F.col("share") / 100)))
     per = cut.groupBy("share").agg(F.count(F.lit(1)).alias("reviewed"), F.sum("t").alias("found"))
     return per.join(F.broadcast(total)).select("share", "reviewed", "found", ratio(F.col("found"), F.col("total")).alias("recall"))

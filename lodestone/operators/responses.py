@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.stats import percentile_rank, ratio, safe_corr, wilson
+from lodestone.functions.stats import ratio, safe_corr, wilson, with_percentile
 
 
 def quality(resp: DataFrame) -> DataFrame:
@@ -25,7 +25,7 @@ def item_errors(resp: DataFrame) -> DataFrame:
 
 def fused_triage(errors: DataFrame, audit: DataFrame) -> DataFrame:
     """(item_id, error_pct, audit_pct, fused): mean of average-rank percentiles, of error and of audit score."""
-    rows = errors.join(audit, "item_id").withColumn("error_pct", percentile_rank("error_rate")).withColumn("audit_pct", percentile_rank("score"))
+    rows = with_percentile(with_percentile(errors.join(audit, "item_id"), "error_rate", "error_pct"), "score", "audit_pct")
     return rows.select("item_id", "error_pct", "audit_pct", (0.5 * F.col("error_pct") + 0.5 * F.col("audit_pct")).alias("fused"))
 
 
@@ -70,7 +70,7 @@ def fuse(parts: dict[str, DataFrame]) -> DataFrame:
         df = df.toDF("item_id", name)
         out = df if out is None else out.join(df, "item_id")
     for name in parts:
-        out = out.withColumn(name, percentile_rank(name))
+        out = with_percentile(out, name, name)
     total = sum((F.col(n) for n in parts), F.lit(0.0))
     return out.select("item_id", (total / len(parts)).alias("fused"))
 

@@ -44,8 +44,8 @@ def test_wilson_edges(spark):
     assert math.isclose(one(spark, S.wilson(F.lit(5), F.lit(10), False)), 0.236593, rel_tol=1e-5)
 
 
-def test_percentile_rank_ties(spark):
-    got = spark.createDataFrame([(1.0,), (1.0,), (2.0,), (3.0,)], "x double").select("x", S.percentile_rank("x").alias("p")).collect()
+def test_percentile_ties(spark):
+    got = S.with_percentile(spark.createDataFrame([(1.0,), (1.0,), (2.0,), (3.0,)], "x double"), "x", "p").collect()
     assert sorted(r["p"] for r in got) == [1 / 6, 1 / 6, 2 / 3, 1.0]
 
 
