@@ -127,7 +127,13 @@ class Surrogates:
         return self.p.text(s, "access_key", keep=lambda i, c: i < 4)
 
     def secret(self, s: str) -> str:
-        return self.p.text(s, "secret", hexadecimal=all(c in HEX for c in s))
+        """Hexadecimal secrets stay hexadecimal, others stay others."""
+        if all(c in HEX for c in s):
+            return self.p.text(s, "secret", hexadecimal=True)
+        s = self.p.text(s, "secret")
+        while all(c in HEX for c in s):  # cycle walking keeps the two kinds apart, and the map one-to-one
+            s = self.p.text(s, "secret")
+        return s
 
     def iban(self, s: str) -> str:
         return self.p.text(s, "iban", keep=lambda i, c: i < 2)
@@ -149,14 +155,24 @@ class Surrogates:
 
     def ip(self, s: str) -> str:
         """Private and loopback ranges map to themselves; other addresses to others with as many digits in each place, as far as octets allow."""
+        held = self._held(s)
+        while self._held(s := self._address(s, held)) != held:
+            pass
+        return s
+
+    @staticmethod
+    def _held(s: str) -> int:
+        """Leading octets that a private or loopback address keeps."""
+        return 2 if s.startswith("192.168.") else 1 if s.startswith(("10.", "127.")) else 0
+
+    def _address(self, s: str, held: int) -> str:
         parts = s.split(".")
-        held = 2 if parts[:2] == ["192", "168"] else 1 if parts[0] in ("10", "127") else 0
         ranges = []
         for x in parts[held:]:
             lo, hi = {1: (0, 9), 2: (10, 99), 3: (100, 255)}.get(len(x), (0, 255))
             if str(int(x)) != x:
-                lo, hi = 0, 10 ** len(x) - 1 if len(x) < 3 else 255
-            ranges.append((lo, min(hi, 255), len(x) if str(int(x)) != x else 0))
+                lo, hi = 0, 10 ** (len(x) - 1) - 1  # zeros in front stay zeros in front
+            ranges.append((lo, hi, len(x) if str(int(x)) != x else 0))
         n, value = 1, 0
         for x, (lo, hi, _) in zip(parts[held:], ranges, strict=True):
             n, value = n * (hi - lo + 1), value * (hi - lo + 1) + int(x) - lo
@@ -167,7 +183,7 @@ class Surrogates:
             out.append(f"{r + lo:0{width}d}" if width else str(r + lo))
         return ".".join(parts[:held] + out[::-1])
 
-    def name(self, s: str, gender: str = "") -> str:
+    def name(self, s: str) -> str:
         return " ".join(self._one_name(x) for x in s.split(" "))
 
     def _one_name(self, s: str) -> str:
@@ -207,8 +223,8 @@ class Surrogates:
             start, end = m.span(kind) if kind in ("secret", "name") else m.span()
             old = text[start:end]
             new = getattr(self, kind)(old)
-            if used.setdefault((kind, new), old) != old:
-                raise ValueError(f"two entities of type {kind} got one surrogate")
+            while used.setdefault((kind, new), old) != old:  # can't be for maps that are one-to-one; distinctness goes first
+                new = getattr(self, kind)(new)
             out += [text[at:start], new]
             found.append((kind, start, end, new))
             at = end

@@ -306,6 +306,12 @@ def test_surrogates_are_distinct():
     for n in (2, 7, 10, 100, 1000):
         moved = [p.move(x, n, b"t") for x in range(n)]
         assert sorted(moved) == list(range(n)) and all(x != y for x, y in enumerate(moved))
+    private = {f"10.0.{i}.{j}" for i in range(10) for j in range(10, 30)}
+    public = {f"{i}.{j}.7.9" for i in range(11, 60) for j in range(10, 40)}
+    moved = {make.ip(x) for x in private | public}
+    assert len(moved) == len(private | public) and sum(x.startswith("10.") for x in moved) == len(private)
+    secrets = {f"{i:06x}" for i in range(300)} | {f"g{i:05d}" for i in range(300)}
+    assert len({make.secret(x) for x in secrets}) == len(secrets)
     assert len({make.phone(f"+1 (555) 01{i // 100}-{i:04d}") for i in range(1000)}) == 1000
 
 
