@@ -89,12 +89,12 @@ def _boards(spark, sf_dir):
     return responses.leaderboard(t), responses.leaderboard(t.join(drop, "task_id", "left_anti"))
 
 
-@query("leaderboard", f"WITH {TRIAL_SQL}, {BOARD} SELECT *, row_number() OVER (ORDER BY score DESC, system_id) AS rank FROM board")
+@query("leaderboard", f"WITH {TRIAL_SQL}, {BOARD} SELECT *, (row_number() OVER (ORDER BY score DESC, system_id))::INT AS rank FROM board")
 def leaderboard(spark, sf_dir):
     return _boards(spark, sf_dir)[0]
 
 
-@query("leaderboard_impact", f"""WITH {TRIAL_SQL}, {BOARD}, {CLEAN}, a AS (SELECT *, row_number() OVER (ORDER BY score DESC, system_id) AS r FROM board), b AS (SELECT *, row_number() OVER (ORDER BY score DESC, system_id) AS r FROM clean)
+@query("leaderboard_impact", f"""WITH {TRIAL_SQL}, {BOARD}, {CLEAN}, a AS (SELECT *, (row_number() OVER (ORDER BY score DESC, system_id))::INT AS r FROM board), b AS (SELECT *, (row_number() OVER (ORDER BY score DESC, system_id))::INT AS r FROM clean)
 SELECT a.system_id, a.r AS old_rank, b.r AS new_rank, a.r - b.r AS shift, b.score - a.score AS gain FROM a JOIN b USING (system_id)""")
 def leaderboard_impact(spark, sf_dir):
     return responses.impact(*_boards(spark, sf_dir))
@@ -156,7 +156,7 @@ def distribution(spark, sf_dir):
     return d.select("n", "lo", "hi", *[F.round(c, 4).alias(c) for c in ("mean", "median", "sd", "mad")])
 
 
-@query("stratified_sample_manifest", f"""WITH {DOC_SQL}, t AS (SELECT item_id, lang, source, row_number() OVER (PARTITION BY lang, source ORDER BY md5('7:' || item_id), item_id) AS turn FROM doc_items), p AS (SELECT item_id, lang, source, row_number() OVER (ORDER BY turn, lang, source) AS place FROM t) SELECT * FROM p WHERE place <= 120""")
+@query("stratified_sample_manifest", f"""WITH {DOC_SQL}, t AS (SELECT item_id, lang, source, row_number() OVER (PARTITION BY lang, source ORDER BY md5('7:' || item_id), item_id) AS turn FROM doc_items), p AS (SELECT item_id, lang, source, (row_number() OVER (ORDER BY turn, lang, source))::INT AS place FROM t) SELECT * FROM p WHERE place <= 120""")
 def stratified_sample(spark, sf_dir):
     return metrics.stratified_sample(V.doc_items(spark, sf_dir), 120, ("lang", "source"), 7)
 
@@ -249,7 +249,7 @@ def topk_jaccard(spark, sf_dir):
 
 
 @query("gold_correction_impact", f"""WITH {RESP_SQL}, x AS (SELECT model_id, label, 'A' AS gold, CASE WHEN item_id::INT % 5 = 0 THEN 'N' ELSE 'A' END AS now FROM resp), p AS (SELECT model_id, avg((label = gold)::INT) AS old, avg((label = now)::INT) AS new FROM x GROUP BY 1)
-SELECT model_id, old, new, new - old AS gain, row_number() OVER (ORDER BY old DESC, model_id) AS old_rank, row_number() OVER (ORDER BY new DESC, model_id) AS new_rank FROM p""")
+SELECT model_id, old, new, new - old AS gain, (row_number() OVER (ORDER BY old DESC, model_id))::INT AS old_rank, (row_number() OVER (ORDER BY new DESC, model_id))::INT AS new_rank FROM p""")
 def gold_correction(spark, sf_dir):
     r = V.responses(spark, sf_dir).withColumn("gold", F.lit("A"))
     fixed = r.where("cast(item_id as int) % 5 = 0").select("item_id").distinct().withColumn("new_gold", F.lit("N"))
