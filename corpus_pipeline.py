@@ -21,7 +21,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near copies the document of the smallest id stays; among rows of that id, one does.
-    Rows of null id are kept where their component has no id, one per component."""
+    Of rows without an id one stays, if some component has no id at all."""
     found = simhash.near_duplicates(docs)
     keep = found.where("doc_id <=> component_id").select("doc_id").distinct()
     kept = docs.join(keep.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
