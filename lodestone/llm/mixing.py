@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.llm._base import stash
+
 
 def source_targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), max_repeat: float = 3.0) -> DataFrame:
     """(source, source_size, target) from rows (source, size); one row per source.
@@ -43,13 +45,14 @@ def mix(docs: DataFrame, size: Column, id_col: str = "doc_id", source_col: str =
     """docs plus __size, __source_size, __target and __copies: floor(rate), and one more where the coin is below the fraction.
 
     rate = target / source_size. Rows of equal id share a coin; a null id is a key like any other. Sizes are
-    summed map-side per source, so a source with a third of all rows costs one partial row per task; the
-    join back leaves the small side to adaptive execution, which broadcasts it only while it measures small
-    and splits a skewed source otherwise.
+    summed map-side per source, so a source with a third of all rows costs one partial row per task. The
+    table of targets goes out by broadcast only while its files measure small; beyond that adaptive execution
+    splits a skewed source.
     """
     sized = docs.withColumn("__size", size)
     plan = source_targets(sized.select(F.col(source_col).alias("source"), F.col("__size").alias("size")), weights, max_repeat)
-    plan = plan.select(F.col("source").alias("__source"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"))
+    # written first: Spark then knows its size before it plans the join, and texts need no exchange while it is small
+    plan = stash(plan.select(F.col("source").alias("__source"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target")), "targets")
     rate = F.when(F.col("__source_size") > 0, F.col("__target") / F.col("__source_size")).otherwise(F.lit(0.0))
     whole = F.floor(rate)
     copies = whole + F.when(coin(seed, F.col(id_col)) < rate - whole, 1).otherwise(0)
