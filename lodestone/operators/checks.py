@@ -72,7 +72,8 @@ def arithmetic_value(task: Column) -> Column:
     return F.when(op == "+", a + b).when(op == "-", a - b).when(op == "*", a * b).when(op == "/", F.try_divide(a, b))
 
 
-def standard_checks() -> list[Check]:
+def standard_checks(names: Sequence[str] | None = None) -> list[Check]:
+    """All checkers, or those named; only what is asked for is built."""
     c = F.col
     task, gold, choices, ev, out = c("task"), c("gold"), c("choices"), c("evaluator"), c("output_contract")
     yes = F.lit(True)
@@ -82,16 +83,15 @@ def standard_checks() -> list[Check]:
     loose = F.transform(choices, X.normalize_choice)
     told = F.exists(F.map_keys("metadata"), lambda k: k.isin("source", "version", "date", "domain"))
     asks = F.contains(task, F.lit("?"))
-    calc = arithmetic_value(task)
-    off = F.abs(calc - X.parse_number(gold)) > 1e-9
+    off = lambda: F.abs(arithmetic_value(task) - X.parse_number(gold)) > 1e-9
     ok = lambda x: A.accept(x, seen, answers, choices, ev, c("aliases"))
-    rejected = F.filter(A.variants(gold, kind, choices), lambda v: ~ok(v))
-    survived = F.filter(A.mutations(gold, kind, choices), ok)
+    rejected = lambda: F.filter(A.variants(gold, kind, choices), lambda v: ~ok(v))
+    survived = lambda: F.filter(A.mutations(gold, kind, choices), ok)
     severity = F.when(~X.blank(out) & ~has_gold, "major").when(kind.isin("choice", "numeric", "normalized_exact"), "minor").otherwise("major")
     norm_ev, norm_out = X.normalize_text(ev), X.normalize_text(out)
     mismatch = (has_choices & norm_out.rlike("numeric|number|free.?text")) | (norm_out.rlike("json") & norm_ev.rlike("exact|numeric|choice")) | (norm_out.rlike("numeric|number") & norm_ev.rlike("choice"))
-    return [
-        Check(
+    built = [
+        ("task_specification", lambda: Check(
             "task_specification",
             yes,
             [
@@ -99,9 +99,9 @@ def standard_checks() -> list[Check]:
                 finding("static_rule", "missing_context", F.greatest(*[task.rlike("(?i)" + p).cast("int") for p in REFERENCES.values()]) == 1, review=True),
                 finding("static_rule", "ambiguous_goal", asks & ~told & (task.rlike("(?i)" + AMBIGUITY[0]) | task.rlike("(?i)" + AMBIGUITY[1])), "review", review=True),
             ],
-        ),
-        Check("expected_output", ~X.blank(task), [finding("static_rule", "missing_output_contract", X.blank(out) & ~has_choices & X.blank(ev), "minor", review=True)]),
-        Check(
+        )),
+        ("expected_output", lambda: Check("expected_output", ~X.blank(task), [finding("static_rule", "missing_output_contract", X.blank(out) & ~has_choices & X.blank(ev), "minor", review=True)])),
+        ("oracle_ground_truth", lambda: Check(
             "oracle_ground_truth",
             yes,
             [
@@ -110,15 +110,16 @@ def standard_checks() -> list[Check]:
                 finding("static_rule", "invalid_choice_gold", has_choices & has_gold & seen["index"].isNull(), "critical", "choice_gold_domain_replay"),
                 finding("static_rule", "duplicate_choices", F.size(F.array_distinct(loose)) < F.size(choices), "major"),
                 finding("static_rule", "empty_choice", F.exists(choices, X.blank), "major"),
-                finding("static_rule", "wrong_gold_answer", off, "critical", "safe_arithmetic_replay"),
+                finding("static_rule", "wrong_gold_answer", off(), "critical", "safe_arithmetic_replay"),
             ],
-        ),
-        Check("evaluator", has_gold | ~X.blank(out), [finding("static_rule", "missing_evaluator", X.blank(ev) & (has_gold | ~X.blank(out)), severity, review=True), finding("static_rule", "overstrict_evaluator", ~X.blank(ev) & F.exists("aliases", lambda a: ~ok(a)), "major", "declared_alias_replay", True)]),
-        Check("contract_consistency", ~X.blank(out) | has_choices, [finding("cross_artifact_consistency", "output_evaluator_contract_mismatch", mismatch, "major", "answer_contract_static_consistency")]),
-        Check("evaluator_replay", has_gold & ~X.blank(ev), [finding("evaluator_replay", "gold_rejected_by_evaluator", has_gold & ~X.blank(ev) & ~ok(gold), "critical", "declared_evaluator_gold_replay")]),
-        Check("metamorphic_answer", has_gold, [finding("metamorphic_testing", "metamorphic_inconsistency", has_gold & (F.size(rejected) > 0), "major", review=True)]),
-        Check("evaluator_mutation", has_gold & ~X.blank(ev), [finding("mutation_testing", "evaluator_mutation_survived", has_gold & ~X.blank(ev) & (F.size(survived) > 0), "major", review=True)]),
+        )),
+        ("evaluator", lambda: Check("evaluator", has_gold | ~X.blank(out), [finding("static_rule", "missing_evaluator", X.blank(ev) & (has_gold | ~X.blank(out)), severity, review=True), finding("static_rule", "overstrict_evaluator", ~X.blank(ev) & F.exists("aliases", lambda a: ~ok(a)), "major", "declared_alias_replay", True)])),
+        ("contract_consistency", lambda: Check("contract_consistency", ~X.blank(out) | has_choices, [finding("cross_artifact_consistency", "output_evaluator_contract_mismatch", mismatch, "major", "answer_contract_static_consistency")])),
+        ("evaluator_replay", lambda: Check("evaluator_replay", has_gold & ~X.blank(ev), [finding("evaluator_replay", "gold_rejected_by_evaluator", has_gold & ~X.blank(ev) & ~ok(gold), "critical", "declared_evaluator_gold_replay")])),
+        ("metamorphic_answer", lambda: Check("metamorphic_answer", has_gold, [finding("metamorphic_testing", "metamorphic_inconsistency", has_gold & (F.size(rejected()) > 0), "major", review=True)])),
+        ("evaluator_mutation", lambda: Check("evaluator_mutation", has_gold & ~X.blank(ev), [finding("mutation_testing", "evaluator_mutation_survived", has_gold & ~X.blank(ev) & (F.size(survived()) > 0), "major", review=True)])),
     ]
+    return [make() for name, make in built if names is None or name in names]
 
 
 def prepared(items: DataFrame) -> DataFrame:

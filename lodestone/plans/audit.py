@@ -22,7 +22,7 @@ def query(name: str, sql: str | None = None):
 
 
 def arith_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    use = [c for c in checks.standard_checks() if c.name == "oracle_ground_truth"]
+    use = checks.standard_checks(["oracle_ground_truth"])
     return checks.findings(checks.with_audit(arith_items(spark, sf_dir), use))
 
 
@@ -60,7 +60,7 @@ f AS (SELECT item_id, 'oracle_ground_truth' AS checker, 'static_rule' AS method,
 
 @query("mcq_findings", f"WITH {MCQ_FINDINGS_SQL} SELECT * FROM f")
 def mcq_static_findings(spark, sf_dir):
-    use = [c for c in checks.standard_checks() if c.name in STATIC]
+    use = checks.standard_checks(STATIC)
     found = checks.findings(checks.with_audit(mcq_items(spark, sf_dir), use))
     return found.select("item_id", "checker", "method", "defect_type", "severity", "evidence_level", "review_only")
 
@@ -99,7 +99,7 @@ def review_budget(spark, sf_dir):
 c AS (SELECT * FROM (VALUES ('task_specification'), ('expected_output'), ('oracle_ground_truth'), ('evaluator'), ('contract_consistency')) t(checker))
 SELECT checker, n AS eligible, coalesce(with_finding, 0) AS with_finding, n - coalesce(with_finding, 0) AS completed, 0::BIGINT AS ineligible, 'executed' AS status FROM c CROSS JOIN n LEFT JOIN w USING (checker)""")
 def coverage_ledger(spark, sf_dir):
-    use = [c for c in checks.standard_checks() if c.name in STATIC]
+    use = checks.standard_checks(STATIC)
     return evidence.ledger_summary(checks.ledger(checks.with_audit(mcq_items(spark, sf_dir), use)))
 
 
@@ -130,7 +130,7 @@ SELECT operator, count(*) AS expected, count(*) AS hits, 1.0::DOUBLE AS recall F
 def injected_recall(spark, sf_dir):
     clean = mcq_items(spark, sf_dir).where("source_row_index % 17 <> 0 and source_row_index % 19 <> 0 and source_row_index % 29 <> 0")
     mutants = metrics.inject(clean, 2)
-    use = [c for c in checks.standard_checks() if c.name in STATIC]
+    use = checks.standard_checks(STATIC)
     return metrics.injected_recall(mutants, checks.findings(checks.with_audit(mutants.drop("operator"), use)))
 
 

@@ -10,6 +10,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """A plain scan over fewer splits than there are cores, as of a small single file, dealt out to all of them before
+    costly projections. Larger inputs have splits enough and stay as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def _texts() -> object:
     return F.array().cast("array<string>")
 
@@ -29,7 +36,7 @@ DOC_SQL = "doc_items AS (SELECT d.doc_id::VARCHAR AS item_id, d.doc_id AS source
 def mcq_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as choice questions, with defects planted by key: wrong label, no gold, repeated choice, blank choice, no evaluator."""
     k = F.col("o_orderkey")
-    return table(spark, sf_dir, "orders").select(
+    return spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")).select(
         k.cast("string").alias("item_id"), k.alias("source_row_index"), F.concat(F.lit("Order "), k.cast("string"), F.lit(" status?")).alias("task"),
         F.when(k % 17 == 0, "Z?").when(k % 23 == 0, F.lit(None)).otherwise(F.translate("o_orderstatus", "FOP", "ABC")).alias("gold"),
         F.when(k % 19 == 0, F.array(F.lit("F"), F.lit("O"), F.lit("F"))).when(k % 29 == 0, F.array(F.lit("F"), F.lit(""), F.lit("P"))).otherwise(F.array(F.lit("F"), F.lit("O"), F.lit("P"))).alias("choices"),
@@ -49,7 +56,7 @@ def arith_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as products to compute, wrong by one where the order key divides by 17."""
     q, n = F.col("l_quantity").cast("int"), F.col("l_linenumber")
     gold = q * n + F.when(F.col("l_orderkey") % 17 == 0, 1).otherwise(0)
-    return table(spark, sf_dir, "lineitem").select(
+    return spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag")).select(
         F.concat_ws("-", F.col("l_orderkey").cast("string"), n.cast("string")).alias("item_id"), F.concat(F.lit("What is "), q.cast("string"), F.lit(" * "), n.cast("string"), F.lit("?")).alias("task"), gold.cast("string").alias("gold"),
         _texts().alias("choices"), _texts().alias("aliases"), F.lit("a number").alias("output_contract"), F.lit("numeric").alias("evaluator"), F.create_map(F.lit("flag"), F.col("l_returnflag")).alias("metadata"),
         F.col("l_returnflag").alias("flag"), (F.col("l_orderkey") % 17 == 0).alias("corrupt"),
