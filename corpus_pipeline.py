@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm import decontam, mixing, sharding, simhash, toxicity
+from lodestone.llm import decontam, mixing, nearcopies, sharding, toxicity
 from lodestone.llm._base import stash, table, word_count
 
 TOXIC = 0.3
@@ -20,9 +20,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies the document of the smallest id stays; among rows of that id, one does.
+    """Near copies are texts whose five-word shingles are alike by 0.8 or more. Of each component the document of the smallest id stays; among rows of that id, one does.
     Of rows without an id one stays, if some component has no id at all."""
-    found = simhash.near_duplicates(docs)
+    found = nearcopies.near_copies(docs)
     keep = found.where("doc_id <=> component_id").select("doc_id").distinct()
     kept = docs.join(keep.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
     if keep.count() == kept.count():

@@ -378,3 +378,45 @@ def test_pipeline_stages(spark):
     twice = docs.limit(5).union(docs.limit(5))
     assert c.drop_near_copies(spark, twice, SF).count() == c.drop_near_copies(spark, docs.limit(5), SF).count()
 
+
+def test_pipeline_drops_true_near_copies(spark, odd, none):
+    """Against brute-force Jaccard of five-word shingles."""
+    import corpus_pipeline as c
+
+    rng = random.Random(11)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for k in range(60):  # copies with single words changed, whose similarity lies around 0.8
+        base = prose(rng, rng.randrange(20, 300)).split()
+        texts[10_000 + 10 * k] = " ".join(base)
+        for j in range(1, 4):
+            w = list(base)
+            for _ in range(max(1, len(w) // 60 * j // 2)):
+                w[rng.randrange(len(w))] = "changed"
+            texts[10_000 + 10 * k + j] = " ".join(w)
+    texts |= {20_000: None, 20_001: " ", 20_002: "one two", 20_003: "One  two", 20_004: "two one"}
+    sets = {}
+    for i, t in texts.items():
+        w = (t or "").encode().lower().split()
+        sets[i] = {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))}
+    lead = {i: i for i in sets}
+
+    def find(x):
+        while lead[x] != x:
+            x = lead[x]
+        return x
+
+    ids, far = sorted(sets), 0
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            both = len(sets[a] & sets[b])
+            if both >= 0.8 * (len(sets[a]) + len(sets[b]) - both):
+                far += (plain_simhash(texts[a]) ^ plain_simhash(texts[b])).bit_count() > 2
+                x, y = sorted((find(a), find(b)))
+                lead[y] = x
+    assert far > 20
+    table = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in c.drop_near_copies(spark, table, SF).collect()) == sorted({find(i) for i in ids})
+    assert c.drop_near_copies(spark, none, SF).count() == 0
+    kept = [r["doc_id"] for r in c.drop_near_copies(spark, odd, SF).collect()]
+    assert kept.count(7) == 0 and kept.count(6) == 1 and kept.count(1) == 1 and 2 not in kept and 3 not in kept and 5 not in kept
