@@ -420,3 +420,19 @@ def test_pipeline_drops_true_near_copies(spark, odd, none):
     assert c.drop_near_copies(spark, none, SF).count() == 0
     kept = [r["doc_id"] for r in c.drop_near_copies(spark, odd, SF).collect()]
     assert kept.count(7) == 0 and kept.count(6) == 1 and kept.count(1) == 1 and 2 not in kept and 3 not in kept and 5 not in kept
+
+
+def test_passages_of_long_words_are_whole(spark):
+    """Gaps and margins are words, however many bytes a word has."""
+    rng = random.Random(12)
+    rows, want = [], {}
+    for k, size in enumerate((6, 30, 100, 400)):
+        word = lambda: "".join(rng.choice("абвгдежзик") for _ in range(size // 2))  # noqa: E731, B023
+        for j, n in enumerate((50, 60, 300)):
+            run, i = [word() for _ in range(n)], 100 * k + 10 * j
+            for d in (0, 1):
+                head = " ".join(word() for _ in range(20))
+                rows.append((i + d, " ".join([head, *run, *[word() for _ in range(20)]])))
+                want[i + d] = (len((head + " ").encode()), len(" ".join([head, *run]).encode()), i + 1 - d)
+    got = {r["doc_id"]: [tuple(p) for p in r["passages"]] for r in substring.duplicated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: [p] for i, p in want.items()}
