@@ -436,3 +436,18 @@ def test_passages_of_long_words_are_whole(spark):
                 want[i + d] = (len((head + " ").encode()), len(" ".join([head, *run]).encode()), i + 1 - d)
     got = {r["doc_id"]: [tuple(p) for p in r["passages"]] for r in substring.duplicated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i: [p] for i, p in want.items()}
+
+
+def test_anchor_without_the_passage_hides_none(spark):
+    """The smallest holders have half of the passage each, a frequent line, or the line twice."""
+    rng = random.Random(13)
+    rows = []
+    for k in range(8):
+        whole, i = prose(rng, 60).split(), 100 * (k + 1)
+        rows += [(i, " ".join(whole[:30])), (i + 1, " ".join(whole[30:])), (i + 2, prose(rng, 30) + " " + " ".join(whole)), (i + 3, " ".join(whole) + " " + prose(rng, 40))]
+    line, body = prose(rng, 12), prose(rng, 46)
+    rows += [(1, f"{line} {prose(rng, 60)} {line} {body}"), (2, f"{line} {prose(rng, 70)}"), (3, f"{prose(rng, 20)} {line} {body}"), (4, f"{prose(rng, 9)} {line} {body} end")]
+    got = {r["doc_id"]: r for r in substring.duplicated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i in range(100, 900, 100):
+        assert [got[i + j]["component_id"] - i for j in range(4)] == [0, 1, 2, 2] and got[i + 2]["n_links"] == got[i + 3]["n_links"] == 1
+    assert [got[i]["component_id"] for i in (1, 2, 3, 4)] == [1, 2, 1, 1] and got[4]["dup_bytes"] == len(f"{line} {body}")
