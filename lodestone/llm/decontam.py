@@ -1,10 +1,10 @@
 """Benchmark decontamination: CGK embedding, bit-sampling LSH over item-sized windows, exact edit verification.
 
 Texts are compared as sequences of words (lower case, ASCII white space cuts, outer punctuation off). A document
-holds an item if one of its windows is within edit distance floor(ERROR * words) of it, in words. Windows have
-the item's size. A q-gram count, which no window within that distance can miss (an edit destroys two of an item's
+holds an item if one of its windows is within edit distance floor(ERROR * words) of it, in words. A q-gram count, which no window within that distance can miss (an edit destroys two of an item's
 word pairs at most), decides which windows are embedded; the CGK walk then maps edit to Hamming distance, and as
-many bit samples are drawn as the target recall asks for.
+many bit samples are drawn as the target recall asks for. Embedded windows have the item's size; windows of other sizes,
+and what the samples miss, are found by the same count per item and an alignment with free ends, which misses nothing.
 """
 
 from __future__ import annotations
@@ -121,6 +121,38 @@ def edit_distance(at: dict, n: int, b: list) -> int:
     return score
 
 
+def prefix_distances(at: dict, n: int, b: list, free: bool) -> list[int]:
+    """Levenshtein distances of a sequence of n symbols, given by its places, and each prefix of b (from one symbol on);
+    with free, the least over all ends of that prefix."""
+    full, top = (1 << n) - 1, 1 << (n - 1)
+    up, down, score, out = full, 0, n, []
+    for x in b:
+        m = at.get(x, 0)
+        d = (((m & up) + up) ^ up) | m | down
+        hp, hn = down | ~(d | up) & full, up & d
+        if hp & top:
+            score += 1
+        elif hn & top:
+            score -= 1
+        hp = hp << 1 | (not free)
+        up, down = (hn << 1 | ~(d | hp)) & full, hp & d & full
+        out.append(score)
+    return out
+
+
+def nearest_window(word: list, b: list) -> tuple[int, int, int]:
+    """(distance, start, size) of a window of b that is nearest to the words; of equal ones the size closest to theirs."""
+    n = len(word)
+    ends = prefix_distances(places(word), n, b, True)
+    d = min(ends, default=n)
+    if d >= n:
+        return n, 0, 0
+    end = ends.index(d) + 1
+    back = prefix_distances(places(word[::-1]), n, b[end - 1 :: -1], False)
+    size = min((abs(m + 1 - n), m + 1) for m, x in enumerate(back) if x == d)[1]
+    return d, end - size, size
+
+
 def cgk(x: np.ndarray, seed: int, length: int) -> np.ndarray:
     """CGK embeddings (rows, length) of equally long rows of symbols: a pointer walks over the row and moves on
     as a random bit of (step, symbol) says; past the end it reads 0."""
@@ -175,7 +207,11 @@ class Items:
                         keys[key].append(i)
                     tables.append((at, keys, np.array(sorted(keys), dtype=np.uint64)))
                 walks.append(tables)
-            self.groups.append((n, most, walks, np.isin(self.pairs, np.concatenate([self._pairs(self.words[i]) for i in members]))))
+            holders = defaultdict(list)  # items of the group by the pairs that they have
+            for i in members:
+                for k in np.searchsorted(self.pairs, np.unique(self._pairs(self.words[i]))).tolist():
+                    holders[k].append(i)
+            self.groups.append((n, most, walks, np.isin(self.pairs, np.concatenate([self._pairs(self.words[i]) for i in members])), holders))
 
     @staticmethod
     def _pairs(w: np.ndarray) -> np.ndarray:
@@ -211,7 +247,7 @@ class Items:
         hit, which = hit[same], which[same]  # places of word pairs that some item has, and which pairs they are
         owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for n, most, walks, own in self.groups:
+        for n, most, walks, own, holders in self.groups:
             run = np.zeros(len(h), dtype=np.int32)
             run[hit[own[which]] + 1] = 1
             run = np.cumsum(run, dtype=np.int32)  # pairs of this group's items before each word
@@ -229,8 +265,39 @@ class Items:
                 for row, items in self._candidates(x, walks).items():
                     t = int(short[row])
                     self._verify(h, int(first[t]), int(size[t]), t, items, most, best, int(first[t]))
+            if n > 1 and most:
+                on = own[which] & (owner[hit] == owner[hit + 1])
+                self._count(h, owner, first, hit[on], which[on], n, most, holders, best)
         return [(t, self.ids[i], a, b, d) for (t, i), (d, a, b) in sorted(best.items())]
 
+    def _count(self, h, owner, first, at, which, n, most, holders, best) -> None:
+        """All windows within reach of an item: they have need of its word pairs in n + most words. at: places of pairs of the group."""
+        need, reach = n - 1 - 2 * most, n + most
+        runs = np.flatnonzero((at[need - 1 :] - at[: len(at) - need + 1] <= reach - 2) & (owner[at[need - 1 :]] == owner[at[: len(at) - need + 1]])) if len(at) >= need else at[:0]
+        cut = np.flatnonzero((runs[1:] - runs[:-1] >= need) | (owner[at[runs[1:]]] != owner[at[runs[:-1]]])) + 1
+        for part in np.split(runs, cut) if len(runs) else []:
+            lo, hi = int(part[0]), int(part[-1]) + need
+            t = int(owner[at[lo]])
+            seen = defaultdict(list)
+            for p, k in zip(at[lo:hi].tolist(), which[lo:hi].tolist(), strict=True):
+                for i in holders[k]:
+                    seen[i].append(p)
+            for i, ps in seen.items():
+                spans: list[list[int]] = []
+                for a, b in zip(ps, ps[need - 1 :]):  # noqa: B905
+                    if b - a <= reach - 2:
+                        x, y = max(int(first[t]), b + 2 - reach), min(int(first[t + 1]), a + reach)
+                        if spans and x <= spans[-1][1]:
+                            spans[-1][1] = max(spans[-1][1], y)
+                        else:
+                            spans.append([x, y])
+                for x, y in spans:
+                    known = best.get((t, i), (most + 1, 0, 0))[0]
+                    if known:
+                        d, start, size = nearest_window(self.words[i].tolist(), h[x:y].tolist())
+                        if d < known:
+                            best[t, i] = (d, x + start - int(first[t]), size)
+
     def _probe(self, h, owner, first, s, n, most, walks, best) -> None:
         for k in range(0, len(s), 8192):
             part = s[k : k + 8192]

@@ -451,3 +451,35 @@ def test_anchor_without_the_passage_hides_none(spark):
     for i in range(100, 900, 100):
         assert [got[i + j]["component_id"] - i for j in range(4)] == [0, 1, 2, 2] and got[i + 2]["n_links"] == got[i + 3]["n_links"] == 1
     assert [got[i]["component_id"] for i in (1, 2, 3, 4)] == [1, 2, 1, 1] and got[4]["dup_bytes"] == len(f"{line} {body}")
+
+
+def test_decontamination_at_the_limit(spark):
+    """Words left out, put in and substituted up to the limit of 20 %, against a brute-force search of all windows."""
+    rng = random.Random(14)
+    items, docs = [], []
+    for k in range(90):
+        n = (12, 20, 30)[k % 3]
+        w = prose(rng, n).split()
+        items.append((k, " ".join(w)))
+        most = n // 5
+        for extra in (0, 1):
+            e = list(w)
+            for x in rng.sample(range(1, n - 1), most + extra):
+                e[x] = (None, f"new{x}", f"{e[x]} more{x}")[k // 3 % 3]
+            docs.append((2 * k + extra, " ".join([prose(rng, 25), *[x for x in e if x], prose(rng, 25)])))
+
+    def nearest(item, text):  # the least distance to a window, from the table with free ends
+        row = [0] * (len(text) + 1)
+        for i, x in enumerate(item, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(text, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return min(row)
+
+    want = {(d, k): near for d, t in docs for k, item in items if (near := nearest(item.split(), t.split())) <= len(item.split()) // 5}
+    assert len(want) >= 90
+    got = decontam.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]): r["distance"] for r in got} == want
+    texts, asked = dict(docs), dict(items)
+    for r in got:
+        assert slow_distance(texts[r["doc_id"]].split()[r["first_word"] : r["first_word"] + r["n_words"]], asked[r["item_id"]].split()) == r["distance"]
