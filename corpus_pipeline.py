@@ -32,9 +32,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    found = stash(decontam.leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "leaks")
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """Documents that hold a benchmark item go, whatever their id: a text's hash stands for it."""
+    hashed = docs.select(F.xxhash64("text").alias("doc_id"), "text")
+    found = stash(decontam.leaks(hashed, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("__text")).distinct(), "leaks")
+    return docs.join(found, F.xxhash64("text") == F.col("__text"), "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

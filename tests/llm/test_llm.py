@@ -483,3 +483,13 @@ def test_decontamination_at_the_limit(spark):
     texts, asked = dict(docs), dict(items)
     for r in got:
         assert slow_distance(texts[r["doc_id"]].split()[r["first_word"] : r["first_word"] + r["n_words"]], asked[r["item_id"]].split()) == r["distance"]
+
+
+def test_leaks_go_by_text(spark):
+    """Rows without an id go if they leak, and clean rows that share a leaking row's id stay."""
+    import corpus_pipeline as c
+
+    item = next(r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect() if len((r["text"] or "").split()) > 10)
+    rows = [(None, item), (None, "clean words"), (1, item), (1, "other clean words"), (2, None)]
+    left = c.drop_leaks(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()
+    assert sorted(map(str, left)) == sorted(str(r) for r in spark.createDataFrame([rows[1], rows[3], rows[4]], "doc_id long, text string").collect())
