@@ -85,12 +85,32 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int = 8 << 2
         yield batch.slice(start)
 
 
+#: A key with over one in HUBS of all rows counts as a hub; there are fewer than HUBS of them, whatever the data.
+HUBS, SALTS = 1000, 32
+
+
+def hubs(df: DataFrame, key: str) -> DataFrame:
+    """The keys (fewer than HUBS) that hold a large share of the rows, with their count; small enough to broadcast."""
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("__rows"))
+    total = df.agg(F.count(F.lit(1)).alias("__all"))
+    return counts.crossJoin(F.broadcast(total)).where(F.col("__rows") * HUBS > F.greatest("__all", F.lit(HUBS))).select(key, "__rows")
+
+
+def salted_join(big: DataFrame, small: DataFrame, key: str) -> DataFrame:
+    """Inner join on key, where rows of big that share a hub key go to SALTS tasks and their row of small to each of them."""
+    hot = F.broadcast(hubs(big, key).select(key, F.lit(SALTS).alias("__salts")))
+    salt = F.pmod(F.xxhash64(*big.columns), F.coalesce("__salts", F.lit(1)))
+    left = big.join(hot, key, "left").withColumn("__salt", salt.cast("int")).drop("__salts")
+    right = small.join(hot, key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1))).drop("__salts")
+    return left.join(right, [key, "__salt"]).drop("__salt")
+
+
 def connected_components(edges: DataFrame, left: str = "a", right: str = "b", max_rounds: int = 40) -> DataFrame:
     """(node, root) for each node of an undirected graph of longs; root is the smallest node reachable.
 
     Alternates the large-star and small-star steps until the edge set stays the same. Each step is one
-    grouped minimum and one equi-join, so a node of huge degree is pre-aggregated before its exchange and
-    its join side can be split by adaptive execution. Edge sets go to the shared folder after each round.
+    grouped minimum and one join, in which a node with a large share of all edges is spread over tasks.
+    Edge sets go to the shared folder after each round.
     Self-loops and null ends are ignored; an empty graph gives no rows.
     """
     e = edges.select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v"))
@@ -103,10 +123,10 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b", ma
         seen = now
         both = e.union(e.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
+        large = salted_join(both, least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = stash(large.where("u <> v").distinct(), "edges")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = salted_join(large, least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = stash(small.union(least).distinct(), "edges")
     else:
         raise RuntimeError("components did not settle")

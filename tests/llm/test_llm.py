@@ -276,9 +276,86 @@ def test_fuzzy_passage_is_found(spark):
 
 
 def test_chains_are_collinear():
-    x = np.array([0, 100, 200, 300, 150, 5000])
-    y = np.array([1000, 1100, 1210, 1300, 90, 200])
-    assert (0, 300, 1000, 1300) in substring.chains(x, y)
+    x = np.array([0, 30, 60, 90, 45, 5000])
+    y = np.array([1000, 1030, 1061, 1090, 90, 200])
+    assert [(0, 0, -1000), (30, 30, -1000), (60, 60, -1001), (90, 90, -1000)] in substring.chains(x, y)
+
+
+def test_chaining_against_all_pairs():
+    """Every segment's score and predecessor, against a search of all segments before it."""
+    rng = random.Random(15)
+    for _ in range(300):
+        n = rng.randrange(1, 40)
+        x = np.array([rng.randrange(300) for _ in range(n)])
+        y = np.array([rng.randrange(300) if rng.random() < 0.3 else max(0, v + rng.randrange(-4, 5)) for v in x.tolist()])
+        segs = substring.segments(x, y)
+        want = [0.0] * len(segs)
+
+        def through(i, j):
+            (x0, _, d, w), (_, x1, e, _) = segs[i], segs[j]  # noqa: B023
+            return w + want[j] - substring.SHIFT_COST * abs(d - e) - substring.FAR_COST * max(x0 - x1, x0 - d - (x1 - e))  # noqa: B023
+
+        before = lambda i, j: segs[j][1] < segs[i][0] and segs[j][1] - segs[j][2] < segs[i][0] - segs[i][2]  # noqa: E731, B023
+        for i in range(len(segs)):
+            want[i] = max([segs[i][3], *[through(i, j) for j in range(len(segs)) if before(i, j)]])
+        score, prev = substring.best_predecessors(segs)
+        assert score == pytest.approx(want)
+        assert all(j < 0 or before(i, j) and through(i, j) == pytest.approx(score[i]) for i, j in enumerate(prev))
+        assert sorted(s for c in substring.chains(x, y) for s in c) == sorted(s[:3] for s in segs)
+
+
+def edited(rng, passage, every, kind):
+    """One word in `every` changed, left out, or followed by a new one; "random": changed at random places."""
+    out = []
+    for k, w in enumerate(passage):
+        hit = rng.random() < 1 / every if kind == "random" else k % every == every - 1
+        out += [w] if not hit else {"left out": [], "added": [w, f"new{k}"]}.get(kind, [f"new{k}"])
+    return out
+
+
+@pytest.mark.parametrize("kind", ["changed", "left out", "added", "random"])
+def test_recall_by_identity(kind):
+    """Of passages of 80 words, that are alike by 80 % (one word in five) and more, nine in ten are found at least; random changes from one word in six on."""
+    rng = random.Random(16)
+    words = [f"{rng.getrandbits(40):x}" for _ in range(5000)]
+    some = lambda n: [rng.choice(words) for _ in range(n)]
+    for every in (5, 6, 7, 8, 10, 12, 15)[kind == "random" :]:
+        found = 0
+        for _ in range(100):
+            passage = some(80)
+            texts = [" ".join([*some(40), *p, *some(60)]).encode() for p in (passage, edited(rng, passage, every, kind))]
+            owner, gram, at = substring.seeds_of(texts)
+            at_a = dict(zip(gram[owner == 0].tolist(), at[owner == 0].tolist(), strict=True))
+            links = [(at_a[g], y) for g, y in zip(gram[owner == 1].tolist(), at[owner == 1].tolist(), strict=True) if g in at_a]
+            ha, hb = (substring._words(np.frombuffer(t + b" ", np.uint8))[2].tolist() for t in texts)
+            found += bool(links) and any(substring.align(ha, hb, c) for c in substring.chains(*map(np.array, zip(*links, strict=True))))
+        assert found >= 90, every
+
+
+def test_smaller_ids_hide_no_passage(spark):
+    """Documents that hold 30 words of a passage, at every place of it, don't part those that hold all of it."""
+    rng = random.Random(17)
+    for case in range(3):
+        passage = prose(rng, 80).split()
+        rows = [(i, prose(rng, 30) + " " + " ".join(passage[8 * i : 8 * i + 30]) + " " + prose(rng, 30)) for i in range(1, 8)]
+        rows += [(100 + i, " ".join([prose(rng, 20), *passage, prose(rng, 20)])) for i in range(2 + case)]
+        got = {r["doc_id"]: r for r in substring.duplicated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert all(got[100 + i]["component_id"] == 100 and got[100 + i]["n_links"] for i in range(2 + case)), case
+        assert all(got[i]["component_id"] == i for i in range(1, 8))
+
+
+def test_hot_seeds_change_nothing(spark, monkeypatch):
+    """A line and a passage that half of the documents hold, with and without the way for hot seeds."""
+    rng = random.Random(18)
+    line, passage = prose(rng, 15), prose(rng, 60)
+    rows = [(i, " ".join([prose(rng, 40), line if i % 2 else prose(rng, 9), prose(rng, 40), passage if i % 3 else ""])) for i in range(1, 61)] + [(None, f"{passage} no id"), (3, "3 twice")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted((r["doc_id"] or -1, r["component_id"], r["dup_bytes"]) for r in substring.duplicated_passages(docs).collect())
+    assert [c for i, c, _ in want if i == 3] == [3, 3] and all(c == (i if i % 3 == 0 else 1) for i, c, _ in want if i >= 0) and want[0][1] == 1
+    monkeypatch.setattr(substring, "SAMPLE", 1)
+    monkeypatch.setattr(substring, "HOT_LEAST", 5)
+    assert len(substring._hot_seeds(docs.withColumn("tid", F.xxhash64("text")))) > 5
+    assert sorted((r["doc_id"] or -1, r["component_id"], r["dup_bytes"]) for r in substring.duplicated_passages(docs).collect()) == want
 
 
 def test_surrogates(spark, odd, none):
