@@ -41,6 +41,11 @@ def coin(seed: int, *keys: Column) -> Column:
     return F.conv(F.substring(F.md5(key), 1, 12), 16, 10).cast("long") / F.lit(float(1 << 48))
 
 
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """What a row's coin depends on: its id, or its text where it has none, so that rows without an id don't share one coin."""
+    return F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")))))
+
+
 def mix(docs: DataFrame, size: Column, id_col: str = "doc_id", source_col: str = "source", weights: Sequence[float] = (5, 2, 1), max_repeat: float = 3.0, seed: int = 17) -> DataFrame:
     """docs plus __size, __source_size, __target and __copies: floor(rate), and one more where the coin is below the fraction.
 

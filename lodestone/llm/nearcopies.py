@@ -1,10 +1,4 @@
-"""Near copies of texts by the Jaccard similarity of their five-word shingles: min-hash bands, exact verification.
-
-Texts at similarity 0.8 differ in about a tenth of their SimHash bits, further than an index of fingerprints can
-tell near from far; each of BANDS bands of ROWS least hashes is equal with probability 0.8 ** ROWS there, so a pair
-at LIKE shares no band with probability (1 - 0.8 ** ROWS) ** BANDS = 0.0002. What shares a band is compared by its
-sets of shingles.
-"""
+"""What the search for near copies by five-word shingles compares: fingerprints, min-hash bands, and exact similarity."""
 
 from __future__ import annotations
 
@@ -16,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm._base import connected_components, ship, slices, stash, text_bytes
+from lodestone.llm._base import salted_join, slices, stash, text_bytes
 from lodestone.llm.substring import _mix, _words
 
 WIDTH, LIKE = 5, 0.8
@@ -63,26 +57,33 @@ def bands(gram: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def _signed(keys: list[int]) -> pa.Array:
-    return pa.array(np.array(keys, dtype=np.uint64).view(np.int64), pa.int64())
+def simhashes(gram: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A 64-bit fingerprint per text: a bit is 1 if it is set in over half of the shingles; 0 without shingles."""
+    out = np.zeros(len(at) - 1, dtype=np.uint64)
+    n = np.diff(at)
+    some = np.flatnonzero(n)
+    if len(some):
+        for bit in range(64):
+            count = np.add.reduceat((gram >> np.uint64(bit) & np.uint64(1)).astype(np.int32), at[some])
+            out[some] |= (2 * count > n[some]).astype(np.uint64) << np.uint64(bit)
+    return out
 
 
-def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for big in batches:
-        for batch in slices([big], "text", 1 << 20):
-            if batch.num_rows:
-                gram, at, keys = shingles(text_bytes(batch, "text"))
-                found = bands(gram, at).view(np.int64)
-                offsets = np.concatenate([[0], np.cumsum(np.where(np.diff(at) > 0, BANDS, 0))]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(found[np.diff(at) > 0].ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _signed(keys), lists], ["doc_id", "key", "bands"])
+SKETCH = "tid long, key long, fp long, bands array<long>"
 
 
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (tid, text): the hash of the text's words, its fingerprint and its bands (none without words)."""
+    names = [c.split()[0] for c in SKETCH.split(", ")]
     for big in batches:
         for batch in slices([big], "text", 1 << 20):
             if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([_signed(shingles(text_bytes(batch, "text"))[2]), batch.column("text")], ["id", "text"])
+                gram, at, keys = shingles(text_bytes(batch, "text"))
+                found, some = bands(gram, at).view(np.int64), np.diff(at) > 0
+                offsets = np.concatenate([[0], np.cumsum(np.where(some, BANDS, 0))]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(found[some].ravel()))
+                key = pa.array(np.array(keys, dtype=np.uint64).view(np.int64), pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column("tid"), key, pa.array(simhashes(gram, at).view(np.int64)), lists], names)
 
 
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,43 +101,12 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(near)) for c in "ab"], ["a", "b"])
 
 
-def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The pairs (a, b) of text keys whose shingle sets are alike."""
+def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The pairs (a, b) of texts, by tid, whose shingle sets are alike; rows has (tid, text)."""
     pairs = stash(pairs, "pairs")
-    side = lambda c: F.struct(F.col(c).alias("id"), F.lit(c).alias("side"))
-    asked = pairs.select("a", "b", F.explode(F.array(side("a"), side("b"))).alias("s")).select("a", "b", "s.id", "s.side")
-    wanted = asked.select("id").distinct()
-    texts = rows.mapInArrow(_keyed, "id long, text string").join(wanted, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))
+    side = lambda c: F.struct(F.col(c).alias("tid"), F.lit(c).alias("side"))
+    asked = pairs.select("a", "b", F.explode(F.array(side("a"), side("b"))).alias("s")).select("a", "b", "s.tid", "s.side")
+    texts = rows.join(asked.select("tid").distinct(), "tid", "left_semi").groupBy("tid").agg(F.first("text").alias("text"))
     one = lambda s: F.max(F.when(F.col("side") == s, F.col("text"))).alias(f"{s}_text")
-    got = asked.join(texts, "id").groupBy("a", "b").agg(one("a"), one("b"))
+    got = salted_join(asked, texts, "tid").groupBy("a", "b").agg(one("a"), one("b"))
     return stash(got.mapInArrow(_alike, "a long, b long"), "alike")
-
-
-def near_copies(docs: DataFrame) -> DataFrame:
-    """(doc_id, component_id): one row per row of docs.
-
-    Texts of equal words (A-Z as a-z) link, as do texts whose sets of WIDTH-word shingles have a Jaccard similarity of
-    LIKE or more; component_id is the smallest doc_id reachable, null only where none has an id. Null text is empty; all
-    texts without words are one class. Members of a band are first compared with its least member; then all pairs of a
-    band that this left in different components.
-    """
-    ship(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    keyed = stash(rows.mapInArrow(_banded, "doc_id long, key long, bands array<long>"), "bands")
-    per = keyed.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands"))
-    each = per.select("key", F.explode("bands").alias("band"))
-    leads = stash(each.groupBy("band").agg(F.min("key").alias("lead"), F.max("key").alias("last")).where("lead < last").select("band", "lead"), "leads")
-    held = stash(each.join(leads, "band").select("band", "lead", "key"), "held")
-    star = held.where("key <> lead").select(F.col("lead").alias("a"), F.col("key").alias("b")).distinct()
-    links = _verified(star, rows)
-    comps = stash(connected_components(links), "components")
-    named = held.join(comps, held["key"] == comps["node"], "left").select("band", "key", F.coalesce("root", "key").alias("root"))
-    mixed = named.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band")
-    left = stash(named.join(mixed, "band", "left_semi"), "left")
-    other = left.select("band", F.col("key").alias("b"), F.col("root").alias("other"))
-    more = left.withColumnRenamed("key", "a").join(other, "band").where("a < b and root <> other").select("a", "b").distinct()
-    more = more.join(star, ["a", "b"], "left_anti")
-    comps = connected_components(links.union(_verified(more, rows)))
-    rooted = keyed.groupBy("key").agg(F.min("doc_id").alias("least")).join(comps, F.col("key") == comps["node"], "left").select("key", "least", F.coalesce("root", "key").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return keyed.select("doc_id", "key").join(rooted.join(least, "root").select("key", "component_id"), "key").select("doc_id", "component_id")

@@ -30,7 +30,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    mixed = mixing.mix(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), F.col("size"))
+    mixed = mixing.mix(docs.select("doc_id", "source", mixing.row_key().alias("key"), word_count(F.col("text")).alias("size")), F.col("size"), id_col="key")
     return mixed.select(
         "doc_id",
         F.col("__size").alias("size"),
@@ -41,7 +41,7 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP3_SQL = r"""
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+WITH d AS (SELECT doc_id, source, coalesce(doc_id::VARCHAR, 'text:' || md5(coalesce(text, ''))) AS key, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT source, source_size, 3.0::DOUBLE * source_size AS cap,
       [5.0::DOUBLE, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3) + 1] AS weight FROM s),
@@ -52,7 +52,7 @@ f AS (SELECT *, cap <= (total - cap_before) / (all_weight - weight_before) * wei
 l AS (SELECT *, coalesce(sum(CASE WHEN is_full THEN cap END) OVER (), 0) AS held, coalesce(sum(CASE WHEN NOT is_full THEN weight END) OVER (), 0) AS free FROM f),
 t AS (SELECT source, source_size, CASE WHEN is_full THEN cap ELSE weight * (total - held) / free END AS target FROM l),
 r AS (SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
-      ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, 'null')), 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS coin
+      ('0x' || substr(md5('17:' || key), 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS coin
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target,
        (size * (floor(rate)::BIGINT + CASE WHEN coin < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken FROM r

@@ -17,7 +17,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm._base import connected_components, ship, slices, stash, text_bytes
+from lodestone.llm import nearcopies
+from lodestone.llm._base import connected_components, salted_join, ship, slices, stash, text_bytes
 
 SEED = 42
 FAN = 8
@@ -204,3 +205,37 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(least, "root").select("fp", "component_id")
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
+    """(tid, root): of each text of docs, keyed by xxhash64 of it (null as empty), the class of its near copies.
+
+    Texts of equal words (A-Z as a-z) link, as do texts whose sets of five-word shingles have a Jaccard similarity of
+    0.8 or more. Candidates are texts whose fingerprints the Gray-order index links, at 2 bits or fewer; as bits of
+    texts at that similarity differ with probability 0.15 (some 10 of 64), texts that share one of 16 bands of 4
+    min-hashes are candidates too, which a pair at 0.8 fails with probability 0.0002. All are compared by their shingles.
+    Members of a band first meet its least member, then all pairs that this left in different components. All texts
+    without words are one class; an empty table gives no rows.
+    """
+    ship(docs.sparkSession)
+    rows = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).select(F.xxhash64("text").alias("tid"), "text")
+    keyed = stash(rows.mapInArrow(nearcopies.sketches, nearcopies.SKETCH), "sketches")
+    per = stash(keyed.groupBy("key").agg(F.min("tid").alias("lead"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "texts")
+    each = per.select("lead", F.explode("bands").alias("band")).withColumnRenamed("lead", "tid")
+    leads = stash(each.groupBy("band").agg(F.min("tid").alias("lead"), F.max("tid").alias("last")).where("lead < last").select("band", "lead"), "leads")
+    held = stash(salted_join(each, leads, "band").select("band", "lead", "tid"), "held")
+    of_print = per.groupBy("fp").agg(F.min("lead").alias("lead"))
+    same = salted_join(per.select("fp", F.col("lead").alias("b")), of_print, "fp").where("lead <> b").select(F.col("lead").alias("a"), "b")
+    linked = near_links(per).join(of_print.select(F.col("fp").alias("a"), F.col("lead").alias("x")), "a").join(of_print.select(F.col("fp").alias("b"), F.col("lead").alias("y")), "b")
+    star = held.where("tid <> lead").select(F.col("lead").alias("a"), F.col("tid").alias("b"))
+    first = stash(star.union(same).union(linked.select(F.least("x", "y"), F.greatest("x", "y"))).distinct(), "star")
+    links = nearcopies.verified(first, rows)
+    comps = stash(connected_components(links), "components")
+    named = held.join(comps, held["tid"] == comps["node"], "left").select("band", "tid", F.coalesce("root", "tid").alias("root"))
+    mixed = named.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band")
+    left = stash(named.join(mixed, "band", "left_semi"), "left")
+    other = left.select("band", F.col("tid").alias("b"), F.col("root").alias("other"))
+    more = left.withColumnRenamed("tid", "a").join(other, "band").where("a < b and root <> other").select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
+    comps = connected_components(links.union(nearcopies.verified(more, rows)))
+    rooted = per.select("key", "lead").join(comps, per["lead"] == comps["node"], "left").select("key", F.coalesce("root", "lead").alias("root"))
+    return keyed.select("tid", "key").distinct().join(rooted, "key").select("tid", "root")

@@ -141,15 +141,45 @@ def test_communication_matrix():
     assert abs(mean - 25 / 3) < 0.15
 
 
+def test_draws_follow_the_law():
+    """The draws for tables beyond numpy's range, against the exact law and numpy's own draws."""
+    from math import comb
+
+    rng = np.random.default_rng(20)
+    for good, bad, n in ((7, 5, 6), (3, 40, 10), (50, 2, 51), (1, 1, 1), (0, 9, 4)):
+        got = collections.Counter(sharding.draw(rng, good, bad, n) for _ in range(20_000))
+        for k in range(max(0, n - bad), min(good, n) + 1):
+            share = comb(good, k) * comb(bad, n - k) / comb(good + bad, n)
+            assert abs(got.pop(k, 0) / 20_000 - share) < 5 * (share * (1 - share) / 20_000) ** 0.5 + 1e-9
+        assert not got
+    good, bad, n = 3_000_000_000, 40_000_000_000, 1_000_000
+    got = np.array([sharding.draw(rng, good, bad, n) for _ in range(400)])
+    sd = (n * good / (good + bad) * bad / (good + bad)) ** 0.5
+    assert abs(got.mean() - n * good / (good + bad)) < 4 * sd / 20 and 0.85 < got.std() / sd < 1.15
+
+
+def test_large_tables_take_the_same_path(spark, monkeypatch):
+    """With the limits pulled down, each partition and block is cut into pieces, and draws go beyond numpy's range."""
+    monkeypatch.setattr(sharding, "EXACT", 0)
+    monkeypatch.setattr(sharding, "MOST_PARTS", 8)
+    monkeypatch.setattr(sharding, "MOST_BLOCKS", 6)
+    docs = spark.range(2000).select(F.col("id").alias("doc_id"))
+    got = sharding.shard_rows(docs, ["doc_id"], 3, rows_per_task=16)
+    rows = sorted((r["shard"], r["slot"], r["doc_id"]) for r in got.collect())
+    assert [r[:2] for r in rows] == [(s, i) for s, n in enumerate((667, 667, 666)) for i in range(n)] and sorted(r[2] for r in rows) == list(range(2000))
+    assert rows == sorted((r["shard"], r["slot"], r["doc_id"]) for r in sharding.shard_rows(docs.repartition(5), ["doc_id"], 3, rows_per_task=16).collect())
+    assert abs(np.corrcoef([r[0] * 1000 + r[1] for r in rows], [r[2] for r in rows])[0, 1]) < 0.1
+
+
 def test_sharding(spark, odd, none):
     docs = spark.range(1003).select(F.col("id").alias("doc_id"))
-    got = sharding.shard_rows(docs, ["doc_id"], 40, rows_per_partition=64).collect()
+    got = sharding.shard_rows(docs, ["doc_id"], 40, rows_per_task=64).collect()
     per = collections.defaultdict(list)
     for r in got:
         per[r["shard"]].append(r["slot"])
     assert sorted(len(v) for v in per.values()) == [25] * 37 + [26] * 3
     assert all(sorted(v) == list(range(len(v))) for v in per.values())
-    assert sorted(got) == sorted(sharding.shard_rows(docs.repartition(7), ["doc_id"], 40, rows_per_partition=64).collect())
+    assert sorted(got) == sorted(sharding.shard_rows(docs.repartition(7), ["doc_id"], 40, rows_per_task=64).collect())
     rows = sharding.shard_rows(odd, ["doc_id", "text", "source"], 3)
     assert rows.count() == odd.count() and sharding.shard_rows(none, ["doc_id"], 3).count() == 0
 
@@ -440,11 +470,9 @@ def test_pipeline_stages(spark):
     import corpus_pipeline as c
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    kept = c.drop_near_copies(spark, docs, SF)
-    comps = {r["doc_id"]: r["component_id"] for r in queries.op7_simhash(spark, SF).collect()}
-    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(comps.values()))
+    ids = {r["doc_id"] for r in docs.collect()}
     leaks = {r["doc_id"] for r in queries.op6_decontamination(spark, SF).collect()}
-    assert {r["doc_id"] for r in c.drop_leaks(spark, docs, SF).collect()} == set(comps) - leaks
+    assert {r["doc_id"] for r in c.drop_leaks(spark, docs, SF).collect()} == ids - leaks
     mixed = c.mix_sources(spark, docs, SF)
     taken = {r["doc_id"]: r["taken"] for r in queries.op3_mixing(spark, SF).collect()}
     words = mixed.groupBy("doc_id").agg(F.sum(word_count(F.col("text"))).alias("n")).collect()
@@ -499,6 +527,24 @@ def test_pipeline_drops_true_near_copies(spark, odd, none):
     assert kept.count(7) == 0 and kept.count(6) == 1 and kept.count(1) == 1 and 2 not in kept and 3 not in kept and 5 not in kept
 
 
+def test_pipeline_stages_keep_rows_and_columns(spark, odd, none):
+    """Rows without an id or of one id are told apart by their texts; columns named as the stages' own stay as they are."""
+    import corpus_pipeline as c
+
+    rng = random.Random(19)
+    rows = [(None, prose(rng, 30)), (None, prose(rng, 30)), (None, None), (1, prose(rng, 30)), (1, prose(rng, 30)), (2, "a b"), (2, "a b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("source", F.lit("s"))
+    named = lambda d: d.select("*", *[F.lit(i).alias(n) for i, n in enumerate(("score", "__tid", "__id", "__n", "own___n", "__text", "__key", "__size", "__copies"))])
+    once = sorted(map(str, named(docs).distinct().collect()))
+    assert sorted(map(str, c.drop_near_copies(spark, named(docs), SF).collect())) == once
+    assert sorted(map(str, c.drop_leaks(spark, named(docs), SF).collect())) == sorted(map(str, named(docs).collect()))
+    assert sorted(map(str, c.mix_sources(spark, named(docs).distinct(), SF).collect())) == once
+    clashing = named(docs).withColumn("shard", F.lit("x")).withColumn("slot", F.lit("y"))
+    assert sorted(r["slot"] for r in c.shard(spark, clashing, SF).where("shard = 0").collect()) == [0] and c.shard(spark, clashing, SF).count() == 7
+    for stage in (c.drop_near_copies, c.drop_leaks, c.mix_sources, c.shard):
+        assert stage(spark, none, SF).count() == 0 and stage(spark, odd, SF).count() > 0
+
+
 def test_passages_of_long_words_are_whole(spark):
     """Gaps and margins are words, however many bytes a word has."""
     rng = random.Random(12)
