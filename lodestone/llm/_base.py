@@ -96,9 +96,10 @@ def hubs(df: DataFrame, key: str) -> DataFrame:
     return counts.crossJoin(F.broadcast(total)).where(F.col("__rows") * HUBS > F.greatest("__all", F.lit(HUBS))).select(key, "__rows")
 
 
-def salted_join(big: DataFrame, small: DataFrame, key: str) -> DataFrame:
-    """Inner join on key, where rows of big that share a hub key go to SALTS tasks and their row of small to each of them."""
-    hot = F.broadcast(hubs(big, key).select(key, F.lit(SALTS).alias("__salts")))
+def salted_join(big: DataFrame, small: DataFrame, key: str, counted: DataFrame | None = None) -> DataFrame:
+    """Inner join on key, where rows of big that share a hub key go to SALTS tasks and their row of small to each of them.
+    `counted` has the keys of big in a smaller table, if there is one."""
+    hot = F.broadcast(hubs(big if counted is None else counted, key).select(key, F.lit(SALTS).alias("__salts")))
     salt = F.pmod(F.xxhash64(*big.columns), F.coalesce("__salts", F.lit(1)))
     left = big.join(hot, key, "left").withColumn("__salt", salt.cast("int")).drop("__salts")
     right = small.join(hot, key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1))).drop("__salts")

@@ -101,12 +101,12 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(near)) for c in "ab"], ["a", "b"])
 
 
-def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The pairs (a, b) of texts, by tid, whose shingle sets are alike; rows has (tid, text)."""
+def verified(pairs: DataFrame, rows: DataFrame, counted: DataFrame) -> DataFrame:
+    """The pairs (a, b) of texts, by tid, whose shingle sets are alike; rows has (doc_id, tid, text), counted their tid."""
     pairs = stash(pairs, "pairs")
     side = lambda c: F.struct(F.col(c).alias("tid"), F.lit(c).alias("side"))
     asked = pairs.select("a", "b", F.explode(F.array(side("a"), side("b"))).alias("s")).select("a", "b", "s.tid", "s.side")
-    texts = rows.join(asked.select("tid").distinct(), "tid", "left_semi").groupBy("tid").agg(F.first("text").alias("text"))
+    texts = salted_join(rows, asked.select("tid").distinct(), "tid", counted).groupBy("tid").agg(F.first("text").alias("text"))
     one = lambda s: F.max(F.when(F.col("side") == s, F.col("text"))).alias(f"{s}_text")
     got = salted_join(asked, texts, "tid").groupBy("a", "b").agg(one("a"), one("b"))
     return stash(got.mapInArrow(_alike, "a long, b long"), "alike")
