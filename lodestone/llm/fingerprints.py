@@ -13,10 +13,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm._base import ship
+from lodestone.llm._base import ship, stash
 
 ALPHABET = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", dtype=np.uint8)
 REACH = 7
@@ -127,64 +127,76 @@ def likeness(x: str, y: str) -> float:
 
 NAMES = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_KINDS = [pa.int64(), pa.int64(), *[pa.string()] * 3, pa.float64(), pa.float64()]
+_ENDS = ["part", "first_text", "last_text"]
+
+
+def _pair(doc_id: int | None, own: str, own_print: str, after: str, after_print: str) -> tuple:
+    """The result of a document and the one after it."""
+    k = len(own) // 4
+    edited = own[: len(own) - k] + after[:k]
+    new = fingerprint(edited) if k else own_print
+    digest = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
+    return doc_id, len(own), digest, own_print, new, likeness(own_print, new), likeness(own_print, after_print)
 
 
 def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come by bucket and place; each but the borrowed one is paired with the row that follows in its bucket."""
-    held, rows = None, []  # held: bucket, id, text, fingerprint of the row that waits for its successor
+    """Rows of a part come in order; each but the last is paired with the one that follows. The last one comes out
+    unpaired, with the part's number, its first text and its last."""
+    first = held = None  # held: id, text, fingerprint of the row that waits for its successor
+    rows, part = [], None
     for batch in batches:
-        columns = (batch.column(c).to_pylist() for c in ("bucket", "borrowed", "doc_id", "text"))
-        for bucket, borrowed, doc_id, text in zip(*columns, strict=True):
+        for part, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("part", "doc_id", "text")), strict=True):
             text = text or ""
-            if held is not None and held[0] == bucket:
-                _, own_id, own, own_print = held
-                k = len(own) // 4
-                edited = own[: len(own) - k] + text[:k]
-                new, after = fingerprint(edited) if k else own_print, fingerprint(text)
-                digest = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
-                rows.append((own_id, len(own), digest, own_print, new, likeness(own_print, new), likeness(own_print, after)))
-                held = None if borrowed else (bucket, doc_id, text, after)
-            elif not borrowed:
-                held = (bucket, doc_id, text, fingerprint(text))
-        if len(rows) >= 1024:
-            yield _batch(rows)
-            rows = []
-    if rows:
+            now = fingerprint(text)
+            if held is None:
+                first = text
+            else:
+                rows.append((*_pair(*held, text, now), None, None, None))
+            held = (doc_id, text, now)
+            if len(rows) >= 1024:
+                yield _batch(rows)
+                rows = []
+    if held is not None:
+        rows.append((held[0], None, None, held[2], None, None, None, part, first, held[1]))
         yield _batch(rows)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), *[pa.string()] * 3, pa.float64(), pa.float64()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], NAMES)
+    kinds = [*_KINDS, pa.int64(), pa.string(), pa.string()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], NAMES + _ENDS)
+
+
+def _seams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last document of each part with the first of the next part."""
+    for batch in batches:
+        if batch.num_rows:
+            columns = (batch.column(c).to_pylist() for c in ("doc_id", "last_text", "fingerprint", "next_text"))
+            rows = [_pair(i, own, own_print, after, fingerprint(after)) for i, own, own_print, after in zip(*columns, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _KINDS, strict=True)], NAMES)
 
 
-def edited_fingerprints(docs: DataFrame, rows_per_bucket: int = 2048, most_buckets: int = 512) -> DataFrame:
+def edited_fingerprints(docs: DataFrame, part_bytes: int = 16 << 20) -> DataFrame:
     """One row per document with its fingerprint, that of the text whose last quarter gives way to the start of the
     next document, and how alike they and the next document's are.
 
-    The next document is that of the next doc_id (ties by the text's hash, then the text; null ids last); the first
-    follows the last. Texts move once: they go to buckets between quantiles of doc_id, and the first document of each
-    bucket, one per bucket, is also sent to the bucket before it. Null texts are empty.
+    The next document is that of the next doc_id (ties by the text's hash; null ids last); the first follows the last,
+    and a sole document follows itself. Null texts are empty, an empty table gives no rows, repeated rows stay.
+    Texts move once, to ranges of about part_bytes, whose number follows the bytes of the input; rows of one id, without
+    an id or equal in all columns spread over ranges too. The ends of the ranges, one row each, are paired afterwards.
     """
     ship(docs.sparkSession)
-    top = F.lit((1 << 63) - 1)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.withColumn("place", F.coalesce("doc_id", top))
-    n = rows.count()
-    buckets = int(min(max(8, -(-n // rows_per_bucket)), most_buckets))
-    cuts = rows.agg(F.percentile_approx("place", [i / buckets for i in range(1, buckets)], 20_000)).first()[0] or []
-    cuts = sorted(set(cuts))
-    # equal places fall into one bucket, as a bucket is the number of cuts below a place
-    bucket = F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]), lambda c: c < F.col("place"))) if cuts else F.lit(0)
-    firsts = sorted((r["b"], r["p"]) for r in rows.groupBy(bucket.alias("b")).agg(F.min("place").alias("p")).collect())
-    before = {p: firsts[i - 1][0] for i, (_, p) in enumerate(firsts)}
-    own = F.struct(bucket.alias("bucket"), F.lit(0).alias("borrowed"))
-    if before:
-        at = F.create_map(*[F.lit(x) for p, b in before.items() for x in (p, b)])
-        lent = F.when(F.col("place").isin(list(before)), F.array(own, F.struct(F.element_at(at, F.col("place")).alias("bucket"), F.lit(1).alias("borrowed"))))
-        rows = rows.withColumn("to", F.explode(F.coalesce(lent, F.array(own))))
-    else:
-        rows = rows.withColumn("to", own)
-    rows = rows.select("doc_id", "text", "place", F.col("to.bucket").alias("bucket"), F.col("to.borrowed").alias("borrowed"))
-    dealt = rows.repartition(len(firsts) or 1, "bucket").sortWithinPartitions("bucket", "borrowed", "place", F.xxhash64("text"), "text")
-    return dealt.select("bucket", "borrowed", "doc_id", "text").mapInArrow(_chains, SCHEMA)
+    size = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 64)).first()[0] or 0
+    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), F.col("at")]
+    rows = rows.withColumn("at", F.monotonically_increasing_id())
+    dealt = rows.repartitionByRange(max(8, -(-size // part_bytes)), *order).sortWithinPartitions(*order)
+    dealt = dealt.select(F.spark_partition_id().cast("long").alias("part"), "doc_id", "text")
+    done = stash(dealt.mapInArrow(_chains, SCHEMA + ", part long, first_text string, last_text string"), "chains")
+    ends = done.where("part is not null")
+    parts = ends.select("part")
+    # one number per range: the least row follows the last one
+    after = parts.select("part", F.lead("part").over(Window.orderBy("part")).alias("next")).withColumn("next", F.coalesce("next", F.min("part").over(Window.partitionBy())))
+    first = ends.select(F.col("part").alias("next"), F.col("first_text").alias("next_text"))
+    seams = ends.drop("first_text").join(after, "part").join(first, "next").select("doc_id", "last_text", "fingerprint", "next_text")
+    return done.where("part is null").select(*NAMES).union(seams.mapInArrow(_seams, SCHEMA))

@@ -262,7 +262,7 @@ def test_tokens_equal_the_library(spark, odd, none):
 def test_edited_fingerprints(spark, odd, none):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = sorted((r["doc_id"], r["text"]) for r in docs.collect())
-    got = {r["doc_id"]: r for r in fingerprints.edited_fingerprints(docs, rows_per_bucket=16).collect()}
+    got = {r["doc_id"]: r for r in fingerprints.edited_fingerprints(docs, part_bytes=20_000).collect()}
     for k, (i, t) in enumerate(rows):
         after = rows[(k + 1) % len(rows)][1]
         n = len(t) // 4
