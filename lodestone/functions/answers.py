@@ -18,10 +18,10 @@ def none_of(kind: str = "string") -> Column:
 def choice_index(answer: Column, choices: Column) -> Column:
     """Index from 0 of an answer among choices, null if it names none.
 
-    A label counts if it is a substring of the labels in use, so that "BC" gives 1; then comes loose equality with a
-    choice's text.
+    A label counts if it is a substring of the labels in use, so that "BC" gives 1; then a label with a period, whatever
+    follows it ("B. green"); then comes loose equality with a choice's text.
     """
-    label = F.upper(F.trim(answer))
+    label = F.regexp_replace(F.upper(F.trim(answer)), r"(?s)^([A-Z])\..*$", "$1")
     at = F.instr(F.substring(F.lit(LETTERS), F.lit(1), F.size(choices)), label) - 1
     text = F.array_position(F.transform(choices, normalize_loose), normalize_loose(answer)).cast("int") - 1
     return F.when((label != "") & (at >= 0), at).when(text >= 0, text)

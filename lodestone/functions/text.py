@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -28,8 +29,8 @@ def normalize_loose(x: Column) -> Column:
 
 def normalize_choice(x: Column) -> Column:
     """For comparing choices: dashes alike, no leading label."""
-    x = F.translate(normalize_text(x), "‐‑‒–—−", "------")
-    return F.trim(F.regexp_replace(x, r"^\(?[a-z][.):]\s+", ""))
+    x = F.translate(normalize_text(x), "–—−", "---")
+    return F.trim(F.regexp_replace(x, r"^[a-z]\s*[.):]\s*", ""))
 
 
 def parse_number(x: Column) -> Column:
@@ -63,21 +64,100 @@ def search_terms(x: Column, stopwords: tuple[str, ...] = ("the", "and", "for", "
     return F.filter(F.array_distinct(found), lambda t: ~t.isin(*stopwords))
 
 
+# What a rubric's numbers name without asserting them, in the order in which it is taken out; equal results need equal patterns.
+_AMOUNT = r"\d[\d,]*\.?\d*"
+NOT_ASSERTED = (
+    r"(?iU)\b[\w\-./]+\.(?:xlsx|xls|csv|txt|docx?|pdf|md|py|json|pptx?|png|html?)\b",
+    r"(?i)(?:≥|≤|>=|<=|>|<|至少|至多|不少于|不超过|不低于|不高于|大于|小于|超过|低于|高于|at least|at most|no (?:less|more) than|not (?:less|more) than|"
+    rf"greater than|less than|more than|over|above|below|up to|within|between)\s*[¥$]?\s*{_AMOUNT}\s*%?",
+    rf"(?U)\b{_AMOUNT}\s*%?\s*(?:-|to|~|–|—|至|到)\s*{_AMOUNT}\s*%",
+    rf"(?U)\b{_AMOUNT}\s*(?:-|–|—|~|至|到)\s*{_AMOUNT}\b",
+    r"(?U)\b[A-Za-z]{1,}[-_]?\d[\w-]*",
+    r"#\s*\d+",
+    r"(?iU)\b(?:item|items|partner|chapter|page|pages|top|no|number|question|article|figure|fig|table|slide|part|day|days|month|months|week|weeks|step|point|"
+    r"grades?|level|priority|section|row|column|col|q|dev|proj)\.?\s*#?\s*\d+",
+    r"第\s*\d+\s*(?:个|条|项|章|页|位|名|列|行|款|季度|周|天|月)?",
+    r"序号\s*\d+",
+    r"(?:19|20)\d{2}\s*年",
+    r"\d{1,2}\s*[月日号]",
+    r"(?U)\b(?:19|20)\d{2}\b",
+)
+
+
+def numbers(x: Column) -> Column:
+    """All unsigned decimal numbers, in order and with repeats, commas dropped."""
+    return F.transform(F.regexp_extract_all(F.regexp_replace(x, ",", ""), F.lit(r"\d[\d,]*\.?\d*"), 0), lambda n: n.try_cast("double"))
+
+
 def rubric_numbers(x: Column) -> Column:
-    """Substantive numbers of a rubric: commas dropped; years, list labels and single digits don't count."""
-    plain = F.regexp_replace(F.regexp_replace(F.coalesce(x, F.lit("")), r"(\d),(\d{3})", "$1$2"), r"\b(?:19|20)\d{2}\b", " ")
-    return F.transform(pieces(plain, r"\d{2,}(?:\.\d+)?|\d\.\d+"), lambda n: n.try_cast("double"))
+    """The numbers that a rubric asserts: file names, thresholds, ranges, identifiers, ordinals and dates don't count."""
+    x = F.coalesce(x, F.lit(""))
+    for pattern in NOT_ASSERTED:
+        x = F.regexp_replace(x, pattern, " ")
+    return numbers(x)
+
+
+def missed(expected: Column, output: Column) -> Column:
+    """Those of the expected numbers that no `label=value` line of an output has to within 0.5 % or 1."""
+    values = F.transform(F.filter(F.split(F.coalesce(output, F.lit("")), r"\r?\n"), lambda s: F.contains(s, F.lit("="))), lambda s: F.substring_index(s, "=", -1))
+    got = F.flatten(F.transform(values, numbers))
+    return F.filter(expected, lambda e: ~F.exists(got, lambda g: F.abs(g - e) <= F.greatest(F.lit(1.0), 0.005 * F.abs(e))))
 
 
 def path_like(x: Column) -> Column:
     return x.rlike(r"^[\w./\\-]+\.[A-Za-z0-9]{1,5}$")
 
 
+# Code lines too common to tell a solution; equal results need equal ones.
+GENERIC_LINES = ("pass", "continue", "break", "return", "return none", "return true", "return false", "return 0", "return 1", "none", "true", "false", "else:", "try:", "finally:")
+
+
+def substantive(line: Column) -> Column:
+    """Whether an added line is concrete code: not short, generic, a comment, a bare string, a constant or a keyword alone,
+    and with code punctuation, or with words enough of which one has an underscore or the first joins conditions."""
+    flat = F.trim(F.regexp_replace(F.lower(line), r"\s+", " "))
+    noise = line.rlike(r"""^(?:#|//|\*)|^[rubfRUBF]*(?:'{3}|"{3}|['"]{3})|^[rubfRUBF]*['"][^'"]{0,40}['"]$""")
+    bare = flat.rlike(r"^(?:(?:return\s+)?(?:none|true|false|\d+(?:\.\d+)?)|(?:raise|except|elif|if|for|while|with|class|def)\b[:\s]*)$")
+    words = F.regexp_extract_all(line, F.lit(r"[A-Za-z_][A-Za-z0-9_]*"), 0)
+    named = (F.size(words) >= 2) & F.exists(words, lambda w: F.contains(w, F.lit("_")))
+    joined = (F.size(words) >= 3) & F.lower(F.get(words, F.lit(0))).isin("and", "or", "not", "is", "in")
+    return (F.length(line) >= 8) & ~flat.isin(*GENERIC_LINES) & ~noise & ~bare & (line.rlike(r"[=().:\[\]{},]") | named | joined)
+
+
+def let(x: Column, use: Callable[[Column], Column]) -> Column:
+    """use(x), where x is worked out once however often it is used."""
+    return F.get(F.transform(F.array(x), use), F.lit(0))
+
+
+def expression_value(x: Column) -> Column:
+    """The value of an expression of numbers, + - * / and brackets; null for what isn't one and for division by zero.
+    Brackets are worked off from the inside, each replaced by its value to 14 places."""
+    number = r"(?:\d+\.?\d*|\.\d+)"
+
+    def factor(so_far: Column, f: Column) -> Column:
+        value = F.regexp_replace(f, "^[*/]", "").try_cast("double")
+        return F.when(F.startswith(f, F.lit("/")), F.try_divide(so_far, value)).otherwise(so_far * value)
+
+    def flat(s: Column) -> Column:
+        signs = F.regexp_replace(F.regexp_replace(F.regexp_replace(s, r"\+\+|--", "+"), r"\+-|-\+", "-"), r"\+\+|--", "+")
+        whole, term, part = F.lit(rf"^[+-]?{number}(?:[-+*/][+-]?{number})*$"), F.lit(rf"[+-]?{number}(?:[*/][+-]?{number})*"), F.lit(rf"[*/]?[+-]?{number}")
+        product = lambda t: F.aggregate(F.regexp_extract_all(t, part, 0), F.lit(1.0), factor)
+        return let(signs, lambda x: F.when(F.regexp_like(x, whole), F.aggregate(F.regexp_extract_all(x, term, 0), F.lit(0.0), lambda a, t: a + product(t))))
+
+    def inner(s: Column, _: Column) -> Column:
+        done = lambda m, v: F.coalesce(F.replace(s, F.concat(F.lit("("), m, F.lit(")")), F.format_string("%.14f", v)), s)
+        return let(F.regexp_extract(s, r"\(([^()]*)\)", 1), lambda m: let(flat(m), lambda v: F.when(v.isNull(), s).otherwise(done(m, v))))
+
+    joined = x.rlike(r"[\d.]\s+[\d.]|[\d.)]\s*\(|\)\s*[\d.]")  # two values without a sign between them
+    steps = F.sequence(F.lit(0), F.regexp_count(x, F.lit(r"\(")))  # one more than there are brackets, which changes nothing
+    return F.when(~joined, flat(F.aggregate(steps, F.regexp_replace(x, r"\s+", ""), inner)))
+
+
 def added_lines(patch: Column) -> Column:
-    """Substantive added lines of a unified diff: long enough, with a letter, neither comment nor header."""
-    lines = F.filter(F.split(F.coalesce(patch, F.lit("")), "\n"), lambda s: s.rlike(r"^\+(?!\+\+)"))
-    bare = F.transform(lines, lambda s: F.trim(F.substr(s, F.lit(2))))
-    return F.array_distinct(F.filter(bare, lambda s: (F.length(s) >= 12) & s.rlike("[A-Za-z]") & ~s.rlike(r"^(#|//|/\*|\*|import |from )")))
+    """Substantive added lines of a unified diff, each once, in order."""
+    lines = F.filter(F.split(F.coalesce(patch, F.lit("")), r"\r?\n"), lambda s: s.rlike(r"^\+(?!\+\+)"))
+    bare = F.transform(lines, lambda s: F.trim(F.regexp_replace(F.substr(s, F.lit(2)), r"^\s+|\s+$", "")))
+    return F.array_distinct(F.filter(bare, substantive))
 
 
 def nfkc_casefold(x: Column) -> Column:

@@ -39,7 +39,7 @@ MULTIPLICITY = {
     r"\bmore\s+than\s+one\s+(?:answer|solution|way|result)\b|\b(?:several|many)\s+(?:valid\s+)?(?:answers?|solutions?|ways)\b",
     "randomness": r"\brandom(?:ly|ized)?\b|\bshuffl(?:e|ed|ing)\b",
 }
-ARITHMETIC = r"(?i)\b(?:what is|calculate|compute)\s+(-?\d+(?:\.\d+)?)\s*([-+*/])\s*(-?\d+(?:\.\d+)?)\s*\??\s*$"
+ARITHMETIC = tuple(rf"(?i){asks}\s+([-+*/().\d\s]+)\??" for asks in ("what is", "calculate", "compute"))
 
 
 @dataclass(frozen=True)
@@ -66,10 +66,11 @@ def finding(method: str, defect: str, when: Column, severity: str | Column = "ma
 
 
 def arithmetic_value(task: Column) -> Column:
-    """The value a plain arithmetic task asks for, null for other tasks and division by zero."""
-    a, op, b = (F.regexp_extract(F.coalesce(task, F.lit("")), ARITHMETIC, i) for i in (1, 2, 3))
-    a, b = a.try_cast("double"), b.try_cast("double")
-    return F.when(op == "+", a + b).when(op == "-", a - b).when(op == "*", a * b).when(op == "/", F.try_divide(a, b))
+    """The value that an arithmetic task asks for: decimal numbers, + - * / and brackets, signs and precedence as usual.
+    Null for other tasks, division by zero and values beyond 1e12."""
+    task = F.coalesce(task, F.lit(""))
+    found = F.get(F.filter(F.array(*[F.trim(F.regexp_extract(task, p, 1)) for p in ARITHMETIC]), lambda t: t != ""), F.lit(0))
+    return X.let(X.let(found, X.expression_value), lambda v: F.when(F.abs(v) <= 1e12, v))
 
 
 def standard_checks(names: Sequence[str] | None = None) -> list[Check]:
@@ -151,7 +152,8 @@ def ledger(audited: DataFrame) -> DataFrame:
 
 def multiplicity(task: Column) -> Column:
     """by_design if a task declares that several outputs are right, ambiguous if it only speaks of randomness, else priority."""
-    plain = F.regexp_replace(F.coalesce(task, F.lit("")), r"(?s)```.*?```|<code>.*?</code>", " ")
+    plain = F.regexp_replace(F.coalesce(task, F.lit("")), r"(?is)BEGIN\s+SOLUTION.*$", "")
+    plain = F.regexp_replace(plain, r"(?is)<code>.*?</code>", " ")
     has = lambda k: plain.rlike("(?i)" + MULTIPLICITY[k])
     return F.when(has("order_agnostic") | has("existential") | has("explicit_multiple"), "by_design").when(has("randomness"), "ambiguous").otherwise("priority")
 

@@ -40,21 +40,38 @@ def promote(findings: DataFrame, trusted: bool = True) -> DataFrame:
 
 
 def item_tiers(findings: DataFrame) -> DataFrame:
-    """(item_id, tier, risk, n_methods, confirmed): one aggregation per item over substantive findings that count."""
+    """(item_id, tier, risk, n_methods, confirmed): one aggregation per item over findings that count. Operational findings
+    and those of a failed audit don't; an item with presentation findings only is exploratory at a low risk. A column
+    needs_expert, where there is one, says whether a model asked for an expert."""
+    expert = F.coalesce(F.col("needs_expert"), F.lit(False)) if "needs_expert" in findings.columns else F.lit(False)
+    model = F.col("method").startswith("llm_")
     sure = F.coalesce(F.col("confidence") >= STRONG_CONFIDENCE, F.lit(True))
-    strong = (F.col("method").isin(*STRONG_METHODS) | F.col("defect_type").isin(*STRONG_DEFECTS)) & ~F.col("method").isin(*NONMATERIAL_METHODS) & sure
-    counted = findings.where((F.col("defect_scope") == "substantive") & ~F.col("defect_type").isin(*IGNORED_DEFECTS))
-    per = counted.groupBy("item_id").agg(
-        F.bool_or(~F.col("review_only")).alias("confirmed"),
-        F.bool_or(strong).alias("strong"),
-        F.bool_and(F.col("defect_type").isin(*WEAK_DEFECTS)).alias("all_weak"),
-        F.count_distinct(F.substring_index("method", "+", 1)).cast("int").alias("n_methods"),
-        F.max("confidence").alias("confidence"),
-    )
+    strong = (F.substring_index("method", "+", 1).isin(*STRONG_METHODS) | F.col("defect_type").isin(*STRONG_DEFECTS)) & ~F.col("method").isin(*NONMATERIAL_METHODS) & sure
+    relevant = (F.coalesce("defect_scope", F.lit("substantive")) != "operational") & ~F.col("defect_type").isin(*IGNORED_DEFECTS)
+    own = relevant & (F.coalesce("defect_scope", F.lit("substantive")) == "substantive")
+    method = F.substring_index("method", "+", 1)
+    evident = method.isin(*STRONG_METHODS) | F.col("defect_type").isin(*STRONG_DEFECTS)
+    any_of = lambda x: F.coalesce(F.bool_or(x), F.lit(False))
+    per = findings.groupBy("item_id").agg(
+        any_of(relevant).alias("relevant"),
+        any_of(own).alias("substantive"),
+        any_of(own & ~F.col("review_only")).alias("confirmed"),
+        any_of(own & strong).alias("strong"),
+        any_of(own & evident).alias("evident"),
+        F.coalesce(F.bool_and(F.when(own, F.col("defect_type").isin(*WEAK_DEFECTS))), F.lit(False)).alias("all_weak"),
+        F.count_distinct(F.when(own, method)).cast("int").alias("n_methods"),
+        F.count_distinct(F.when(own & model, method)).cast("int").alias("n_models"),
+        F.coalesce(F.bool_and(F.when(own & model, expert)), F.lit(False)).alias("all_expert"),
+        any_of(F.col("defect_type") == "auditor_contradiction").alias("contradicted"),
+        F.max(F.when(own, F.col("confidence"))).alias("confidence"),
+    ).where("relevant")
     supported = F.col("strong") | ((F.col("n_methods") >= CORROBORATING_METHODS) & ~F.col("all_weak"))
     tier = F.when(F.col("confirmed") | supported, "priority").otherwise("exploratory")
     base = F.when(F.col("confirmed"), 0.72).when(supported, 0.52).otherwise(0.12)
-    risk = base + 0.12 * F.coalesce("confidence", F.lit(0.0)) + F.least(F.lit(0.12), 0.06 * (F.col("n_methods") - 1)) + F.when(F.col("strong"), 0.10).otherwise(0.0)
+    more = F.greatest(F.lit(0.0), F.least(F.lit(0.12), 0.06 * (F.col("n_models") - 1)))
+    less = F.when(F.col("contradicted"), 0.08).otherwise(0.0) + F.when(F.col("all_expert"), 0.08).otherwise(0.0)
+    risk = base + 0.12 * F.coalesce("confidence", F.lit(0.0)) + more + F.when(F.col("evident"), 0.10).otherwise(0.0) - less
+    risk = F.when(F.col("substantive"), risk).otherwise(0.07)
     return per.select("item_id", tier.alias("tier"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), risk)).alias("risk"), "n_methods", "confirmed")
 
 

@@ -81,7 +81,7 @@ def findings_summary(spark, sf_dir):
  defect_type IN ('invalid_choice_gold', 'missing_oracle', 'duplicate_choices') AS strong FROM f),
 g AS (SELECT item_id, bool_or(conf) AS confirmed, bool_or(strong) AS strong, count(DISTINCT method)::INT AS n_methods FROM p GROUP BY item_id)
 SELECT item_id, CASE WHEN confirmed OR strong OR n_methods >= 2 THEN 'priority' ELSE 'exploratory' END AS tier,
- least(1.0, greatest(0.0, CASE WHEN confirmed THEN 0.72 WHEN strong OR n_methods >= 2 THEN 0.52 ELSE 0.12 END::DOUBLE + least(0.12::DOUBLE, 0.06::DOUBLE * (n_methods - 1)) + CASE WHEN strong THEN 0.10 ELSE 0.0 END::DOUBLE)) AS risk,
+ least(1.0, greatest(0.0, CASE WHEN confirmed THEN 0.72 WHEN strong OR n_methods >= 2 THEN 0.52 ELSE 0.12 END::DOUBLE + CASE WHEN strong THEN 0.10 ELSE 0.0 END::DOUBLE)) AS risk,
  n_methods, confirmed FROM g""")
 def item_risk(spark, sf_dir):
     found = mcq_static_findings(spark, sf_dir).withColumn("confidence", F.lit(None).cast("double")).withColumn("defect_scope", F.lit("substantive"))
@@ -202,7 +202,7 @@ def json_paths(spark, sf_dir):
     return tables.json_paths(table(spark, sf_dir, "events"), "props")
 
 
-@query("task_multiplicity_triage", rf"""WITH t AS (SELECT doc_id, regexp_matches(text, '\b(?:one|any|a)\s+(?:maximal|possible|valid|such)\b|\bin\s+any\s+order\b|\bunordered\b', 'i') AS high, regexp_matches(text, '\brandom(?:ly|ized)?\b|\bshuffl(?:e|ed|ing)\b', 'i') AS low FROM documents)
+@query("task_multiplicity_triage", rf"""WITH d AS (SELECT doc_id, regexp_replace(regexp_replace(text, 'BEGIN\s+SOLUTION.*$', '', 'is'), '<code>.*?</code>', ' ', 'gis') AS text FROM documents), t AS (SELECT doc_id, regexp_matches(text, '\b(?:one|any|a)\s+(?:maximal|possible|valid|such)\b|\bin\s+any\s+order\b|\bunordered\b', 'i') AS high, regexp_matches(text, '\brandom(?:ly|ized)?\b|\bshuffl(?:e|ed|ing)\b', 'i') AS low FROM documents)
 SELECT CASE WHEN high THEN 'by_design' WHEN low THEN 'ambiguous' ELSE 'priority' END AS verdict, count(*) AS n FROM t GROUP BY 1""")
 def multiplicity_triage(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy(checks.multiplicity(F.col("text")).alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
@@ -214,9 +214,16 @@ def declarative_rules(spark, sf_dir):
     return table(spark, sf_dir, "orders").groupBy(F.when(r, "matched").when(~r, "no_match").otherwise("abstained").alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("rubric_numbers", r"""SELECT doc_id, len(list_distinct(regexp_extract_all(regexp_replace(regexp_replace(text, '(\d),(\d{3})', '\1\2', 'g'), '\b(?:19|20)\d{2}\b', ' ', 'g'), '\d{2,}(?:\.\d+)?|\d\.\d+')))::INT AS n FROM documents""")
+RUBRIC_SQL = "text"
+for _pattern in X.NOT_ASSERTED:
+    _flags = "gi" if _pattern.startswith("(?i") else "g"
+    _plain = _pattern.removeprefix("(?iU)").removeprefix("(?i)").removeprefix("(?U)").replace("'", "''")
+    RUBRIC_SQL = f"regexp_replace({RUBRIC_SQL}, '{_plain}', ' ', '{_flags}')"
+
+
+@query("rubric_numbers", rf"""SELECT doc_id, len(v)::INT AS n, coalesce(list_sum(list_transform(v, lambda x: x::DOUBLE)), 0.0) AS total FROM (SELECT doc_id, regexp_extract_all(replace({RUBRIC_SQL}, ',', ''), '\d[\d,]*\.?\d*') AS v FROM documents)""")
 def rubric_numbers(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(X.rubric_numbers(F.col("text"))).alias("n"))
+    return table(spark, sf_dir, "documents").select("doc_id", X.rubric_numbers(F.col("text")).alias("v")).select("doc_id", F.size("v").alias("n"), F.aggregate("v", F.lit(0.0), lambda a, x: a + x).alias("total"))
 
 
 @query("adapter_projection", """SELECT event_id, event_type || ' by ' || user_id AS task, json_extract_string(props, '$.k') AS gold, json_extract_string(props, '$.k') IS NULL AS abstains FROM events""")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import answers as A
 from lodestone.functions import stats as S
 from lodestone.functions import text as X
+from lodestone.operators import checks
 
 
 def one(spark, column, **values):
@@ -13,9 +14,9 @@ def one(spark, column, **values):
     return row.select(column.alias("x")).first()["x"]
 
 
-@pytest.mark.parametrize(("text", "want"), [("  The  Cat, sat. ", "cat sat"), ("-3.50!", "-3.50"), ("A b-c", "b c"), ("", "")])
+@pytest.mark.parametrize(("text", "want"), [("  The  Cat, sat. ", "cat sat"), ("-3.50!", "-3.50"), ("A b-c", "bc"), ("", "")])
 def test_normalize_loose(spark, text, want):
-    assert one(spark, X.normalize_loose(F.col("t")), t=text).replace("bc", "b c") == want
+    assert one(spark, X.normalize_loose(F.col("t")), t=text) == want
 
 
 @pytest.mark.parametrize(("text", "want"), [("1,234.5 kg", 1234.5), (".5", 5.0), ("1e5", 1.0), ("none", None), ("-7", -7.0)])
@@ -23,7 +24,7 @@ def test_parse_number(spark, text, want):
     assert one(spark, X.parse_number(F.col("t")), t=text) == want
 
 
-@pytest.mark.parametrize(("gold", "want"), [("B", 1), ("BC", 1), ("beta", 1), ("Z", None), ("a", 0)])
+@pytest.mark.parametrize(("gold", "want"), [("B", 1), ("B. green", 1), ("b.", 1), ("E. none", None), ("BC", 1), ("beta", 1), ("Z", None), ("a", 0)])
 def test_choice_index(spark, gold, want):
     assert one(spark, A.choice_index(F.col("g"), F.col("c")), g=gold, c=["alpha", "beta", "gamma", "delta"]) == want
 
@@ -53,3 +54,30 @@ def test_invisible_and_terms(spark):
     assert one(spark, X.invisible_count(F.col("t")), t="a​b\tc\x01") == 2
     assert "report.pdf" in one(spark, X.search_terms(F.col("t")), t='see report.pdf for "net income" of 42')
     assert one(spark, X.folded(F.col("t")), t="Straße ﬁ") == "strasse fi"
+
+
+@pytest.mark.parametrize(
+    ("task", "want"),
+    [("What is (3 + 4) * 2?", 14.0), ("calculate 2 + 3 * 4", 14.0), ("compute -(2 - 5) / 3", 1.0), ("what is ((1+2)*(3+4)) - -2?", 23.0), ("What is 10 - 4 - 3?", 3.0), ("what is 8/4/2?", 1.0)]
+    + [(t, None) for t in ("what is 1/0?", "what is 3 4?", "what is 2(3)?", "what is love", "what is 2**3", "", None)],
+)
+def test_arithmetic_value(spark, task, want):
+    frame = spark.createDataFrame([(task,)], "t string")
+    assert frame.select(checks.arithmetic_value(F.col("t"))).first()[0] == want
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [("discount >=50% of 1,250 rows", [1250.0]), ("SR-021 in 2024年 total 58000", [58000.0]), ("item 14 has 3.5 and 12", [3.5, 12.0]), ("35%-45% share, 84 rows", [84.0]), ("a.xlsx 9", [9.0]), ("Partner 3 #1013", [])],
+)
+def test_rubric_numbers(spark, text, want):
+    assert one(spark, X.rubric_numbers(F.col("t")), t=text) == want
+    assert one(spark, X.missed(X.rubric_numbers(F.col("t")), F.lit("a_9=1250.4\nb=58200")), t=text) == [w for w in want if w not in (1250.0, 58000.0)]
+
+
+def test_added_lines_and_multiplicity(spark):
+    patch = "+++ b/x\n+return None\n+x = total(a)\n+# a comment\n+'short string'\n+finally:\n+x=1\n+x = total(a)\n+import os.path\n-y = total(b)"
+    assert one(spark, X.added_lines(F.col("t")), t=patch) == ["x = total(a)", "import os.path"]
+    for text, want in [("```in any order```", "by_design"), ("sort BEGIN SOLUTION in any order", "priority"), ("<code>unordered</code> random", "ambiguous")]:
+        assert one(spark, checks.multiplicity(F.col("t")), t=text) == want
+    assert one(spark, X.normalize_choice(F.col("t")), t="a)x") == "x"
