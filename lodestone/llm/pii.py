@@ -1,16 +1,21 @@
 """PII: surrogate generation. Detected entities give way to keyed replacements of the same type and format.
 
-Every replacement is a keyed permutation of the strings of the entity's own format: characters keep their class and
-separators their place; card numbers keep their check digit's validity, addresses their range, names their gender and
-script. A permutation maps equal entities to equal surrogates in every document (coreference) and different ones to
-different surrogates (distinctness), without a table of all entities; it has no fixed point, so nothing stays as it was.
-A check per document still looks for two entities that share a surrogate and for formats too short to be told apart.
+Every replacement is a keyed permutation of the strings of the entity's own format: characters keep their class (script,
+case, vowel or consonant in names) and separators their place; card numbers and IBANs keep their check digits' validity,
+addresses their range. Listed names become others of their script and gender; of unlisted ones the ending that shows a
+gender stays. The title's gender isn't used: one name may stand behind several titles, and must have one surrogate.
+A permutation maps equal entities to equal surrogates in every document (coreference) and different ones to
+different surrogates (distinctness), without a table of all entities; it has no fixed point, so no entity stays as it
+was. Names are found by a title or as a listed given and family name; what a document names so is then found wherever
+its words stand alone in the same document. A check per document makes sure that no two entities share a surrogate.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
+import unicodedata
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -20,6 +25,7 @@ from pyspark.sql import types as T
 from lodestone.llm._base import ship, slices
 
 DIGITS, LOWER, UPPER, HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef"
+MARKS = "!#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 #: Given and family names by script and gender; a name is replaced by one of its own list.
 NAMES = {
@@ -31,23 +37,59 @@ NAMES = {
     ("cyrillic", "family"): "Волков Иванов Козлов Морозов Новиков Петров Смирнов Соколов".split(),
 }
 _LISTED = {n: k for k, names in NAMES.items() for n in names}
-FEMALE, MALE = r"Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Госпожа", r"Mr|Herr|Monsieur|Señor|Sr|Господин"
-
-_NAME = r"[^\W\d_a-zа-яß-öø-ÿ][^\W\d_]+"
+# Titles, letters that take each other's place in names, and endings that show a gender.
+TITLES = "Mrs|Ms|Miss|Mr|Dr|Prof|Frau|Herr|Madame|Mme|Monsieur|Señora|Señor|Sra|Sr|Госпожа|Господин|Κυρία|Κύριος"
+TITLES_AFTER = "先生|女士|小姐"
+NAME_LETTERS = [
+    "aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ",
+    "àáâäèéêëìíîïòóôöùúûü", "ÀÁÂÄÈÉÊËÌÍÎÏÒÓÔÖÙÚÛÜ", "çćčďğłńñňřśšťźžż", "ÇĆČĎĞŁŃÑŇŘŚŠŤŹŽŻ",
+    "аеиоуыэюяё", "бвгджзйклмнпрстфхцчшщ", "АЕИОУЫЭЮЯЁ", "БВГДЖЗЙКЛМНПРСТФХЦЧШЩ",
+    "αεηιουω", "βγδζθκλμνξπρστφχψ", "ΑΕΗΙΟΥΩ", "ΒΓΔΖΘΚΛΜΝΞΠΡΣΤΦΧΨ", "άέήίόύώ", "ΆΈΉΊΌΎΏ",
+    "王李张刘陈杨黄赵吴周徐孙马朱胡郭何高林罗", "伟芳娜敏静丽强磊军洋勇艳杰娟涛明超秀霞平小文国华",
+]
+ENDINGS = ["ская", "ский", "ова", "ева", "ина", "ая", "ов", "ев", "ин", "а", "я", "owa", "ska", "ski", "cka", "cki", "a", "ου", "ος", "ης", "ας", "α", "η"]
+_ENDINGS = sorted(ENDINGS, key=len, reverse=True)
+_CLASS = {c: letters for letters in NAME_LETTERS for c in letters}
+
+_LETTER = r"(?:[^\W\d_]|[\u0300-\u036f\u0900-\u0dff])"
+_WORD = rf"(?:[\u4e00-\u9fff]{{2,4}}|[^\W\d_a-zа-яß-öø-ÿα-ώ\u4e00-\u9fff](?:{_LETTER}*(?:[-'’]{_LETTER}{{2,}})+|{_LETTER}+))"
+_GIVEN = "|".join(n for k, names in NAMES.items() if k[1] != "family" for n in names)
+_FAMILY = "|".join(n for k, names in NAMES.items() if k[1] == "family" for n in names)
 PATTERNS = [
     ("email", r"(?<![\w.+-])[\w.+-]+@[\w-]+(?:\.[\w-]+)+"),
     ("access_key", r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b"),
     ("secret", r"""(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key)\b\s*[=:]\s*["']?)(?P<secret>[^\s"']{6,})"""),
-    ("iban", r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"),
-    ("ip", r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d.]*\d)"),
-    ("card", r"(?<![\d-])[3-6]\d{3}(?:[ -]?\d{4}){2}[ -]?\d{3,4}(?![\d-]*\d)"),
+    ("iban", r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"),
+    ("ip", r"(?<![\d.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![\d.]*\d)"),
+    ("card", r"(?<![\d-])[3-6][0-9]{3}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{3,4}(?![\d-]*\d)"),
     ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]*\d)"),
     ("phone", r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?!\d)|(?<![\w+])\+\d{8,14}(?!\d)"),
-    ("name", rf"\b(?:(?P<female>{FEMALE})|(?P<male>{MALE})|Dr|Prof)\.? (?P<name>{_NAME}(?: {_NAME})?)"),
+    ("name", rf"\b(?:{TITLES})\b\.? (?P<name>{_WORD}(?: {_WORD})?)"),
+    ("listed", rf"\b(?P<listed>(?:{_GIVEN}) (?:{_FAMILY}))\b"),
+    ("before", rf"(?P<before>[{NAME_LETTERS[-2]}][\u4e00-\u9fff]{{1,2}})(?={TITLES_AFTER})"),
 ]
 FIND = re.compile("|".join(f"(?P<k_{k}>{p})" for k, p in PATTERNS))
 #: A text that this doesn't find has no entity.
-MAYBE = re.compile(r"\d|@|(?i:password|passwd|pwd|secret|token|key)|\b(?:" + FEMALE + "|" + MALE + r"|Dr|Prof)\b")
+MAYBE = re.compile(r"\d|@|(?i:password|passwd|pwd|secret|token|key)|\b(?:" + TITLES + "|" + _GIVEN + r")\b|" + TITLES_AFTER)
+
+
+@functools.lru_cache(maxsize=1 << 14)
+def letters(c: str) -> str | None:
+    """The letters that can take the place of c: of its class above, or else of its category and its 128 code points,
+    or its whole block for Han and Hangul."""
+    if c in _CLASS:
+        return _CLASS[c]
+    kind = unicodedata.category(c)
+    if kind[0] not in "LN":
+        return None
+    low, high = (0x4E00, 0xA000) if "\u4e00" <= c <= "\u9fff" else (0xAC00, 0xD7A4) if "\uac00" <= c <= "\ud7a3" else (ord(c) & ~127, (ord(c) | 127) + 1)
+    found = "".join(x for x in map(chr, range(low, high)) if x not in _CLASS and unicodedata.category(x) == kind)
+    return found if len(found) > 1 else None
+
+
+def ending(s: str) -> str:
+    """The ending that shows a gender, if three letters stand before it."""
+    return next((e for e in _ENDINGS if s.endswith(e) and len(s) >= len(e) + 3), "")
 
 
 class Permutations:
@@ -83,14 +125,11 @@ class Permutations:
             return x
         return self._feistel((self._feistel(x, n, tweak, False) + 1) % n, n, tweak, True)
 
-    def text(self, s: str, tweak: str, hexadecimal: bool = False, keep: Callable[[int, str], bool] = lambda i, c: False) -> str:
-        """s with its digits and letters moved within their classes; other characters, and those that keep says, stay."""
-        sets = []
-        for i, c in enumerate(s):
-            kind = None if keep(i, c) else HEX if hexadecimal and c in HEX else DIGITS if c in DIGITS else LOWER if c in LOWER else UPPER if c in UPPER else None
-            sets.append(kind)
-        n = value = 0
-        n = 1
+    def text(self, s: str, tweak: str, classes: Callable[[str], str | None] | None = None, keep: Callable[[int, str], bool] = lambda i, c: False) -> str:
+        """s with its characters moved within their classes (disjoint strings); those without one, and those that keep says, stay."""
+        classes = classes or plain
+        sets = [None if keep(i, c) else classes(c) for i, c in enumerate(s)]
+        value, n = 0, 1
         for c, kind in zip(s, sets, strict=True):
             if kind:
                 n, value = n * len(kind), value * len(kind) + kind.index(c)
@@ -105,6 +144,25 @@ class Permutations:
         return "".join(reversed(out))
 
 
+def plain(c: str) -> str | None:
+    """Digits, and letters by case; letters outside ASCII by their class."""
+    return DIGITS if c in DIGITS else LOWER if c in LOWER else UPPER if c in UPPER else letters(c) if c > "\x7f" else None
+
+
+def mark(c: str) -> str | None:
+    """For secrets without letters and digits: other marks in ASCII, or the category of the 128 code points around."""
+    if c in MARKS:
+        return MARKS
+    near = "".join(x for x in map(chr, range(ord(c) & ~127, (ord(c) | 127) + 1)) if c > "\x7f" and not x.isspace() and unicodedata.category(x) == unicodedata.category(c))
+    return near if len(near) > 1 else None
+
+
+def rest97(s: str) -> int:
+    """The remainder that an IBAN's check is about."""
+    s = s.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97
+
+
 def luhn(digits: str) -> int:
     """The digit that makes digits + it valid."""
     total = 0
@@ -127,16 +185,24 @@ class Surrogates:
         return self.p.text(s, "access_key", keep=lambda i, c: i < 4)
 
     def secret(self, s: str) -> str:
-        """Hexadecimal secrets stay hexadecimal, others stay others."""
+        """Hexadecimal secrets stay hexadecimal, others stay others; the marks move in those of marks alone."""
         if all(c in HEX for c in s):
-            return self.p.text(s, "secret", hexadecimal=True)
+            return self.p.text(s, "secret", lambda c: HEX)
+        if not any(map(plain, s)):
+            return self.p.text(s, "marks", mark)
         s = self.p.text(s, "secret")
         while all(c in HEX for c in s):  # cycle walking keeps the two kinds apart, and the map one-to-one
             s = self.p.text(s, "secret")
         return s
 
     def iban(self, s: str) -> str:
-        return self.p.text(s, "iban", keep=lambda i, c: i < 2)
+        """The country stays, and the check digits are as right or wrong as they were (00, 01 and 99, which no IBAN has, stay)."""
+        new = self.p.text(s, "iban", keep=lambda i, c: i < 4)
+        check = int(s[2:4])
+        if not 2 <= check <= 98:
+            return new
+        zero = rest97(new[:2] + "00" + new[4:])
+        return f"{new[:2]}{(rest97(s) - zero - 2) % 97 + 2:02d}{new[4:]}"
 
     def ssn(self, s: str) -> str:
         return self.p.text(s, "ssn")
@@ -184,62 +250,68 @@ class Surrogates:
         return ".".join(parts[:held] + out[::-1])
 
     def name(self, s: str) -> str:
-        return " ".join(self._one_name(x) for x in s.split(" "))
+        return "".join(x if x in " -'’" else self._one_name(x) for x in re.split(r"([ \-'’])", s))
 
     def _one_name(self, s: str) -> str:
         kind = _LISTED.get(s)
         if kind:
             names = NAMES[kind]
             return names[self.p.move(names.index(s), len(names), f"name:{kind}".encode())]
-        cyrillic = bool(re.search("[А-Яа-яЁё]", s))
-        while True:  # cycle walking past listed names keeps the map one-to-one
-            s = self._cyrillic(s) if cyrillic else self.p.text(s, "name")
-            if s not in _LISTED:
+        end = ending(s)
+        stem = len(s) - len(end)
+        while True:  # cycle walking past listed names and other endings keeps the map one-to-one
+            s = self.p.text(s, "name", letters, keep=lambda i, c: i >= stem)
+            if s not in _LISTED and ending(s) == end:
                 return s
 
-    def _cyrillic(self, s: str) -> str:
-        n, value = 1, 0
-        bases = [0x410 if "А" <= c <= "Я" else 0x430 if "а" <= c <= "я" else None for c in s]
-        for c, b in zip(s, bases, strict=True):
-            if b:
-                n, value = n * 32, value * 32 + ord(c) - b
-        value = self.p.move(value, n, f"cyrillic:{bases}".encode())
-        out = []
-        for c, b in zip(reversed(s), reversed(bases), strict=True):
-            if b:
-                value, r = divmod(value, 32)
-                c = chr(b + r)
-            out.append(c)
-        return "".join(reversed(out))
-
     def rewrite(self, text: str) -> tuple[str, list[tuple[str, int, int, str]]]:
         """The text with surrogates, and (type, start, end, surrogate) of each entity, offsets in the old text."""
         if not MAYBE.search(text):
             return text, []
-        out, found, at, used = [], [], 0, {}
+        spans = []
         for m in FIND.finditer(text):
-            kind = m.lastgroup if m.lastgroup and m.lastgroup.startswith("k_") else next(k for k, v in m.groupdict().items() if k.startswith("k_") and v is not None)
-            kind = kind[2:]
-            start, end = m.span(kind) if kind in ("secret", "name") else m.span()
+            group = next(k for k, v in m.groupdict().items() if k.startswith("k_") and v is not None)[2:]
+            kind = "name" if group in ("listed", "before") else group
+            spans.append((kind, *(m.span(group) if group in ("secret", "name", "listed", "before") else m.span())))
+        spans += self._mentions(text, spans)
+        out, found, at, used = [], [], 0, {}
+        for kind, start, end in sorted(spans, key=lambda x: x[1]):
             old = text[start:end]
             new = getattr(self, kind)(old)
-            while used.setdefault((kind, new), old) != old:  # can't be for maps that are one-to-one; distinctness goes first
-                new = getattr(self, kind)(new)
+            if used.setdefault((kind, new), old) != old:
+                raise AssertionError(f"two entities of type {kind} share a surrogate")  # the maps are one-to-one
             out += [text[at:start], new]
             found.append((kind, start, end, new))
             at = end
         return "".join([*out, text[at:]]), found
 
+    @staticmethod
+    def _mentions(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+        """Other places of the words of the names found (three letters or more, or Han), alone or in a row, outside all entities."""
+        words = {w for kind, a, b in spans if kind == "name" for w in text[a:b].split(" ") if len(w) > 2 or "\u4e00" <= w[0] <= "\u9fff"}
+        if not words:
+            return []
+        one = "|".join(re.escape(w) for w in sorted(words, key=len, reverse=True))
+        han = "|".join(re.escape(w) for w in sorted(words, key=len, reverse=True) if "\u4e00" <= w[0] <= "\u9fff")
+        held, more, i = sorted((a, b) for _, a, b in spans), [], 0
+        for m in re.finditer(rf"(?<!\w)(?:{one})(?: (?:{one}))*(?!\w)" + (f"|{han}" if han else ""), text):
+            while i < len(held) and held[i][1] <= m.start():
+                i += 1
+            if i == len(held) or held[i][0] >= m.end():
+                more.append(("name", *m.span()))
+        return more
+
 
 ENTITY = T.ArrayType(T.StructType([T.StructField("type", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("surrogate", T.StringType())]))
 _ARROW = pa.list_(pa.struct([("type", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("surrogate", pa.string())]))
 
 
-def surrogates(docs: DataFrame, text: str = "text", key: bytes = b"lodestone") -> DataFrame:
+def surrogates(docs: DataFrame, text: str = "text", *, key: bytes) -> DataFrame:
     """docs with its text rewritten and `entities` (type, start, end in code points of the old text, surrogate).
 
-    Null text stays null and has no entities; a column named entities is replaced. No row moves between tasks, and no
-    table of entities is needed, so nothing grows with the corpus.
+    Who has the key can undo the surrogates, so it has no default; at most 64 bytes. Null text stays null and empty text
+    empty, without entities; a column named entities is replaced, others stay; repeated rows get the same text; an empty
+    table gives no rows. No row moves between tasks, and no table of entities is needed, so nothing grows with the corpus.
     """
     ship(docs.sparkSession)
     docs = docs.drop("entities")

@@ -3,6 +3,8 @@
 import collections
 import hashlib
 import random
+import re
+import unicodedata
 
 import numpy as np
 import pytest
@@ -403,8 +405,59 @@ def test_surrogates(spark, odd, none):
     assert first in pii.NAMES["latin", "f"] and family in pii.NAMES["latin", "family"]
     assert make.rewrite("Frau Анна Петров")[1][0][3].split()[0] in pii.NAMES["cyrillic", "f"]
     assert pii.Surrogates(b"other").rewrite(text)[0] != new
-    got = pii.surrogates(odd).collect()
-    assert len(got) == odd.count() and [r["text"] for r in got if r["doc_id"] == 1] == [None] and pii.surrogates(none).count() == 0
+    got = pii.surrogates(odd, key=b"k").collect()
+    assert len(got) == odd.count() and [r["text"] for r in got if r["doc_id"] == 1] == [None] and pii.surrogates(none, key=b"k").count() == 0
+
+
+def test_no_entity_of_any_script_stays():
+    make = pii.Surrogates(b"k")
+    names = "Mr 王小明|Dr Αλέξανδρος Παπαδόπουλος|Frau Müller|Mr Łukasz Żółty|Prof דוד כהן|Dr محمد علي|Mr 김철수|Dr राम शर्मा|Mrs Katarzyna Nowak|Госпожа Ёлкина|Ms Anna-Maria O’Neil"
+    for text in names.split("|"):
+        new, found = make.rewrite(text)
+        assert len(found) == 1, text
+        _, a, b, s = found[0]
+        old = text[a:b]
+        assert b == len(text) and new == text[:a] + s
+        assert [c.isupper() for c in old] == [c.isupper() for c in s] or old.startswith("Anna")
+        assert all(x != y for x, y in zip(re.split(r"[ ’-]", old), re.split(r"[ ’-]", s), strict=True))
+        assert [unicodedata.name(c).split()[0] for c in old if c.isalpha()][:2] == [unicodedata.name(c).split()[0] for c in s if c.isalpha()][:2]
+    assert make.name("Katarzyna")[-1] == "a" and make.name("Смирновская").endswith("ская")
+    for secret in ("ééééééé", "!!!!!!!!", "密码密码密码", "١٢٣٤٥٦"):
+        assert make.rewrite(f"token={secret}")[0] != f"token={secret}"
+
+
+def test_mentions_follow_the_name():
+    make = pii.Surrogates(b"k")
+    new, found = make.rewrite("Ms Anna Weber. Later Anna wrote to Weber, not to Annabel. Zorbin came. Dr Zorbin left, Zorbin said. John Smith lives here; 王小明先生和王小明。")
+    first, family = make.name("Anna"), make.name("Weber")
+    assert new.startswith(f"Ms {first} {family}. Later {first} wrote to {family}, not to Annabel. ")
+    assert "Zorbin" not in new and new.count(make.name("Zorbin")) == 3 and "John" not in new and "Smith" not in new
+    assert "王小明" not in new and new.count(make.name("王小明")) == 2 and len(found) == 9
+
+
+def test_ibans_keep_their_checks():
+    make = pii.Surrogates(b"k")
+    for iban, right in (("DE89 3704 0044 0532 0130 00", True), ("GB82WEST12345698765432", True), ("DE88370400440532013000", False)):
+        new = make.iban(iban)
+        assert new != iban and (pii.rest97(new) == 1) is right and new[:2] == iban[:2] and len(new) == len(iban)
+    some = {f"DE{c:02d}3704004405320130{i:02d}" for c in range(100) for i in range(20)}
+    assert len({make.iban(x) for x in some}) == len(some)
+    words = {a + b + c + d for a in "BDKS" for b in ("a", "o", "ar") for c in ("n", "s", "sk", "v", "rr") for d in ("a", "ova", "ska", "i", "ic", "ov", "")}
+    words |= {a + b + c for a in "БДК" for b in ("арт", "оли", "ус") for c in ("ова", "ина", "а", "ов", "ская", "ий", "")}
+    assert len({make.name(w) for w in words}) == len(words) and all(make.name(w) != w for w in words)
+
+
+def test_surrogates_over_all_documents(spark):
+    """Brute force: over the whole table, equal entities have one surrogate, different ones different ones, none its own."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    forth, back = {}, {}
+    for r in pii.surrogates(docs, key=b"k").collect():
+        for e in r["entities"]:
+            old = (e["type"], texts[r["doc_id"]][e["start"] : e["end"]])
+            assert forth.setdefault(old, e["surrogate"]) == e["surrogate"] != old[1]
+            assert back.setdefault((e["type"], e["surrogate"]), old) == old
+    assert len(forth) > 10
 
 
 def test_surrogates_are_distinct():
