@@ -44,17 +44,20 @@ def shingles(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[int]]:
     return _mix(gram[whole]), np.concatenate([[0], np.cumsum(count)]), keys
 
 
-def bands(gram: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """(texts, BANDS) keys of the bands; those of texts without shingles say nothing."""
+def bands(gram: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(texts, BANDS) keys of the bands, and a byte of each min-hash; those of texts without shingles say nothing."""
     out = np.zeros((len(at) - 1, BANDS), dtype=np.uint64)
+    low = np.zeros((len(at) - 1, BANDS * ROWS), dtype=np.uint8)
     some = np.flatnonzero(np.diff(at))
     if len(some):
         for k in range(BANDS):
             key = np.full(len(some), k + 1, dtype=np.uint64)
             for r in range(k * ROWS, k * ROWS + ROWS):
-                key = _mix(key * _BASE + np.minimum.reduceat(gram * _TIMES[r] + _PLUS[r], at[some]))
+                least = np.minimum.reduceat(gram * _TIMES[r] + _PLUS[r], at[some])
+                low[some, r] = (_mix(least) & np.uint64(255)).astype(np.uint8)
+                key = _mix(key * _BASE + least)
             out[some, k] = key
-    return out
+    return out, low
 
 
 def simhashes(gram: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -69,21 +72,22 @@ def simhashes(gram: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-SKETCH = "tid long, key long, fp long, bands array<long>"
+SKETCH = "tid long, key long, fp long, bands array<long>, mins binary"
 
 
 def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (tid, text): the hash of the text's words, its fingerprint and its bands (none without words)."""
+    """Of (tid, text): the hash of the text's words, its fingerprint, its bands (none without words), and a byte per min-hash."""
     names = [c.split()[0] for c in SKETCH.split(", ")]
     for big in batches:
         for batch in slices([big], "text", 1 << 20):
             if batch.num_rows:
                 gram, at, keys = shingles(text_bytes(batch, "text"))
-                found, some = bands(gram, at).view(np.int64), np.diff(at) > 0
+                found, low = bands(gram, at)
+                found, some = found.view(np.int64), np.diff(at) > 0
                 offsets = np.concatenate([[0], np.cumsum(np.where(some, BANDS, 0))]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(found[some].ravel()))
                 key = pa.array(np.array(keys, dtype=np.uint64).view(np.int64), pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column("tid"), key, pa.array(simhashes(gram, at).view(np.int64)), lists], names)
+                yield pa.RecordBatch.from_arrays([batch.column("tid"), key, pa.array(simhashes(gram, at).view(np.int64)), lists, pa.array([x.tobytes() for x in low])], names)
 
 
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,9 +108,86 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def verified(pairs: DataFrame, rows: DataFrame, counted: DataFrame) -> DataFrame:
     """The pairs (a, b) of texts, by tid, whose shingle sets are alike; rows has (doc_id, tid, text), counted their tid."""
     pairs = stash(pairs, "pairs")
-    side = lambda c: F.struct(F.col(c).alias("tid"), F.lit(c).alias("side"))
-    asked = pairs.select("a", "b", F.explode(F.array(side("a"), side("b"))).alias("s")).select("a", "b", "s.tid", "s.side")
-    texts = salted_join(rows, asked.select("tid").distinct(), "tid", counted).groupBy("tid").agg(F.first("text").alias("text"))
-    one = lambda s: F.max(F.when(F.col("side") == s, F.col("text"))).alias(f"{s}_text")
-    got = salted_join(asked, texts, "tid").groupBy("a", "b").agg(one("a"), one("b"))
+    asked = pairs.select(F.col("a").alias("tid")).union(pairs.select("b")).distinct()
+    texts = salted_join(rows, asked, "tid", counted).groupBy("tid").agg(F.first("text").alias("text"))
+    to_b = pairs.select("a", F.col("b").alias("tid"))
+    one = salted_join(pairs.select(F.col("a").alias("tid"), "b"), texts, "tid").select(F.col("tid").alias("a"), F.col("b").alias("tid"), F.col("text").alias("a_text"))
+    got = salted_join(one, texts, "tid", to_b).select("a", F.col("tid").alias("b"), "a_text", F.col("text").alias("b_text"))
     return stash(got.mapInArrow(_alike, "a long, b long"), "alike")
+
+
+#: A group of texts with more members than this is cut by their other bands.
+GROUP = 128
+#: Min-hashes of 64 that texts must share to be compared; at a similarity of 0.8 it is 51 on average, below 42 with probability 0.002.
+SHARED = 42
+#: Members that meet all others of a group that two bands in common leave too large.
+LEADS = 8
+
+
+def _within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (group, tid, root, mins), sorted by group, with at most GROUP rows each: pairs of other roots that share enough."""
+
+    def pairs(table: pa.Table) -> pa.RecordBatch:
+        group, tid, root = (table.column(c).to_numpy() for c in ("group", "tid", "root"))
+        mins = np.frombuffer(b"".join(table.column("mins").to_pylist()), dtype=np.uint8).reshape(-1, BANDS * ROWS)
+        cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(group)]
+        a, b = [], []
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            for i in range(lo, hi - 1):
+                near = ((mins[i + 1 : hi] == mins[i]).sum(axis=1) >= SHARED) & (root[i + 1 : hi] != root[i])
+                for j in np.flatnonzero(near).tolist():
+                    a.append(min(tid[i], tid[i + 1 + j]))
+                    b.append(max(tid[i], tid[i + 1 + j]))
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    rest = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = pa.Table.from_batches([batch])
+        now = now if rest is None else pa.concat_tables([rest, now])
+        group = now.column("group").to_numpy()
+        cut = int(np.searchsorted(group, group[-1]))  # the last group may go on
+        if cut:
+            yield pairs(now.slice(0, cut))
+        rest = now.slice(cut)
+    if rest is not None:
+        yield pairs(rest)
+
+
+def candidates(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of texts of other roots in one group that share SHARED min-hashes; members has (band, tid, root), one row
+    per band, texts has (lead, bands, mins). A band of over GROUP members gives way to its pairs with the other bands of each
+    text, of which two texts alike by 0.8 share one with probability 0.9996. What is too large then as well has many texts
+    that agree in two bands and more; there LEADS members meet all others."""
+    wide = members.join(texts.select(F.col("lead").alias("tid"), "bands", "mins"), "tid")
+    rows = wide.select(F.col("band").alias("group"), "tid", "root", "bands", "mins", F.col("band").alias("own"))
+    sized = lambda r: r.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("group", "n")
+    pick = ["group", "tid", "root", "mins"]
+
+    sizes = stash(sized(rows), "sizes")
+    few = rows.join(sizes.where(F.col("n") <= GROUP), "group").select(*pick)
+    big = rows.join(sizes.where(F.col("n") > GROUP), "group")
+    other = F.filter("bands", lambda x: x != F.col("own"))
+    two = big.select("tid", "root", "mins", "own", F.explode(other).alias("x"))
+    two = two.select(F.xxhash64(F.least("own", "x"), F.greatest("own", "x")).alias("group"), "tid", "root", "mins").dropDuplicates(["group", "tid"])
+    two = stash(two, "two")
+    sizes = stash(sized(two), "sizes")
+    few = few.union(two.join(sizes.where(F.col("n") <= GROUP), "group").select(*pick))
+    found = few.repartition("group").sortWithinPartitions("group").mapInArrow(_within, "a long, b long")
+    rest = stash(two.join(sizes.where(F.col("n") > GROUP).select("group"), "group").select(*pick), "rest")
+    for salt in range(LEADS):
+        lead = rest.groupBy("group").agg(F.min(F.struct(F.xxhash64(F.lit(salt), "group", "tid").alias("h"), "tid", "root", "mins")).alias("p"))
+        lead = lead.select("group", F.col("p.tid").alias("lead"), F.col("p.root").alias("other"), F.col("p.mins").alias("its"))
+        met = salted_join(rest, lead, "group").where("root <> other").select("tid", "mins", "lead", "its")
+        found = found.union(met.mapInArrow(_between, "a long, b long"))
+    return found.distinct()
+
+
+def _between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (tid, mins, lead, its): the pairs that share enough min-hashes."""
+    for batch in batches:
+        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(-1, BANDS * ROWS) for c in ("mins", "its"))
+        near = (x == y).sum(axis=1) >= SHARED
+        a, b = (batch.column(c).to_numpy()[near] for c in ("tid", "lead"))
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])

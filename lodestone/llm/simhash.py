@@ -25,8 +25,6 @@ FAN = 8
 #: Rows of one upper node beyond which its free bits are cut in thirds once more.
 HOT_NODE = 50_000
 FLUSH = 200_000
-#: Further members of a band that near copies are compared with.
-LEADS = 2
 
 
 def fingerprint(text: bytes, width: int = 3) -> int:
@@ -216,15 +214,16 @@ def near_copies(docs: DataFrame) -> DataFrame:
     0.8 or more. Candidates are texts whose fingerprints the Gray-order index links, at 2 bits or fewer; as bits of
     texts at that similarity differ with probability 0.15 (some 10 of 64), texts that share one of 16 bands of 4
     min-hashes are candidates too, which a pair at 0.8 fails with probability 0.0002. All are compared by their shingles.
-    Members of a band first meet its least member; where that leaves several components, those of others also meet LEADS
-    more members, drawn per band, so comparisons grow with the texts and not with the square of a band. Two alike texts
-    are missed only where neither leads any of the six or seven bands that they share on average.
+    Members of a band first meet its least member. Where that leaves several components, all members of different ones are
+    compared by 64 min-hashes, without their texts, and those that share 40 by their shingles. Bands of over 128 members
+    are cut by the texts' other bands first, so comparisons don't grow with the square of a band; only what agrees in two
+    bands and is too many still meets eight leads in place of all (`nearcopies.candidates`).
     All texts without words are one class; an empty table gives no rows.
     """
     ship(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), "doc_id").select("doc_id", F.xxhash64("text").alias("tid"), "text")
     keyed = stash(rows.drop("doc_id").mapInArrow(nearcopies.sketches, nearcopies.SKETCH), "sketches")
-    per = stash(keyed.groupBy("key").agg(F.min("tid").alias("lead"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "texts")
+    per = stash(keyed.groupBy("key").agg(F.min("tid").alias("lead"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("mins").alias("mins")), "texts")
     each = per.select("lead", F.explode("bands").alias("band")).withColumnRenamed("lead", "tid")
     leads = stash(each.groupBy("band").agg(F.min("tid").alias("lead"), F.max("tid").alias("last")).where("lead < last").select("band", "lead"), "leads")
     held = stash(salted_join(each, leads, "band").select("band", "lead", "tid"), "held")
@@ -237,14 +236,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     comps = stash(connected_components(links), "components")
     named = held.join(comps, held["tid"] == comps["node"], "left").select("band", "tid", F.coalesce("root", "tid").alias("root"))
     mixed = named.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band")
-    left = stash(named.join(mixed, "band", "left_semi"), "left")
-    more = None
-    for salt in range(LEADS):  # leads that differ from band to band, so that one text can't stand between others in all of them
-        lead = left.groupBy("band").agg(F.min(F.struct(F.xxhash64(F.lit(salt), "band", "tid").alias("h"), "tid", "root")).alias("p"))
-        met = salted_join(left, lead.select("band", F.col("p.tid").alias("lead"), F.col("p.root").alias("other")), "band").where("root <> other")
-        met = met.select(F.least("tid", "lead").alias("a"), F.greatest("tid", "lead").alias("b"))
-        more = met if more is None else more.union(met)
-    more = more.distinct().join(first, ["a", "b"], "left_anti")
+    more = nearcopies.candidates(stash(named.join(mixed, "band", "left_semi"), "left"), per).join(first, ["a", "b"], "left_anti")
     comps = connected_components(links.union(nearcopies.verified(more, rows, keyed)))
     rooted = per.select("key", "lead").join(comps, per["lead"] == comps["node"], "left").select("key", F.coalesce("root", "lead").alias("root"))
     return keyed.select("tid", "key").distinct().join(rooted, "key").select("tid", "root")

@@ -409,6 +409,37 @@ def test_surrogates(spark, odd, none):
     assert len(got) == odd.count() and [r["text"] for r in got if r["doc_id"] == 1] == [None] and pii.surrogates(none, key=b"k").count() == 0
 
 
+@pytest.mark.parametrize("group", [128, 6])
+def test_near_copies_behind_a_common_passage(spark, monkeypatch, group):
+    """Brute force: texts that agree in a passage but not by 0.8 hide no near copies among them, in bands cut or whole."""
+    monkeypatch.setattr(simhash.nearcopies, "GROUP", group)
+    rng = random.Random(5)
+    common = [f"c{i}" for i in range(70)]
+    texts = []
+    for i in range(150):
+        own = [f"w{i}x{j}" for j in range(rng.choice((14, 18, 30)))]
+        texts.append(" ".join(common + own))
+        if i % 3 == 0:
+            texts.append(" ".join([*common, *own[:-1], f"z{i}"]))
+    grams = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(grams[i] & grams[j])
+            if both >= 0.8 * (len(grams[i]) + len(grams[j]) - both):
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    tid = {r["t"]: r["doc_id"] for r in docs.select("doc_id", F.xxhash64("text").alias("t")).collect()}
+    got = collections.defaultdict(list)
+    for r in simhash.near_copies(docs).collect():
+        got[r["root"]].append(tid[r["tid"]])
+    want = collections.defaultdict(list)
+    for i, r in enumerate(root):
+        want[r].append(i)
+    assert sorted(sorted(g) for g in got.values()) == sorted(want.values())
+
+
 def test_no_entity_of_any_script_stays():
     make = pii.Surrogates(b"k")
     names = "Mr 王小明|Dr Αλέξανδρος Παπαδόπουλος|Frau Müller|Mr Łukasz Żółty|Prof דוד כהן|Dr محمد علي|Mr 김철수|Dr राम शर्मा|Mrs Katarzyna Nowak|Госпожа Ёлкина|Ms Anna-Maria O’Neil"
