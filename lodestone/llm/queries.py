@@ -1,4 +1,4 @@
-"""Queries op1 to op10 over the whole tables, and their SQL where it can say the same."""
+"""Queries op1 to op13 over the whole tables, and their SQL where it can say the same."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import chat, decontam, fingerprints, mixing, pii, sharding, simhash, substring, tokens, toxicity
+from lodestone.llm import chat, clusters, decontam, fingerprints, mixing, pii, sharding, simhash, substring, tokens, topk, toxicity, whitening
 from lodestone.llm._base import table, word_count
 
 
@@ -131,9 +131,53 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op11_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+#: Vectors as lists of whole doubles; null where they take no part.
+INTEGER_SQL = """CASE WHEN len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 THEN list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)) END"""
+
+OP11_SQL = f"""
+WITH v AS (SELECT vec_id, {INTEGER_SQL.format(scale=256)} AS x FROM embeddings),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.x, c.x)::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id WHERE q.x IS NOT NULL AND c.x IS NOT NULL),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM p)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
+def op12_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.k_means(table(spark, sf_dir, "embeddings"))
+
+
+def _rounds(n: int) -> str:
+    """Lloyd's rounds in SQL: a{i} assigns by the centroids c{i}, from whose members c{i+1} follows."""
+    nearest = "SELECT v.vec_id, min((list_inner_product(v.x, v.x) - 2 * list_inner_product(v.x, c.x) + list_inner_product(c.x, c.x))::BIGINT * 8 + c.cluster) AS best FROM v, c{i} c GROUP BY v.vec_id"
+    out = []
+    for i in range(n + 1):
+        out.append(f"a{i} AS MATERIALIZED (SELECT vec_id, (best % 8)::INTEGER AS cluster, best // 8 AS distance FROM ({nearest.format(i=i)}))")
+        if i < n:
+            out.append(f"m{i} AS (SELECT cluster, pos, floor(sum(value::BIGINT)::DOUBLE / count(*)) AS value FROM (SELECT cluster, unnest(x) AS value, generate_subscripts(x, 1) AS pos FROM a{i} JOIN v USING (vec_id)) GROUP BY ALL)")
+            out.append(f"c{i + 1} AS MATERIALIZED (SELECT c{i}.cluster, coalesce(n.x, c{i}.x) AS x FROM c{i} LEFT JOIN (SELECT cluster, list(value ORDER BY pos) AS x FROM m{i} GROUP BY cluster) n USING (cluster))")
+    return ",\n".join(out)
+
+
+OP12_SQL = f"""
+WITH v AS MATERIALIZED (SELECT vec_id, {INTEGER_SQL.format(scale=1024)} AS x FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1)::INTEGER AS cluster, x FROM v ORDER BY cluster LIMIT 8),
+{_rounds(10)}
+SELECT vec_id, cluster, distance, sum(distance) OVER (PARTITION BY cluster)::BIGINT AS cluster_inertia, sum(distance) OVER ()::BIGINT AS inertia,
+  sha256(list_aggregate(list_transform(x, lambda y: y::BIGINT::VARCHAR), 'string_agg', ',')) AS centroid_sha256 FROM a10 JOIN c10 USING (cluster)
+"""
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if re.match(r"op\d+_", k) and callable(v)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": OP3_SQL, "op5_chat": OP5_SQL}
+    return {"op3_mixing": OP3_SQL, "op5_chat": OP5_SQL, "op11_topk": OP11_SQL, "op12_kmeans": OP12_SQL}
