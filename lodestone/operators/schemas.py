@@ -20,19 +20,18 @@ def is_kind(v: Column, kind: str) -> Column:
     return F.coalesce(F.startswith(F.schema_of_variant(v), F.lit(kind)), F.lit(False))
 
 
-def is_type(v: Column, name: Column) -> Column:
-    """Whether a value has a JSON schema type. Whole numbers are integers and numbers, booleans are neither; unknown names fit all.
-    A number with a decimal point isn't an integer, whatever its value."""
-    s = F.schema_of_variant(v)
-    whole = s.rlike(r"^(BIGINT|DECIMAL\((19|2\d|3\d),0\))")
+def is_type(kind: Column, name: Column) -> Column:
+    """Whether a value of a VARIANT kind (schema_of_variant) has a JSON schema type. Whole numbers are integers and numbers, booleans
+    are neither; unknown names fit all. A number with a decimal point isn't an integer, whatever its value."""
+    whole = kind.rlike(r"^(BIGINT|DECIMAL\((19|2\d|3\d),0\))")
     return (
-        F.when(name == "object", F.startswith(s, F.lit("OBJECT")))
-        .when(name == "array", F.startswith(s, F.lit("ARRAY")))
-        .when(name == "string", s == "STRING")
-        .when(name == "boolean", s == "BOOLEAN")
+        F.when(name == "object", F.startswith(kind, F.lit("OBJECT")))
+        .when(name == "array", F.startswith(kind, F.lit("ARRAY")))
+        .when(name == "string", kind == "STRING")
+        .when(name == "boolean", kind == "BOOLEAN")
         .when(name == "integer", whole)
-        .when(name == "number", whole | s.rlike("^(DECIMAL|DOUBLE|FLOAT)"))
-        .when(name == "null", s == "VOID")
+        .when(name == "number", whole | kind.rlike("^(DECIMAL|DOUBLE|FLOAT)"))
+        .when(name == "null", kind == "VOID")
         .otherwise(True)
     )
 
@@ -56,38 +55,43 @@ def elements(v: Column) -> Column:
     return F.coalesce(F.when(is_kind(v, "ARRAY"), v.try_cast(VARIANTS)), F.array().cast(VARIANTS))
 
 
-def _mismatch(n: Column) -> Column:
-    kind = member(n["schema"], "type")
-    names = F.when(is_kind(kind, "STRING"), F.array(kind.cast("string"))).otherwise(F.transform(F.filter(elements(kind), lambda t: is_kind(t, "STRING")), lambda t: t.cast("string")))
-    return let(names, lambda ts: (F.size(ts) > 0) & ~F.exists(ts, lambda t: is_type(n["value"], t)))
-
-
-def _issues(n: Column) -> Column:
-    """Issues of one value whose type fits, without those of its children."""
+def _visit(n: Column) -> Column:
+    """struct(issues, children) of one (path, value, schema) node, each part of it looked at once."""
     issue = lambda path, kind: F.struct(path.alias("path"), F.lit(kind).alias("kind"))
     inside = lambda k: F.concat(n["path"], F.lit("."), k)
-    none = F.array().cast(ISSUES)
-    allowed = member(n["schema"], "enum")
-    enum = F.when(is_kind(allowed, "ARRAY") & ~F.exists(elements(allowed), lambda e: equal(e, n["value"])), F.array(issue(n["path"], "enum_mismatch")))
-
-    def keys(props: Column) -> Column:
-        have = F.map_keys(entries(n["value"]))
-        wanted = F.transform(elements(member(n["schema"], "required")), lambda k: k.cast("string"))
-        missing = F.transform(F.filter(wanted, lambda k: ~F.array_contains(have, k)), lambda k: issue(inside(k), "missing_required"))
-        strict = F.coalesce(F.try_variant_get(member(n["schema"], "additionalProperties"), "$", "string") == "false", F.lit(False)) & is_kind(member(n["schema"], "additionalProperties"), "BOOLEAN")
-        unknown = F.transform(F.filter(have, lambda k: ~is_kind(F.try_element_at(props, k), "OBJECT")), lambda k: issue(inside(k), "unknown_property"))
-        return F.concat(missing, F.when(strict, unknown).otherwise(none))
-
-    props = member(n["schema"], "properties")
-    return F.concat(F.coalesce(enum, none), F.when(is_kind(n["value"], "OBJECT") & is_kind(props, "OBJECT"), let(entries(props), keys)).otherwise(none))
-
-
-def _children(n: Column) -> Column:
     child = lambda path, v, s: F.struct(path.alias("path"), v.alias("value"), s.alias("schema"))
-    props, item = member(n["schema"], "properties"), member(n["schema"], "items")
-    named = let(entries(props), lambda p: F.transform(F.filter(F.map_entries(entries(n["value"])), lambda e: is_kind(F.try_element_at(p, e["key"]), "OBJECT")), lambda e: child(F.concat(n["path"], F.lit("."), e["key"]), e["value"], F.try_element_at(p, e["key"]))))
-    listed = F.transform(elements(n["value"]), lambda v, i: child(F.concat(n["path"], F.lit("["), i.cast("string"), F.lit("]")), v, item))
-    return F.when(is_kind(n["value"], "OBJECT"), named).when(is_kind(item, "OBJECT"), listed).otherwise(F.array().cast(TRIPLES))
+    none, leaf = F.array().cast(ISSUES), F.array().cast(TRIPLES)
+    result = lambda issues, children: F.struct(issues.alias("issues"), children.alias("children"))
+    get = lambda m, k: F.try_element_at(m, F.lit(k))
+
+    def names(t: Column) -> Column:
+        return F.when(is_kind(t, "STRING"), F.array(t.cast("string"))).otherwise(F.transform(F.filter(elements(t), lambda x: is_kind(x, "STRING")), lambda x: x.cast("string")))
+
+    def members(s: Column) -> Column:
+        def of(m: Column) -> Column:
+            have, props = F.map_keys(m["value"]), m["props"]
+            missing = F.transform(F.filter(F.transform(elements(get(s, "required")), lambda k: k.cast("string")), lambda k: ~F.array_contains(have, k)), lambda k: issue(inside(k), "missing_required"))
+            strict = F.coalesce(F.to_json(get(s, "additionalProperties")) == "false", F.lit(False))
+            known = F.filter(F.transform(F.map_entries(m["value"]), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"), F.try_element_at(props, e["key"]).alias("schema"))), lambda e: is_kind(e["schema"], "OBJECT"))
+            unknown = F.transform(F.filter(have, lambda k: ~is_kind(F.try_element_at(props, k), "OBJECT")), lambda k: issue(inside(k), "unknown_property"))
+            return result(F.concat(missing, F.when(strict, unknown).otherwise(none)), F.transform(known, lambda e: child(inside(e["key"]), e["value"], e["schema"])))
+
+        return let(F.struct(entries(n["value"]).alias("value"), entries(get(s, "properties")).alias("props")), of)
+
+    def look(c: Column) -> Column:
+        s, kind = c["schema"], c["kind"]
+        listed = F.transform(elements(n["value"]), lambda v, i: child(F.concat(n["path"], F.lit("["), i.cast("string"), F.lit("]")), v, get(s, "items")))
+        below = (
+            F.when(F.startswith(kind, F.lit("OBJECT")) & is_kind(get(s, "properties"), "OBJECT"), members(s))
+            .when(F.startswith(kind, F.lit("ARRAY")) & is_kind(get(s, "items"), "OBJECT"), result(none, listed))
+            .otherwise(result(none, leaf))
+        )
+        barred = is_kind(get(s, "enum"), "ARRAY") & ~F.exists(elements(get(s, "enum")), lambda e: equal(e, n["value"]))
+        fine = F.when(barred, let(below, lambda b: result(F.concat(F.array(issue(n["path"], "enum_mismatch")), b["issues"]), b["children"]))).otherwise(below)
+        return F.when((F.size(c["types"]) > 0) & ~F.exists(c["types"], lambda t: is_type(kind, t)), result(F.array(issue(n["path"], "type_mismatch")), leaf)).otherwise(fine)
+
+    opened = let(entries(n["schema"]), lambda s: F.struct(F.schema_of_variant(n["value"]).alias("kind"), s.alias("schema"), names(get(s, "type")).alias("types")))
+    return let(opened, look)
 
 
 def schema_issues(triples: Column) -> Column:
@@ -98,9 +102,7 @@ def schema_issues(triples: Column) -> Column:
     """
 
     def step(state: Column, _: Column) -> Column:
-        wrong = F.transform(F.filter(state["open"], _mismatch), lambda n: F.struct(n["path"].alias("path"), F.lit("type_mismatch").alias("kind")))
-        fine = F.filter(state["open"], lambda n: ~_mismatch(n))
-        return let(fine, lambda f: F.struct(F.flatten(F.transform(f, _children)).alias("open"), F.concat(state["issues"], wrong, F.flatten(F.transform(f, _issues))).alias("issues")))
+        return let(F.transform(state["open"], _visit), lambda vs: F.struct(F.flatten(F.transform(vs, lambda v: v["children"])).alias("open"), F.concat(state["issues"], F.flatten(F.transform(vs, lambda v: v["issues"]))).alias("issues")))
 
     start = F.struct(triples.cast(TRIPLES).alias("open"), F.array().cast(ISSUES).alias("issues"))
     levels = F.aggregate(triples, F.lit(1), lambda most, n: F.greatest(most, 1 + F.regexp_count(F.to_json(n["schema"]), F.lit(r'"(properties|items)"'))))
@@ -138,6 +140,12 @@ def with_schema_issues(items: DataFrame, calls: str = "reference_solution", cont
     return rows.withColumn("schema_issues", F.when(eligible, F.concat(bare.cast(ISSUES), schema_issues(triples)))).drop("__calls", "__tools", "__placed")
 
 
+def issue_rows(items: DataFrame) -> DataFrame:
+    """(item_id, path, kind), one row per issue of `schema_issues`. The outer explode keeps Spark from working the issues out a
+    second time in a filter of its own."""
+    return items.select("item_id", F.explode_outer("schema_issues").alias("i")).where("i is not null").select("item_id", "i.*")
+
+
 def reference_check() -> Check:
     """The row checker over `schema_issues`: one review finding where there are any."""
     return Check("reference_schema_validation", F.col("schema_issues").isNotNull(), [finding("reference_schema_validation", "reference_schema_mismatch", F.size("schema_issues") > 0, "review", "reference-schema-validation-v1", True)])
