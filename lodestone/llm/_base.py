@@ -13,6 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words are maximal runs of anything but ASCII white space; bytes.split() cuts at the same six bytes.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -89,17 +90,23 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int = 8 << 2
 HUBS, SALTS = 1000, 32
 
 
-def hubs(df: DataFrame, key: str) -> DataFrame:
-    """The keys (fewer than HUBS) that hold a large share of the rows, with their count; small enough to broadcast."""
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("__rows"))
-    total = df.agg(F.count(F.lit(1)).alias("__all"))
-    return counts.crossJoin(F.broadcast(total)).where(F.col("__rows") * HUBS > F.greatest("__all", F.lit(HUBS))).select(key, "__rows")
+def hubs(df: DataFrame, key: str) -> list:
+    """The keys that hold a large share of the rows: fewer than HUBS, whatever the data."""
+    total = df.count()
+    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("__rows"))
+    return [r[0] for r in counts.where(F.col("__rows") * HUBS > max(total, HUBS)).select(key).collect()] if total else []
 
 
 def salted_join(big: DataFrame, small: DataFrame, key: str, counted: DataFrame | None = None) -> DataFrame:
     """Inner join on key, where rows of big that share a hub key go to SALTS tasks and their row of small to each of them.
-    `counted` has the keys of big in a smaller table, if there is one."""
-    hot = F.broadcast(hubs(big if counted is None else counted, key).select(key, F.lit(SALTS).alias("__salts")))
+    `counted` has the keys of big in a smaller table, if there is one. Hubs are looked for now, so that the join of a table without
+    any (most have none) stays a plain one, and its plan small."""
+    spark, source = big.sparkSession, big if counted is None else counted
+    hot = [(k, SALTS) for k in hubs(source, key)]
+    if not hot:
+        return big.join(small, key)
+    kind = source.schema[key].dataType
+    hot = F.broadcast(spark.createDataFrame(hot, T.StructType([T.StructField(key, kind), T.StructField("__salts", T.IntegerType())])))
     salt = F.pmod(F.xxhash64(*big.columns), F.coalesce("__salts", F.lit(1)))
     left = big.join(hot, key, "left").withColumn("__salt", salt.cast("int")).drop("__salts")
     right = small.join(hot, key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1))).drop("__salts")

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm._base import salted_join, slices, stash, text_bytes
@@ -105,11 +105,16 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(near)) for c in "ab"], ["a", "b"])
 
 
+def texts_of(rows: DataFrame, asked: DataFrame, counted: DataFrame) -> DataFrame:
+    """(tid, text) of the texts asked for, each once; rows has (doc_id, tid, text), counted their tid."""
+    return salted_join(rows, asked, "tid", counted).groupBy("tid").agg(F.first("text").alias("text"))
+
+
 def verified(pairs: DataFrame, rows: DataFrame, counted: DataFrame) -> DataFrame:
     """The pairs (a, b) of texts, by tid, whose shingle sets are alike; rows has (doc_id, tid, text), counted their tid."""
     pairs = stash(pairs, "pairs")
     asked = pairs.select(F.col("a").alias("tid")).union(pairs.select("b")).distinct()
-    texts = salted_join(rows, asked, "tid", counted).groupBy("tid").agg(F.first("text").alias("text"))
+    texts = texts_of(rows, asked, counted)
     to_b = pairs.select("a", F.col("b").alias("tid"))
     one = salted_join(pairs.select(F.col("a").alias("tid"), "b"), texts, "tid").select(F.col("tid").alias("a"), F.col("b").alias("tid"), F.col("text").alias("a_text"))
     got = salted_join(one, texts, "tid", to_b).select("a", F.col("tid").alias("b"), "a_text", F.col("text").alias("b_text"))
@@ -140,34 +145,113 @@ def _within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     b.append(max(tid[i], tid[i + 1 + j]))
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
+    for table in _whole_groups(batches, "group"):
+        yield pairs(table)
+
+
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (tid, root, text): the distinct shingles of each text."""
+    for big in batches:
+        for batch in slices([big], "text", 1 << 20):
+            if batch.num_rows:
+                gram, at, _ = shingles(text_bytes(batch, "text"))
+                own = [np.unique(gram[at[i] : at[i + 1]]) for i in range(batch.num_rows)]
+                row = pa.array(np.repeat(np.arange(batch.num_rows), [len(x) for x in own]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).view(np.int64)), batch.column("tid").take(row), batch.column("root").take(row)], ["gram", "tid", "root"])
+
+
+def _prefix_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (gram, tid, root, place, size), sorted by gram, with at most GROUP rows of a gram: the pairs (a, b) of other roots that can
+    still be alike, if what they share begins with this shingle."""
+
+    def pairs(table: pa.Table) -> pa.RecordBatch:
+        gram, tid, root, place, size = (table.column(c).to_numpy() for c in ("gram", "tid", "root", "place", "size"))
+        cuts = [0, *(np.flatnonzero(np.diff(gram)) + 1).tolist(), len(gram)]
+        a, b = [], []
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            i, j = np.triu_indices(hi - lo, 1)
+            i, j = i + lo, j + lo
+            most = np.minimum(size[i] - place[i], size[j] - place[j])
+            fits = (root[i] != root[j]) & (most * (1 + LIKE) >= LIKE * (size[i] + size[j]) - 1e-6)
+            a.append(np.minimum(tid[i[fits]], tid[j[fits]]))
+            b.append(np.maximum(tid[i[fits]], tid[j[fits]]))
+        both = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["a", "b"])
+
+    for table in _whole_groups(batches, "gram"):
+        yield pairs(table)
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """The same rows, sorted by key, cut so that no key's rows are apart."""
     rest = None
     for batch in batches:
         if not batch.num_rows:
             continue
         now = pa.Table.from_batches([batch])
         now = now if rest is None else pa.concat_tables([rest, now])
-        group = now.column("group").to_numpy()
-        cut = int(np.searchsorted(group, group[-1]))  # the last group may go on
+        values = now.column(key).to_numpy()
+        cut = int(np.searchsorted(values, values[-1]))  # the last key may go on
         if cut:
-            yield pairs(now.slice(0, cut))
+            yield now.slice(0, cut)
         rest = now.slice(cut)
     if rest is not None:
-        yield pairs(rest)
+        yield rest
+
+
+def _led(rows: DataFrame) -> DataFrame:
+    """Pairs of LEADS members of each group with all others of other roots that share SHARED min-hashes; rows: group, tid, root, mins."""
+    found = None
+    for salt in range(LEADS):
+        lead = rows.groupBy("group").agg(F.min(F.struct(F.xxhash64(F.lit(salt), "group", "tid").alias("h"), "tid", "root", "mins")).alias("p"))
+        lead = lead.select("group", F.col("p.tid").alias("lead"), F.col("p.root").alias("other"), F.col("p.mins").alias("its"))
+        met = salted_join(rows, lead, "group").where("root <> other").select("tid", "mins", "lead", "its")
+        part = met.mapInArrow(_between, "a long, b long")
+        found = part if found is None else found.union(part)
+    return found
+
+
+def crowded(rest: DataFrame, texts: DataFrame, rows: DataFrame, counted: DataFrame) -> DataFrame:
+    """Pairs (a, b) among texts that agree in much with too many others, found by their rarest shingles.
 
+    The shingles of these texts are counted over these texts alone; each text keeps its rarest fifth and one more, in an order that
+    is the same for all. Two texts alike by 0.8 have one of these in common, and the first in common leaves enough behind
+    it in both (prefix and position filter: no loss). Shingles of a template are frequent, and so come last. A shingle that
+    GROUP texts or fewer keep pairs all of them; of more frequent ones, each text's rarest has LEADS members that meet the others.
+    """
+    told = stash(rest.select("tid", "root").distinct(), "crowd")
+    if told.isEmpty():
+        return told.select(F.col("tid").alias("a"), F.col("root").alias("b"))
+    grams = stash(texts_of(rows, told.select("tid"), counted).join(told, "tid").mapInArrow(_grams, "gram long, tid long, root long"), "grams")
+    often = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    order = Window.partitionBy("tid")
+    placed = grams.join(often, "gram", "left").withColumn("n", F.coalesce("n", F.lit(1)))
+    placed = placed.withColumn("place", F.row_number().over(order.orderBy("n", "gram")) - 1).withColumn("size", F.count(F.lit(1)).over(order))
+    kept = stash(placed.where(F.col("n") > 1).where(F.col("place") <= F.col("size") - F.ceil(LIKE * F.col("size") - 1e-6)), "prefix")
+    sizes = stash(kept.groupBy("gram").agg(F.count(F.lit(1)).alias("kept"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("gram", "kept"), "sizes")
+    few = kept.join(sizes.where(F.col("kept") <= GROUP).select("gram"), "gram").select("gram", "tid", "root", "place", "size")
+    met = few.repartition("gram").sortWithinPartitions("gram").mapInArrow(_prefix_pairs, "a long, b long").distinct()
+    mins = texts.select(F.col("lead").alias("tid"), "mins")
+    near = met.join(mins.select(F.col("tid").alias("a"), F.col("mins").alias("mins")), "a").join(mins.select(F.col("tid").alias("b"), F.col("mins").alias("its")), "b")
+    exact = near.select(F.col("a").alias("tid"), "mins", F.col("b").alias("lead"), "its").mapInArrow(_between, "a long, b long")
+    many = kept.join(sizes.where(F.col("kept") > GROUP).select("gram"), "gram").groupBy("tid", "root").agg(F.min(F.struct("n", "gram")).alias("least"))
+    many = stash(many.select(F.col("least.gram").alias("group"), "tid", "root").join(mins, "tid").select("group", "tid", "root", "mins"), "frequent")
+    return exact.union(_led(many))
 
-def candidates(members: DataFrame, texts: DataFrame) -> DataFrame:
+
+def candidates(members: DataFrame, texts: DataFrame, rows: DataFrame, counted: DataFrame) -> DataFrame:
     """Pairs (a, b) of texts of other roots in one group that share SHARED min-hashes; members has (band, tid, root), one row
     per band, texts has (lead, bands, mins). A band of over GROUP members gives way to its pairs with the other bands of each
     text, of which two texts alike by 0.8 share one with probability 0.9996. What is too large then as well has many texts
-    that agree in two bands and more; there LEADS members meet all others."""
+    that agree in two bands and more; there LEADS members meet all others, and all go by their rarest shingles (`crowded`)."""
     wide = members.join(texts.select(F.col("lead").alias("tid"), "bands", "mins"), "tid")
-    rows = wide.select(F.col("band").alias("group"), "tid", "root", "bands", "mins", F.col("band").alias("own"))
+    each = wide.select(F.col("band").alias("group"), "tid", "root", "bands", "mins", F.col("band").alias("own"))
     sized = lambda r: r.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("group", "n")
     pick = ["group", "tid", "root", "mins"]
 
-    sizes = stash(sized(rows), "sizes")
-    few = rows.join(sizes.where(F.col("n") <= GROUP), "group").select(*pick)
-    big = rows.join(sizes.where(F.col("n") > GROUP), "group")
+    sizes = stash(sized(each), "sizes")
+    few = each.join(sizes.where(F.col("n") <= GROUP), "group").select(*pick)
+    big = each.join(sizes.where(F.col("n") > GROUP), "group")
     other = F.filter("bands", lambda x: x != F.col("own"))
     two = big.select("tid", "root", "mins", "own", F.explode(other).alias("x"))
     two = two.select(F.xxhash64(F.least("own", "x"), F.greatest("own", "x")).alias("group"), "tid", "root", "mins").dropDuplicates(["group", "tid"])
@@ -176,12 +260,7 @@ def candidates(members: DataFrame, texts: DataFrame) -> DataFrame:
     few = few.union(two.join(sizes.where(F.col("n") <= GROUP), "group").select(*pick))
     found = few.repartition("group").sortWithinPartitions("group").mapInArrow(_within, "a long, b long")
     rest = stash(two.join(sizes.where(F.col("n") > GROUP).select("group"), "group").select(*pick), "rest")
-    for salt in range(LEADS):
-        lead = rest.groupBy("group").agg(F.min(F.struct(F.xxhash64(F.lit(salt), "group", "tid").alias("h"), "tid", "root", "mins")).alias("p"))
-        lead = lead.select("group", F.col("p.tid").alias("lead"), F.col("p.root").alias("other"), F.col("p.mins").alias("its"))
-        met = salted_join(rest, lead, "group").where("root <> other").select("tid", "mins", "lead", "its")
-        found = found.union(met.mapInArrow(_between, "a long, b long"))
-    return found.distinct()
+    return stash(found.union(_led(rest)).union(crowded(rest, texts, rows, counted)).distinct(), "candidates")
 
 
 def _between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -215,9 +215,9 @@ def near_copies(docs: DataFrame) -> DataFrame:
     texts at that similarity differ with probability 0.15 (some 10 of 64), texts that share one of 16 bands of 4
     min-hashes are candidates too, which a pair at 0.8 fails with probability 0.0002. All are compared by their shingles.
     Members of a band first meet its least member. Where that leaves several components, all members of different ones are
-    compared by 64 min-hashes, without their texts, and those that share 40 by their shingles. Bands of over 128 members
-    are cut by the texts' other bands first, so comparisons don't grow with the square of a band; only what agrees in two
-    bands and is too many still meets eight leads in place of all (`nearcopies.candidates`).
+    compared by 64 min-hashes, without their texts, and those that share 42 by their shingles. Bands of over 128 members
+    are cut by the texts' other bands first, so comparisons don't grow with the square of a band; what agrees in two bands
+    and is too many still goes by its rarest shingles (`nearcopies.crowded`).
     All texts without words are one class; an empty table gives no rows.
     """
     ship(docs.sparkSession)
@@ -236,7 +236,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     comps = stash(connected_components(links), "components")
     named = held.join(comps, held["tid"] == comps["node"], "left").select("band", "tid", F.coalesce("root", "tid").alias("root"))
     mixed = named.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band")
-    more = nearcopies.candidates(stash(named.join(mixed, "band", "left_semi"), "left"), per).join(first, ["a", "b"], "left_anti")
+    more = nearcopies.candidates(stash(named.join(mixed, "band", "left_semi"), "left"), per, rows, keyed).join(first, ["a", "b"], "left_anti")
     comps = connected_components(links.union(nearcopies.verified(more, rows, keyed)))
     rooted = per.select("key", "lead").join(comps, per["lead"] == comps["node"], "left").select("key", F.coalesce("root", "lead").alias("root"))
     return keyed.select("tid", "key").distinct().join(rooted, "key").select("tid", "root")

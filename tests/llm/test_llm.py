@@ -440,6 +440,24 @@ def test_near_copies_behind_a_common_passage(spark, monkeypatch, group):
     assert sorted(sorted(g) for g in got.values()) == sorted(want.values())
 
 
+def test_near_copies_behind_a_template(spark):
+    """2,400 texts share 300 words; each has one true near copy, at 0.826, and lies at 0.787 from all others."""
+    rng = random.Random(8)
+    template, texts = [f"c{i}" for i in range(300)], []
+    for i in range(1200):
+        own = [f"w{i}x{j}" for j in range(40)]
+        texts += [" ".join(template + own), " ".join([*template, *own[:8], f"z{i}", *[f"y{i}x{j}" for j in range(31)]])]
+    order = list(range(len(texts)))
+    rng.shuffle(order)
+    docs = spark.createDataFrame([(k, texts[i]) for k, i in enumerate(order)], "doc_id long, text string")
+    pair = {r["t"]: order[r["doc_id"]] // 2 for r in docs.select("doc_id", F.xxhash64("text").alias("t")).collect()}
+    classes = collections.defaultdict(list)
+    for r in simhash.near_copies(docs).collect():
+        classes[r["root"]].append(pair[r["tid"]])
+    joined = sum(len(c) == 2 and c[0] == c[1] for c in classes.values())
+    assert joined >= 0.98 * 1200 and all(len(set(c)) == 1 for c in classes.values())
+
+
 def test_no_entity_of_any_script_stays():
     make = pii.Surrogates(b"k")
     names = "Mr 王小明|Dr Αλέξανδρος Παπαδόπουλος|Frau Müller|Mr Łukasz Żółty|Prof דוד כהן|Dr محمد علي|Mr 김철수|Dr राम शर्मा|Mrs Katarzyna Nowak|Госпожа Ёлкина|Ms Anna-Maria O’Neil"
