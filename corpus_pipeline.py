@@ -41,7 +41,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     def work(d: DataFrame) -> DataFrame:
         roots = simhash.near_copies(d)
         tid = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-        rows = d.select("doc_id", tid.alias("tid")).groupBy("doc_id", "tid").agg(F.count(F.lit(1)).alias("n"))
+        rows = stash(d.select("doc_id", tid.alias("tid")).groupBy("doc_id", "tid").agg(F.count(F.lit(1)).alias("n")), "ids")
         best = salted_join(rows, roots, "tid").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tid", "n")).alias("b"))
         best = stash(best.select(F.col("b.tid").alias("__tid"), F.col("b.doc_id").alias("__id"), F.col("b.n").alias("__n")), "kept")
         same = (tid == F.col("__tid")) & F.col("doc_id").eqNullSafe(F.col("__id"))
