@@ -28,7 +28,7 @@ def choice_index(answer: Column, choices: Column) -> Column:
 
 
 def contract(evaluator: Column, output: Column, gold: Column, choices: Column) -> Column:
-    """struct(kind, cardinality, basis). Tokens are found as substrings, first match wins."""
+    """struct(kind, cardinality, basis, explains). Tokens are found as substrings, first match wins; explains: text around the answer is allowed."""
     ev, every = normalize_text(evaluator), F.concat_ws(" ", normalize_text(evaluator), normalize_text(output))
     has = lambda x, *words: F.greatest(*[F.contains(x, F.lit(w)).cast("int") for w in words], F.lit(0)) == 1
     kind = (
@@ -48,7 +48,8 @@ def contract(evaluator: Column, output: Column, gold: Column, choices: Column) -
         .otherwise("default")
     )
     cardinality = F.when(has(every, "compound"), "compound").when(has(every, "set", "list", "multi", "multiple", "all answers", "denotation"), "set").otherwise("single")
-    return F.struct(kind.alias("kind"), cardinality.alias("cardinality"), basis.alias("basis"))
+    explains = has(every, "free form", "free-form", "natural language", "answer extraction", "extract", "explanation", "sentence")
+    return F.struct(kind.alias("kind"), cardinality.alias("cardinality"), basis.alias("basis"), explains.alias("explains"))
 
 
 def close(a: Column, b: Column, rel: float = 0.0, absolute: float = 1e-9) -> Column:
@@ -87,17 +88,49 @@ def accept(answer: Column, gold: Column, answers: Column, choices: Column, evalu
     return F.coalesce(plain, F.lit(False)) | F.coalesce(alias, F.lit(False))
 
 
-def variants(gold: Column, kind: Column, choices: Column) -> Column:
-    """Answers that mean the same as gold."""
+def swapped(x: Column) -> Column:
+    """Upper and lower case exchanged, for ASCII letters."""
+    return F.translate(x, LETTERS + LETTERS.lower(), LETTERS.lower() + LETTERS)
+
+
+def _strings(*found: Column) -> Column:
+    return F.array_compact(F.array(*[x.cast("string") for x in found]))
+
+
+def format_variants(gold: Column, answers: Column, choices: Column) -> Column:
+    """Other ways to write a gold down, by its contract: a set reversed and comma-joined (from two values on); none of a compound; else
+    in a sentence where explanations are allowed, with case exchanged, with thousands commas, and as a choice's text or
+    label with a period. Null golds have none."""
+    text, number, at = F.trim(gold), parse_number(gold), choice_index(gold, choices)
+    parts = F.transform(split_list(gold), F.trim)
+    as_set = F.when(F.size(parts) > 1, F.array(F.array_join(F.reverse(parts), ", "), F.array_join(parts, ", "))).otherwise(none_of())
+    single = _strings(
+        F.when(answers["explains"], F.concat(F.lit("Answer: "), text)), F.when(answers["explains"], F.concat(F.lit("The final answer is "), text, F.lit("."))), F.when(text != "", swapped(text)),
+        F.when(number == F.floor(number), F.format_number(number, 0)), F.get(choices, at), F.when(at >= 0, F.concat(F.substring(F.lit(LETTERS), at + 1, F.lit(1)), F.lit("."))),
+    )
+    return F.coalesce(F.when(answers["cardinality"] == "set", as_set).when(answers["cardinality"] == "compound", none_of()).otherwise(F.when(gold.isNotNull(), single)), none_of())
+
+
+def variants(gold: Column, answers: Column, choices: Column, aliases: Column) -> Column:
+    """Answers that mean the same as gold under its contract, each once: a choice's text and labels, a number's spellings (6.0, 6.00, 006;
+    6.30 for 6.3), text with blanks around or case exchanged, a set's orders, and the declared aliases (not of sets)."""
+    kind, multi = answers["kind"], answers["cardinality"].isin("set", "compound")
     at = choice_index(gold, choices)
     label = F.substring(F.lit(LETTERS), at + 1, F.lit(1))
-    text = F.get(choices, at)
     number = parse_number(gold)
-    whole = number == F.floor(number)
-    numeric = F.when(whole, F.array(F.concat(number.cast("bigint").cast("string"), F.lit(".0")), F.concat(number.cast("bigint").cast("string"), F.lit(".00")))).otherwise(F.array(F.concat(gold, F.lit("0"))))
-    swapped = F.translate(gold, LETTERS + LETTERS.lower(), LETTERS.lower() + LETTERS)
-    found = F.when(kind == "choice", F.array(text, F.concat(label, F.lit(".")), F.lower(label))).when(kind == "numeric", numeric).when(kind == "normalized_exact", F.array(F.concat(F.lit(" "), gold, F.lit(" ")), swapped))
-    return F.array_distinct(F.array_compact(F.coalesce(found, none_of())))
+    told = F.regexp_extract(F.replace(F.trim(gold), F.lit(","), F.lit("")), r"[-+]?\d+(?:\.\d+)?", 0)
+    digits = F.abs(number).cast("decimal(38,0)").cast("string")
+    sign = F.when(number < 0, "-").otherwise("")
+    padded = F.concat(sign, F.lpad(digits, F.greatest(F.length(digits), F.when(number < 0, F.lit(2)).otherwise(F.lit(3))), F.lit("0")))
+    numeric = F.when(number == F.floor(number), _strings(F.concat(sign, digits, F.lit(".0")), F.concat(sign, digits, F.lit(".00")), padded)).when(F.contains(told, F.lit(".")), F.array(F.concat(told, F.lit("0"))))
+    found = (
+        F.when(multi, format_variants(gold, answers, choices))
+        .when(kind == "choice", F.when(at >= 0, F.array(F.get(choices, at), F.concat(label, F.lit(".")), F.lower(label))))
+        .when(kind == "numeric", numeric)
+        .when(kind == "normalized_exact", F.array(F.concat(F.lit("  "), gold, F.lit("  ")), swapped(gold)))
+    )
+    more = F.when(answers["cardinality"] != "set", aliases)
+    return F.array_distinct(F.array_compact(F.concat(F.coalesce(found, none_of()), F.coalesce(more, none_of()))))
 
 
 def mutations(gold: Column, kind: Column, choices: Column) -> Column:

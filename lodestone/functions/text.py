@@ -129,28 +129,71 @@ def let(x: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(x), use), F.lit(0))
 
 
-def expression_value(x: Column) -> Column:
-    """The value of an expression of numbers, + - * / and brackets; null for what isn't one and for division by zero.
-    Brackets are worked off from the inside, each replaced by its value to 14 places."""
-    number = r"(?:\d+\.?\d*|\.\d+)"
+_ATOM = r"n?(?:\d+\.?\d*|\.\d+)(?:E-?\d+)?"  # n marks a negative value that a bracket was replaced by
+_FACTOR = rf"[+-]*{_ATOM}(?:\*\*[+-]*{_ATOM})*"
+_TERM = rf"{_FACTOR}(?:(?:\*|//|/){_FACTOR})*"
+
+
+def _operate(a: Column, op: Column, b: Column) -> Column:
+    """a op b for + - * / // **; null where it has no finite value."""
+    power = F.pow(a, b)
+    power = F.when(~F.isnan(power) & (F.abs(power) < float("inf")), power)
+    return F.when(op == "+", a + b).when(op == "-", a - b).when(op == "*", a * b).when(op == "/", F.try_divide(a, b)).when(op == "//", F.floor(F.try_divide(a, b)).cast("double")).when(op == "**", power)
+
+
+def _atom(x: Column) -> Column:
+    """The value of an atom with the signs before it."""
+    bare = F.regexp_replace(x, "^[+-]*", "")
+    size = F.when(F.startswith(bare, F.lit("n")), -F.substr(bare, F.lit(2)).try_cast("double")).otherwise(bare.try_cast("double"))
+    return size * _sign(x)
+
+
+def _sign(x: Column) -> Column:
+    return F.when(F.length(F.replace(F.regexp_extract(x, "^[+-]*", 0), F.lit("+"), F.lit(""))) % 2 == 1, -1.0).otherwise(1.0)
 
-    def factor(so_far: Column, f: Column) -> Column:
-        value = F.regexp_replace(f, "^[*/]", "").try_cast("double")
-        return F.when(F.startswith(f, F.lit("/")), F.try_divide(so_far, value)).otherwise(so_far * value)
 
-    def flat(s: Column) -> Column:
-        signs = F.regexp_replace(F.regexp_replace(F.regexp_replace(s, r"\+\+|--", "+"), r"\+-|-\+", "-"), r"\+\+|--", "+")
-        whole, term, part = F.lit(rf"^[+-]?{number}(?:[-+*/][+-]?{number})*$"), F.lit(rf"[+-]?{number}(?:[*/][+-]?{number})*"), F.lit(rf"[*/]?[+-]?{number}")
-        product = lambda t: F.aggregate(F.regexp_extract_all(t, part, 0), F.lit(1.0), factor)
-        return let(signs, lambda x: F.when(F.regexp_like(x, whole), F.aggregate(F.regexp_extract_all(x, term, 0), F.lit(0.0), lambda a, t: a + product(t))))
+def _flat(x: Column) -> Column:
+    """The value of an expression without brackets and blanks."""
+    op = r"^(?:\*|//|/)"
+
+    def factor(f: Column) -> Column:  # powers go from the right, and bind closer than the sign on their left
+        parts = F.split(f, r"\*\*")
+        last = F.element_at(parts, -1)
+        before = F.reverse(F.slice(parts, F.lit(1), F.size(parts) - 1))
+        return F.aggregate(before, _atom(last), lambda value, p: _sign(p) * _operate(_atom(F.regexp_replace(p, "^[+-]*", "")), F.lit("**"), value))
+
+    def product(t: Column) -> Column:
+        each = F.regexp_extract_all(t, F.lit(rf"(?:\*|//|/)?{_FACTOR}"), F.lit(0))
+        return let(each, lambda fs: F.aggregate(F.slice(fs, F.lit(2), F.size(fs)), factor(F.get(fs, F.lit(0))), lambda value, f: _operate(value, F.regexp_extract(f, op, 0), factor(F.regexp_replace(f, op, "")))))
+
+    def total(ts: Column) -> Column:
+        return F.aggregate(F.slice(ts, F.lit(2), F.size(ts)), product(F.get(ts, F.lit(0))), lambda value, t: _operate(value, F.substr(t, F.lit(1), F.lit(1)), product(F.substr(t, F.lit(2)))))
+
+    return F.when(x.rlike(rf"^{_TERM}(?:[+-]{_TERM})*$"), let(F.regexp_extract_all(x, F.lit(_TERM), F.lit(0)), total))
+
+
+def expression_value(x: Column) -> Column:
+    """The value of an expression of decimal numbers, + - * / // ** and brackets, with the usual signs and precedence, powers from the
+    right; null for what isn't one, for division by zero and for results that aren't finite. A whole number with leading
+    zeros isn't one (zero itself is), so that a date isn't taken for a difference; nor is text over several lines.
+
+    Two numbers with one sign between them, as most are, are worked out in compiled code; other expressions by brackets,
+    from the inside, each replaced by its value.
+    """
+    number = r"\d+\.?\d*|\.\d+"
+    pair = rf"^([-+]?(?:{number}))\s*(\+|-|\*\*|\*|//|/)\s*({number})$"
+    part = lambda i: F.regexp_extract(x, pair, i)
+    # two values side by side, a sign cut in two, a number that starts with zeros, a line's end
+    barred = x.rlike(r"[\d.]\s+[\d.]|[\d.)]\s*\(|\)\s*[\d.]|\*\s+\*|/\s+/|(?<![\d.])0+[1-9]\d*(?![\d.])|[\r\n]")
+    simple = x.rlike(pair) & ~x.rlike(r"^-.*\*\*")
 
     def inner(s: Column, _: Column) -> Column:
-        done = lambda m, v: F.coalesce(F.replace(s, F.concat(F.lit("("), m, F.lit(")")), F.format_string("%.14f", v)), s)
-        return let(F.regexp_extract(s, r"\(([^()]*)\)", 1), lambda m: let(flat(m), lambda v: F.when(v.isNull(), s).otherwise(done(m, v))))
+        written = lambda v: F.concat(F.when(v < 0, "n").otherwise(""), F.abs(v).cast("string"))
+        return let(F.regexp_extract(s, r"\(([^()]*)\)", 1), lambda m: let(_flat(m), lambda v: F.when(v.isNull() | ~(F.abs(v) < float("inf")), s).otherwise(F.replace(s, F.concat(F.lit("("), m, F.lit(")")), written(v)))))
 
-    joined = x.rlike(r"[\d.]\s+[\d.]|[\d.)]\s*\(|\)\s*[\d.]")  # two values without a sign between them
     steps = F.sequence(F.lit(0), F.regexp_count(x, F.lit(r"\(")))  # one more than there are brackets, which changes nothing
-    return F.when(~joined, flat(F.aggregate(steps, F.regexp_replace(x, r"\s+", ""), inner)))
+    general = let(F.aggregate(steps, F.regexp_replace(x, r"\s+", ""), inner), _flat)
+    return F.when(~barred, F.when(simple, _operate(part(1).try_cast("double"), part(2), part(3).try_cast("double"))).otherwise(general))
 
 
 def added_lines(patch: Column) -> Column:

@@ -2,7 +2,7 @@
 run in one projection, which gives the findings table and the item-by-checker ledger from a single scan.
 
 Items have item_id, task, choices (array), gold, aliases (array), output_contract, evaluator, metadata (map) and, where
-known, row_uid.
+known, row_uid, context (map of name to text) and task_shape (of a profile; null says nothing about the task).
 """
 
 from __future__ import annotations
@@ -39,7 +39,29 @@ MULTIPLICITY = {
     r"\bmore\s+than\s+one\s+(?:answer|solution|way|result)\b|\b(?:several|many)\s+(?:valid\s+)?(?:answers?|solutions?|ways)\b",
     "randomness": r"\brandom(?:ly|ized)?\b|\bshuffl(?:e|ed|ing)\b",
 }
+CONTEXT_NAMES = {
+    "figure": ("figure", "image", "images", "attachment", "attachments", "file", "files", "context"),
+    "file": ("file", "files", "attachment", "attachments", "document", "documents", "context"),
+    "database": ("database", "schema", "db_schema", "database_schema", "tables", "context"),
+}
+ANSWER_SHAPES = ("multiple_choice", "open_ended_qa")
+APPROXIMATE = r"(?i)\b(about|approximately|approximate|estimate|roughly|nearest)\b"
+COUNTED = r"\bhow\s+many\b[^?.!]*\b(?:piles|groups|packages|packs|boxes|bags|buses|cars|trips|loads|teams)\b"
+UNITS = r"(?i)\b(dollar|usd|yuan|rmb|percent|%|meter|mile|hour|minute|kg|pound)\b"
+UNIT_ASKED = (
+    r"\bhow\s+(?:many|much)\b[^?.!]*\b(?:dollars?|usd|yuan|rmb|cents?|percent|%|meters?|miles?|hours?|minutes?|kilograms?|kg|pounds?)\b",
+    r"\bhow\s+much\s+(?:money|will\b[^?.!]*(?:pay|cost)|does\b[^?.!]*cost)\b",
+    r"\bhow\s+(?:long|far)\b",
+    r"\bwhat\s+is\b[^?.!]*\b(?:area|perimeter|volume|length|height|width|distance|time)\b",
+)
+VERSIONED = r"(?i)\b(as of|version|release|updated|latest|current)\b"
 ARITHMETIC = tuple(rf"(?i){asks}\s+([-+*/().\d\s]+)\??" for asks in ("what is", "calculate", "compute"))
+TEMPORAL = r"(?i)\bas of now\b|\b(?:latest|most recent|current)\s+(?:president|prime minister|leader|dalai lama|ceo|version|release|population|rate|status|law|policy)\b"
+YEAR = r"\b(?:19|20)\d{2}\b"
+UNNAMED_SOURCE = r"(?i)\b(recent|new|latest|a|the)\s+(research|study|report|survey|comparison)\b"
+NAMED_SOURCE = r"\b(?:19|20)\d{2}\b|https?://|doi:|according to [A-Z][A-Za-z'-]+"
+BROKEN_INSTRUCTION = (r"(?i)\bserving\s*[-–—]\s*year terms\b", r"(?i)\bhas members each serving\s*[-–—]?\s*year terms\b", r"(?i)\b(?:select|identify|choose)\s*$")
+BROKEN_TEXT = (r"(?:â|ï¿½|�|Ã[A-Za-z])", r"(?i)\b\d{1,2}-(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\b", r"\b(?:10\^|10\s*\*)\s*$")
 
 
 @dataclass(frozen=True)
@@ -49,7 +71,7 @@ class Check:
     findings: Sequence[Column]
 
 
-def finding(method: str, defect: str, when: Column, severity: str | Column = "major", evidence: str = "", review: bool = False, confidence: float | None = None) -> Column:
+def finding(method: str, defect: str, when: Column, severity: str | Column = "major", evidence: str = "", review: bool = False, confidence: float | None = None, scope: str = "substantive") -> Column:
     level = severity if isinstance(severity, Column) else F.lit(severity)
     return F.when(
         when,
@@ -60,72 +82,116 @@ def finding(method: str, defect: str, when: Column, severity: str | Column = "ma
             F.lit(evidence).alias("evidence_level"),
             F.lit(review).alias("review_only"),
             F.lit(confidence).cast("double").alias("confidence"),
-            F.lit("substantive").alias("defect_scope"),
+            F.lit(scope).alias("defect_scope"),
         ),
     )
 
 
 def arithmetic_value(task: Column) -> Column:
-    """The value that an arithmetic task asks for: decimal numbers, + - * / and brackets, signs and precedence as usual.
+    """The value that an arithmetic task asks for: decimal numbers, + - * / // ** and brackets, signs and precedence as usual.
     Null for other tasks, division by zero and values beyond 1e12."""
-    task = F.coalesce(task, F.lit(""))
-    found = F.get(F.filter(F.array(*[F.trim(F.regexp_extract(task, p, 1)) for p in ARITHMETIC]), lambda t: t != ""), F.lit(0))
-    return X.let(X.let(found, X.expression_value), lambda v: F.when(F.abs(v) <= 1e12, v))
+    found = F.coalesce(*[F.nullif(F.trim(F.regexp_extract(task, p, 1)), F.lit("")) for p in ARITHMETIC])
+    value = X.expression_value(found)
+    return F.when(task.rlike("(?i)what is|calculate|compute") & (F.abs(value) <= 1e12), value)
+
+
+def _missing_context(kind: str, task: Column, context: Column) -> Column:
+    """Whether a task points to material that isn't text and that no filled context entry has in its name."""
+    named = F.exists(F.map_entries(context), lambda e: (F.coalesce(e["value"], F.lit("")) != "") & e["key"].rlike("(?i)" + "|".join(CONTEXT_NAMES[kind])))
+    return task.rlike("(?i)" + REFERENCES[kind]) & ~F.coalesce(named, F.lit(False))
 
 
 def standard_checks(names: Sequence[str] | None = None) -> list[Check]:
     """All checkers, or those named; only what is asked for is built."""
     c = F.col
-    task, gold, choices, ev, out = c("task"), c("gold"), c("choices"), c("evaluator"), c("output_contract")
-    yes = F.lit(True)
+    task, gold, choices, ev, out, context = c("task"), c("gold"), c("choices"), c("evaluator"), c("output_contract"), c("__context")
+    yes, static = F.lit(True), "static_rule"
     answers, seen = c("__answers"), c("__gold")  # of prepared()
-    kind = answers["kind"]
-    has_gold, has_choices = ~X.blank(gold), F.size(choices) > 0
+    kind, single = answers["kind"], answers["cardinality"] == "single"
+    has_gold, has_choices, has_out, has_ev = F.coalesce(gold != "", F.lit(False)), F.size(choices) > 0, ~X.blank(out), ~X.blank(ev)
     loose = F.transform(choices, X.normalize_choice)
-    told = F.exists(F.map_keys("metadata"), lambda k: k.isin("source", "version", "date", "domain"))
-    asks = F.contains(task, F.lit("?"))
-    off = lambda: F.abs(arithmetic_value(task) - X.parse_number(gold)) > 1e-9
+    metadata = lambda *keys: F.exists(F.map_keys("metadata"), lambda k: k.isin(*keys))
+    any_case = lambda *keys: F.exists(F.map_keys("metadata"), lambda k: F.lower(k).isin(*keys))
+    may_ask = F.coalesce(c("__shape").isin(*ANSWER_SHAPES), F.lit(True))
+    number = X.parse_number(gold)
+    low = lambda: F.lower(F.regexp_replace(task, r"(?U)\s+", " "))
+    off = lambda: F.abs(arithmetic_value(task) - number) > 1e-9
     ok = lambda x: A.accept(x, seen, answers, choices, ev, c("aliases"))
-    rejected = lambda: F.filter(A.variants(gold, kind, choices), lambda v: ~ok(v))
+    aliases_rejected = lambda: F.coalesce((answers["cardinality"] != "set") & F.exists("aliases", lambda a: ~ok(a)), F.lit(False))
+    rejected = lambda vs: F.exists(vs, lambda v: ~ok(v))
     survived = lambda: F.filter(A.mutations(gold, kind, choices), ok)
-    severity = F.when(~X.blank(out) & ~has_gold, "major").when(kind.isin("choice", "numeric", "normalized_exact"), "minor").otherwise("major")
+    plain = single & kind.isin("choice", "numeric", "normalized_exact")
+    severity = F.when(has_out & ~has_gold, "major").when(plain, "minor").otherwise("major")
     norm_ev, norm_out = X.normalize_text(ev), X.normalize_text(out)
     mismatch = (has_choices & norm_out.rlike("numeric|number|free.?text")) | (norm_out.rlike("json") & norm_ev.rlike("exact|numeric|choice")) | (norm_out.rlike("numeric|number") & norm_ev.rlike("choice"))
+    unit_asked = lambda: F.greatest(*[low().rlike(p).cast("int") for p in UNIT_ASKED]) == 1
+    whole = F.concat(task, F.lit("\n"), F.array_join(choices, " "))
     built = [
         ("task_specification", lambda: Check(
             "task_specification",
             yes,
             [
-                finding("static_rule", "missing_task", X.blank(task), "critical", "canonical_task_absence"),
-                finding("static_rule", "missing_context", F.greatest(*[task.rlike("(?i)" + p).cast("int") for p in REFERENCES.values()]) == 1, review=True),
-                finding("static_rule", "ambiguous_goal", asks & ~told & (task.rlike("(?i)" + AMBIGUITY[0]) | task.rlike("(?i)" + AMBIGUITY[1])), "review", review=True),
+                finding(static, "missing_task", X.blank(task), "critical", "canonical_task_absence"),
+                *[finding(static, "missing_context", _missing_context(k, task, context), review=True) for k in REFERENCES],
+                *[finding(static, "ambiguous_goal", ~X.blank(task) & may_ask & task.rlike("(?i)" + p) & ~metadata("source", "version", "date", "domain"), "review", review=True) for p in AMBIGUITY],
+            ],
+        )),
+        ("context_attachment", lambda: Check("context_attachment", yes, [finding(static, "context_version_mismatch_risk", may_ask & task.rlike(VERSIONED) & ~any_case("version", "source", "date", "release"), "review", review=True)])),
+        ("expected_output", lambda: Check(
+            "expected_output",
+            yes,
+            [
+                finding(static, "missing_output_contract", ~has_out & ~has_choices & ~has_ev, "review", review=True),
+                finding("cross_artifact_consistency", "output_format_overstrict_risk", number.isNotNull() & (kind == "numeric") & task.rlike(APPROXIMATE) & ~((number == F.floor(number)) & low().rlike(COUNTED)), "review", review=True),
+                finding(static, "missing_accepted_alternatives", has_out & number.isNotNull() & task.rlike(UNITS) & ~out.rlike(UNITS) & ~unit_asked(), "review", review=True),
             ],
         )),
-        ("expected_output", lambda: Check("expected_output", ~X.blank(task), [finding("static_rule", "missing_output_contract", X.blank(out) & ~has_choices & X.blank(ev), "minor", review=True)])),
         ("oracle_ground_truth", lambda: Check(
             "oracle_ground_truth",
             yes,
             [
-                finding("static_rule", "missing_oracle", gold.isNull(), "critical"),
-                finding("static_rule", "unexpected_invisible_or_control_gold", X.invisible_count(gold) > 0, "major", "oracle_unicode_integrity_replay"),
-                finding("static_rule", "invalid_choice_gold", has_choices & has_gold & seen["index"].isNull(), "critical", "choice_gold_domain_replay"),
-                finding("static_rule", "duplicate_choices", F.size(F.array_distinct(loose)) < F.size(choices), "major"),
-                finding("static_rule", "empty_choice", F.exists(choices, X.blank), "major"),
-                finding("static_rule", "wrong_gold_answer", off(), "critical", "safe_arithmetic_replay"),
+                finding(static, "missing_oracle", ~has_gold, "critical"),
+                finding(static, "unexpected_invisible_or_control_gold", has_gold & (X.invisible_count(gold) > 0), "major", "oracle_unicode_integrity_replay"),
+                finding(static, "invalid_choice_gold", has_choices & has_gold & seen["index"].isNull(), "critical", "choice_gold_domain_replay"),
+                finding(static, "duplicate_choices", has_gold & (F.size(F.array_distinct(loose)) < F.size(choices)), "review"),
+                finding(static, "empty_choice", has_gold & F.exists(choices, X.blank), "major"),
+                finding(static, "wrong_gold_answer", has_gold & off(), "critical", "safe_arithmetic_replay"),
+            ],
+        )),
+        ("evaluator", lambda: Check(
+            "evaluator",
+            yes,
+            [
+                finding(static, "missing_evaluator", ~has_ev & (has_gold | has_out), severity, review=True),
+                finding(static, "overstrict_evaluator", aliases_rejected(), "major", "declared_alias_replay", True),
+                finding(static, "output_format_overstrict_risk", single & (kind == "exact") & rejected(A.format_variants(gold, answers, choices)) & ~aliases_rejected(), "review", review=True),
+                finding(static, "underconstrained_evaluator_risk", ~has_ev & ~has_out & ~has_choices, "review", review=True),
+            ],
+        )),
+        ("contract_consistency", lambda: Check("contract_consistency", has_out | has_choices, [finding("cross_artifact_consistency", "output_evaluator_contract_mismatch", mismatch, "major", "answer_contract_static_consistency")])),
+        ("evaluator_replay", lambda: Check("evaluator_replay", has_gold & has_ev, [finding("evaluator_replay", "gold_rejected_by_evaluator", ~ok(gold), "critical", "declared_evaluator_gold_replay")])),
+        ("metamorphic_answer", lambda: Check("metamorphic_answer", has_gold, [finding("metamorphic_testing", "metamorphic_inconsistency", rejected(A.variants(gold, answers, choices, c("aliases"))), "major", review=True)])),
+        ("evaluator_mutation", lambda: Check("evaluator_mutation", has_gold & has_ev, [finding("mutation_testing", "evaluator_mutation_survived", F.size(survived()) > 0, "major", review=True)])),
+        ("task_integrity", lambda: Check(
+            "task_integrity",
+            ~X.blank(task),
+            [
+                finding("task_integrity_rule", "temporal_scope_missing", task.rlike(TEMPORAL) & ~task.rlike(YEAR) & ~any_case("date", "as_of", "timestamp", "release_date", "version"), "review", review=True),
+                finding("task_integrity_rule", "source_reference_missing", task.rlike(UNNAMED_SOURCE) & ~task.rlike(NAMED_SOURCE) & (F.size(context) == 0), "review", review=True),
+                finding("task_integrity_rule", "incomplete_task_instruction", F.greatest(*[F.trim(task).rlike(p).cast("int") for p in BROKEN_INSTRUCTION]) == 1, "review", review=True),
+                finding("task_integrity_rule", "presentation_corruption", F.greatest(*[whole.rlike(p).cast("int") for p in BROKEN_TEXT]) == 1, "review", review=True, scope="presentation"),
             ],
         )),
-        ("evaluator", lambda: Check("evaluator", has_gold | ~X.blank(out), [finding("static_rule", "missing_evaluator", X.blank(ev) & (has_gold | ~X.blank(out)), severity, review=True), finding("static_rule", "overstrict_evaluator", ~X.blank(ev) & F.exists("aliases", lambda a: ~ok(a)), "major", "declared_alias_replay", True)])),
-        ("contract_consistency", lambda: Check("contract_consistency", ~X.blank(out) | has_choices, [finding("cross_artifact_consistency", "output_evaluator_contract_mismatch", mismatch, "major", "answer_contract_static_consistency")])),
-        ("evaluator_replay", lambda: Check("evaluator_replay", has_gold & ~X.blank(ev), [finding("evaluator_replay", "gold_rejected_by_evaluator", has_gold & ~X.blank(ev) & ~ok(gold), "critical", "declared_evaluator_gold_replay")])),
-        ("metamorphic_answer", lambda: Check("metamorphic_answer", has_gold, [finding("metamorphic_testing", "metamorphic_inconsistency", has_gold & (F.size(rejected()) > 0), "major", review=True)])),
-        ("evaluator_mutation", lambda: Check("evaluator_mutation", has_gold & ~X.blank(ev), [finding("mutation_testing", "evaluator_mutation_survived", has_gold & ~X.blank(ev) & (F.size(survived()) > 0), "major", review=True)])),
     ]
     return [make() for name, make in built if names is None or name in names]
 
 
 def prepared(items: DataFrame) -> DataFrame:
-    """items plus their answer contract and the view of their gold, each computed once."""
+    """items plus their answer contract and the view of their gold, each computed once, and what may be missing of context and shape."""
     c = F.col
+    context = F.coalesce(c("context"), F.create_map().cast("map<string,string>")) if "context" in items.columns else F.create_map().cast("map<string,string>")
+    shape = c("task_shape") if "task_shape" in items.columns else F.lit(None).cast("string")
+    items = items.withColumns({"__context": context, "__shape": shape})
     return items.withColumn("__answers", A.contract(c("evaluator"), c("output_contract"), c("gold"), c("choices"))).withColumn("__gold", A.view(c("gold"), c("choices")))
 
 
@@ -133,7 +199,7 @@ def with_audit(items: DataFrame, checks: Sequence[Check] | None = None) -> DataF
     """items plus `audit`: array of struct(checker, eligible, findings), one element per checker, in one projection."""
     checks = list(checks or standard_checks())
     cells = [F.struct(F.lit(k.name).alias("checker"), F.coalesce(k.eligible, F.lit(False)).alias("eligible"), F.array_compact(F.array(*k.findings)).alias("findings")) for k in checks]
-    return prepared(items).withColumn("audit", F.array(*cells)).drop("__answers", "__gold")
+    return prepared(items).withColumn("audit", F.array(*cells)).drop("__answers", "__gold", "__context", "__shape")
 
 
 def findings(audited: DataFrame) -> DataFrame:

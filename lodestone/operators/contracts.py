@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.functions.answers import choice_index, none_of
+from lodestone.functions.answers import choice_index
 from lodestone.functions.text import folded, normalize_text, path_like, pieces
 
 
@@ -40,7 +40,7 @@ def choice_tiers(items: DataFrame) -> DataFrame:
     the first tier at which an item has repeats."""
     rows = items.select("item_id", F.explode("choices").alias("c"))
     loose = F.regexp_replace(F.trim(folded(F.col("c"))), r"(?U)\s+", " ")
-    rows = rows.select("item_id", F.col("c").alias("t1"), loose.alias("t2"), F.regexp_replace(loose, r"^\p{P}+|\p{P}+$", "").alias("t3"))
+    rows = rows.select("item_id", F.col("c").alias("t1"), loose.alias("t2"), F.regexp_replace(loose, r"^[\p{P}\s]+|[\p{P}\s]+$", "").alias("t3"))
     per = rows.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"), *[F.count_distinct(t).alias(t) for t in ("t1", "t2", "t3")])
     tier = F.when(F.col("t1") < F.col("n"), "T1").when(F.col("t2") < F.col("n"), "T2").when(F.col("t3") < F.col("n"), "T3")
     return per.select("item_id", tier.alias("tier"), "n").where("tier is not null")
@@ -95,14 +95,3 @@ def workspace_issues(items: DataFrame) -> DataFrame:
     }
     found = F.array_compact(F.array(*[F.when(v, F.lit(k)) for k, v in issues.items()]))
     return items.select("item_id", F.explode(found).alias("issue"))
-
-
-def task_integrity(task: Column) -> Column:
-    """Array of signals that a task's text isn't whole: open-ended time, source without a name, cut end, broken characters."""
-    signals = {
-        "temporal_scope_missing": task.rlike(r"(?i)\b(currently|nowadays|as of now|this year)\b") & ~task.rlike(r"\b(?:19|20)\d{2}\b"),
-        "source_reference_missing": task.rlike(r"(?i)\baccording to (the|this) (report|study|survey)\b"),
-        "incomplete_task_instruction": task.rlike(r"(?:\.\.\.|:|,)\s*$"),
-        "presentation_corruption": task.rlike(r"�|Ã[\u0080-¿]|&(?:amp|lt|gt|quot);|\\u[0-9a-fA-F]{4}"),
-    }
-    return F.coalesce(F.array_compact(F.array(*[F.when(v, F.lit(k)) for k, v in signals.items()])), none_of())

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.functions.stats import hash_order, hash_unit, poisson_weight, ratio
 
@@ -78,12 +83,26 @@ def stratified_sample(items: DataFrame, size: int, strata: tuple[str, ...], seed
 
 
 def balanced_folds(items: DataFrame, group: str, folds: int) -> DataFrame:
-    """(group, n, fold): whole groups to folds, dealt in snake order of size, so folds stay near equal in one window over
-    the groups."""
+    """(group, n, fold): whole groups to folds; the largest group first, ties by name, each to the fold that holds least, ties to the
+    smaller number. A null group is a group of its own and comes last among equals.
+
+    Each step needs the one before, so the groups' counts (not their rows) pass through one task, in order, which holds a
+    heap of `folds` sums.
+    """
     per = items.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    at = F.row_number().over(Window.orderBy(F.desc("n"), group)) - 1
-    lap, step = F.floor(at / folds), F.pmod(at, F.lit(folds))
-    return per.select(group, "n", F.when(lap % 2 == 0, step).otherwise(folds - 1 - step).cast("int").alias("fold"))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heap = [(0, i) for i in range(folds)]
+        for batch in batches:
+            chosen = []
+            for n in batch.column("n").to_pylist():
+                held, fold = heap[0]
+                heapq.heapreplace(heap, (held + n, fold))
+                chosen.append(fold)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(chosen, pa.int32())], [*batch.schema.names, "fold"])
+
+    ordered = per.repartition(1).sortWithinPartitions(F.desc("n"), F.asc_nulls_last(group))
+    return ordered.mapInArrow(deal, T.StructType([*per.schema.fields, T.StructField("fold", T.IntegerType())]))
 
 
 def bootstrap_mean(rows: DataFrame, key: str, value: str, draws: int, seed: int) -> DataFrame:

@@ -161,7 +161,10 @@ def stratified_sample(spark, sf_dir):
     return metrics.stratified_sample(V.doc_items(spark, sf_dir), 120, ("lang", "source"), 7)
 
 
-@query("subject_folds", "WITH g AS (SELECT source, count(*) AS n FROM documents GROUP BY 1), a AS (SELECT *, row_number() OVER (ORDER BY n DESC, source) - 1 AS pos FROM g) SELECT source, n, (CASE WHEN floor(pos / 4.0) % 2 = 0 THEN pos % 4 ELSE 3 - pos % 4 END)::INT AS fold FROM a")
+@query("subject_folds", """WITH g AS (SELECT source, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, source NULLS LAST) AS pos FROM documents GROUP BY 1),
+a AS (WITH RECURSIVE r AS (SELECT 0::BIGINT AS pos, [0::BIGINT, 0, 0, 0] AS held, NULL::INT AS fold, NULL::VARCHAR AS source, 0::BIGINT AS n
+ UNION ALL SELECT g.pos, list_transform(held, lambda h, i: CASE WHEN i = list_position(held, list_min(held)) THEN h + g.n ELSE h END), (list_position(held, list_min(held)) - 1)::INT, g.source, g.n FROM r JOIN g ON g.pos = r.pos + 1) SELECT * FROM r)
+SELECT source, n, fold FROM a WHERE pos > 0""")
 def subject_folds(spark, sf_dir):
     return metrics.balanced_folds(table(spark, sf_dir, "documents"), "source", 4)
 

@@ -29,7 +29,11 @@ def arith_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 STATIC = ("task_specification", "expected_output", "oracle_ground_truth", "evaluator", "contract_consistency")
 
 
-@query("arithmetic_audit", f"WITH {ARITH_SQL} SELECT count(DISTINCT CASE WHEN corrupt AND product <> gold THEN item_id END) AS tp, count(DISTINCT CASE WHEN NOT corrupt AND product <> gold THEN item_id END) AS fp, count(DISTINCT CASE WHEN corrupt AND product = gold THEN item_id END) AS fn, 1.0::DOUBLE AS precision, 1.0::DOUBLE AS recall, 1.0::DOUBLE AS f1 FROM arith")
+#: Ratios of counts tp, fp and fn, 0 where there is nothing to divide by.
+RATIO_SQL = "CASE WHEN tp + fp > 0 THEN tp::DOUBLE / (tp + fp) ELSE 0 END AS precision, CASE WHEN tp + fn > 0 THEN tp::DOUBLE / (tp + fn) ELSE 0 END AS recall, CASE WHEN 2 * tp + fp + fn > 0 THEN 2.0::DOUBLE * tp / (2 * tp + fp + fn) ELSE 0 END AS f1"
+
+
+@query("arithmetic_audit", f"""WITH {ARITH_SQL}, i AS (SELECT item_id, bool_or(product <> gold) AS hit, bool_or(corrupt) AS bad FROM arith GROUP BY 1), c AS (SELECT count_if(hit AND bad)::BIGINT AS tp, count_if(hit AND NOT bad)::BIGINT AS fp, count_if(NOT hit AND bad)::BIGINT AS fn FROM i) SELECT tp, fp, fn, {RATIO_SQL} FROM c""")
 def arithmetic_audit(spark, sf_dir):
     found = arith_findings(spark, sf_dir).where("defect_type = 'wrong_gold_answer'")
     return metrics.confusion(found, arith_items(spark, sf_dir).where("corrupt"))
@@ -41,7 +45,8 @@ def wrong_gold(spark, sf_dir):
     return rows.where(F.abs(F.col("value") - X.parse_number(F.col("gold"))) > 1e-9).select("item_id", "task", "gold", "value")
 
 
-@query("per_label_confusion", f"WITH {ARITH_SQL} SELECT flag, count(DISTINCT item_id) AS tp, 0::BIGINT AS fp, 0::BIGINT AS fn, 1.0::DOUBLE AS precision, 1.0::DOUBLE AS recall, 1.0::DOUBLE AS f1 FROM arith WHERE corrupt GROUP BY flag")
+@query("per_label_confusion", f"""WITH {ARITH_SQL}, p AS (SELECT DISTINCT item_id FROM arith WHERE product <> gold), t AS (SELECT DISTINCT item_id, flag FROM arith WHERE corrupt), j AS (SELECT flag, p.item_id AS p, t.item_id AS t FROM t FULL JOIN p USING (item_id)),
+c AS (SELECT flag, count_if(p IS NOT NULL AND t IS NOT NULL)::BIGINT AS tp, count_if(t IS NULL)::BIGINT AS fp, count_if(p IS NULL)::BIGINT AS fn FROM j GROUP BY flag) SELECT flag, tp, fp, fn, {RATIO_SQL} FROM c""")
 def per_label(spark, sf_dir):
     found = arith_findings(spark, sf_dir).where("defect_type = 'wrong_gold_answer'")
     return metrics.confusion(found, arith_items(spark, sf_dir).where("corrupt"), by="flag")
@@ -52,8 +57,8 @@ MCQ_FINDINGS_SQL = f"""{MCQ_SQL}, idx AS (SELECT *, CASE WHEN gold IN ('A','B','
   len(list_distinct(list_transform(choices, lambda c: lower(trim(c))))) < 3 AS dup, len(list_filter(choices, lambda c: trim(c) = '')) > 0 AS empty_choice FROM mcq),
 f AS (SELECT item_id, 'oracle_ground_truth' AS checker, 'static_rule' AS method, 'missing_oracle' AS defect_type, 'critical' AS severity, '' AS evidence_level, false AS review_only FROM idx WHERE gold IS NULL
  UNION ALL SELECT item_id, 'oracle_ground_truth', 'static_rule', 'invalid_choice_gold', 'critical', 'choice_gold_domain_replay', false FROM idx WHERE gold IS NOT NULL AND pos IS NULL
- UNION ALL SELECT item_id, 'oracle_ground_truth', 'static_rule', 'duplicate_choices', 'major', '', false FROM idx WHERE dup
- UNION ALL SELECT item_id, 'oracle_ground_truth', 'static_rule', 'empty_choice', 'major', '', false FROM idx WHERE empty_choice
+ UNION ALL SELECT item_id, 'oracle_ground_truth', 'static_rule', 'duplicate_choices', 'review', '', false FROM idx WHERE dup AND gold IS NOT NULL
+ UNION ALL SELECT item_id, 'oracle_ground_truth', 'static_rule', 'empty_choice', 'major', '', false FROM idx WHERE empty_choice AND gold IS NOT NULL
  UNION ALL SELECT item_id, 'evaluator', 'static_rule', 'missing_evaluator', CASE WHEN gold IS NULL THEN 'major' ELSE 'minor' END, '', true FROM idx WHERE evaluator = ''
  UNION ALL SELECT item_id, 'contract_consistency', 'cross_artifact_consistency', 'output_evaluator_contract_mismatch', 'major', 'answer_contract_static_consistency', false FROM idx WHERE output_contract = 'numeric value')"""
 
@@ -88,8 +93,8 @@ def item_risk(spark, sf_dir):
     return evidence.item_tiers(evidence.promote(found))
 
 
-@query("review_budget", f"""WITH {ARITH_SQL}, hit AS (SELECT item_id, row_number() OVER (ORDER BY item_id) AS place, count(*) OVER () AS n FROM (SELECT DISTINCT item_id FROM arith WHERE corrupt))
-SELECT share, count(*) AS reviewed, count(*)::BIGINT AS found, count(*)::DOUBLE / max(n) AS recall FROM hit, (SELECT unnest([5, 10, 20]) AS share) WHERE place <= greatest(1, ceil(n * share / 100.0)) GROUP BY share""")
+@query("review_budget", f"""WITH {ARITH_SQL}, hit AS (SELECT item_id, bool_or(corrupt) AS bad, row_number() OVER (ORDER BY item_id) AS place, count(*) OVER () AS n FROM arith WHERE item_id IN (SELECT item_id FROM arith WHERE product <> gold) GROUP BY item_id), t AS (SELECT count(DISTINCT item_id) AS bad FROM arith WHERE corrupt)
+SELECT share, count(*) AS reviewed, count_if(hit.bad)::BIGINT AS found, count_if(hit.bad)::DOUBLE / max(t.bad) AS recall FROM hit, t, (SELECT unnest([5, 10, 20]) AS share) WHERE place <= greatest(1, ceil(n * share / 100.0)) GROUP BY share""")
 def review_budget(spark, sf_dir):
     found = evidence.promote(arith_findings(spark, sf_dir).where("defect_type = 'wrong_gold_answer'"))
     return metrics.review_budget(evidence.item_tiers(found), arith_items(spark, sf_dir).where("corrupt"))
@@ -103,7 +108,9 @@ def coverage_ledger(spark, sf_dir):
     return evidence.ledger_summary(checks.ledger(checks.with_audit(mcq_items(spark, sf_dir), use)))
 
 
-@query("evaluator_replay", f"WITH {ARITH_SQL} SELECT 'numeric' AS kind, count(*) AS items, 0::BIGINT AS rejected, 0::BIGINT AS variant_rejected, 0::BIGINT AS mutants_survived FROM arith")
+@query("evaluator_replay", f"""WITH {ARITH_SQL}, g AS (SELECT gold::DOUBLE AS x, regexp_replace(gold::VARCHAR, ',', '') AS t FROM arith),
+v AS (SELECT x, [t || '.0', t || '.00', CASE WHEN x < 0 THEN '-' ELSE '' END || lpad(replace(t, '-', ''), greatest(length(replace(t, '-', '')), 3)::INT, '0')] AS same, [(x + 1)::VARCHAR, CASE WHEN x = 0 THEN '1.0' ELSE (-x)::VARCHAR END] AS other, t FROM g)
+SELECT 'numeric' AS kind, count(*) AS items, count_if(abs(t::DOUBLE - x) >= 1e-9)::BIGINT AS rejected, count_if(len(list_filter(same, lambda s: abs(s::DOUBLE - x) >= 1e-9)) > 0)::BIGINT AS variant_rejected, count_if(len(list_filter(other, lambda s: abs(s::DOUBLE - x) < 1e-9)) > 0)::BIGINT AS mutants_survived FROM v""")
 def evaluator_replay(spark, sf_dir):
     c = F.col
     rows = checks.prepared(arith_items(spark, sf_dir))
@@ -111,7 +118,7 @@ def evaluator_replay(spark, sf_dir):
     ok = lambda x: A.accept(x, c("__gold"), c("__answers"), c("choices"), c("evaluator"), c("aliases"))
     return rows.groupBy(kind.alias("kind")).agg(
         F.count(F.lit(1)).alias("items"), F.count_if(~ok(c("gold"))).alias("rejected"),
-        F.count_if(F.exists(A.variants(c("gold"), kind, c("choices")), lambda v: ~ok(v))).alias("variant_rejected"), F.count_if(F.exists(A.mutations(c("gold"), kind, c("choices")), ok)).alias("mutants_survived"),
+        F.count_if(F.exists(A.variants(c("gold"), c("__answers"), c("choices"), c("aliases")), lambda v: ~ok(v))).alias("variant_rejected"), F.count_if(F.exists(A.mutations(c("gold"), kind, c("choices")), ok)).alias("mutants_survived"),
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import answers as A
 from lodestone.functions import stats as S
 from lodestone.functions import text as X
-from lodestone.operators import checks
+from lodestone.operators import checks, metrics
 
 
 def one(spark, column, **values):
@@ -56,14 +56,41 @@ def test_invisible_and_terms(spark):
     assert one(spark, X.folded(F.col("t")), t="Straße ﬁ") == "strasse fi"
 
 
-@pytest.mark.parametrize(
-    ("task", "want"),
-    [("What is (3 + 4) * 2?", 14.0), ("calculate 2 + 3 * 4", 14.0), ("compute -(2 - 5) / 3", 1.0), ("what is ((1+2)*(3+4)) - -2?", 23.0), ("What is 10 - 4 - 3?", 3.0), ("what is 8/4/2?", 1.0)]
-    + [(t, None) for t in ("what is 1/0?", "what is 3 4?", "what is 2(3)?", "what is love", "what is 2**3", "", None)],
-)
-def test_arithmetic_value(spark, task, want):
-    frame = spark.createDataFrame([(task,)], "t string")
-    assert frame.select(checks.arithmetic_value(F.col("t"))).first()[0] == want
+VALUES = {
+    "(3 + 4) * 2": 14.0, "2 + 3 * 4": 14.0, "-(2 - 5) / 3": 1.0, "((1+2)*(3+4)) - -2": 23.0, "10 - 4 - 3": 3.0, "8/4/2": 1.0, "2**3": 8.0, "7//2": 3.0, "-7//2": -4.0, "1 - 7//2": -2.0, "-2**2": -4.0, "(-2)**2": 4.0, "2**-1": 0.5, "2**3**2": 512.0,
+    "-(2)**2": -4.0, "(1/3)*3": 1.0, "(0.00001*0.00001)*10000000000": 1.0, "1-(2-5)": 4.0, "007.5 + 1": 8.5, "00 + 1": 1.0, "1. + .5": 1.5, "2*-3": -6.0, "+-+5": -5.0, "10 // 3 * 2": 6.0, "2 * (3": None, "1/0": None, "5//0": None, "0**-1": None, "(-8)**.5": None, "3 4": None,
+    "2(3)": None, "(1)(2)": None, "2024-01-05": None, "12 + 05": None, "1 * * 2": None, "6 / / 2": None, "2***3": None, "1..2": None, "()": None, "*3": None, "3 +": None, "1\n+ 2": None, "9**99": None, "10**12": 1e12, "10**12 + 1": None,
+}
+
+
+def test_arithmetic_value(spark):
+    asked = [(f"{verb} {x}?", v) for x, v in VALUES.items() for verb in ("What is", "calculate")]
+    asked += [(t, None) for t in ("what is love", "", None, "what is  the sum", "solve 1 + 1")] + [("Compute  3", 3.0), ("what is the way to compute 4 * 5", 20.0)]
+    frame = spark.createDataFrame(asked, "t string, v double").select("t", "v", checks.arithmetic_value(F.col("t")).alias("got"))
+    for r in frame.collect():
+        assert (r["got"] is None and r["v"] is None) or (r["got"] is not None and r["v"] is not None and math.isclose(r["got"], r["v"], rel_tol=1e-12)), r
+
+
+def test_variants(spark):
+    rows = [("6", "numeric", [], ["six"]), ("-6.30", "numeric", [], []), ("1,234", "numeric", [], []), ("B", "choice", ["x", "y"], []), ("aB", "loose", [], ["Z", "Z"]), ("a, b", "set match", [], ["q"]), ("a; b", "compound", [], ["q"]), (None, "loose", [], [])]
+    df = spark.createDataFrame(rows, "g string, e string, c array<string>, a array<string>")
+    answers = A.contract(F.col("e"), F.lit("free form"), F.col("g"), F.col("c"))
+    got = df.select(A.variants(F.col("g"), answers, F.col("c"), F.col("a")).alias("v"), A.format_variants(F.col("g"), answers, F.col("c")).alias("f")).collect()
+    assert [r["v"] for r in got] == [["6.0", "6.00", "006", "six"], ["-6.300"], ["1234.0", "1234.00", "1234"], ["y", "B.", "b"], ["  aB  ", "Ab", "Z"], ["b, a", "a, b"], ["q"], []]
+    assert [r["f"] for r in got][:4] == [["Answer: 6", "The final answer is 6.", "6", "6"], ["Answer: -6.30", "The final answer is -6.30.", "-6.30"], ["Answer: 1,234", "The final answer is 1,234.", "1,234", "1,234"], ["Answer: B", "The final answer is B.", "b", "y", "B."]]
+    assert got[6]["f"] == [] and got[7]["f"] == []
+
+
+def test_balanced_folds(spark):
+    sizes = {"a": 9, "b": 7, "c": 7, "d": 5, "e": 4, "f": 4, "g": 1, None: 4}
+    rows = [(k,) for k, n in sizes.items() for _ in range(n)]
+    held, want = [0, 0, 0], {}
+    for k, n in sorted(sizes.items(), key=lambda x: (-x[1], x[0] is None, x[0] or "")):
+        fold = held.index(min(held))
+        held[fold], want[k] = held[fold] + n, fold
+    df = spark.createDataFrame(rows, "s string")
+    assert {r["s"]: r["fold"] for r in metrics.balanced_folds(df, "s", 3).collect()} == want
+    assert metrics.balanced_folds(df.limit(0), "s", 3).count() == 0
 
 
 @pytest.mark.parametrize(

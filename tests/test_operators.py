@@ -8,8 +8,8 @@ from lodestone.sources import readers
 from lodestone.streaming import audit as streaming
 
 ROWS = [
-    {"id": "a", "question": "What is 7 * 6?", "answer": "40", "evaluator": "numeric"},
-    {"id": "b", "question": "Pick one", "choices": ["x", "y", "y"], "answer": "Z", "evaluator": "choice"},
+    {"id": "a", "question": "Calculate 9 - 4 * 2", "answer": "10", "evaluator": "numeric"},
+    {"id": "b", "question": "Pick one", "choices": ["x", "y", "y"], "answer": "None of it", "evaluator": "choice"},
     {"id": "c", "question": "", "answer": "1", "evaluator": "exact"},
     {"question": "Name it", "answer": "Ber​lin", "aliases": ["Berlino"], "evaluator": "exact"},
 ]
@@ -39,6 +39,34 @@ def test_ledger_has_every_cell(items):
     assert led.where("status = 'clean'").count() == 0
 
 
+BLANK = {"task": "Name it.", "choices": [], "gold": "x", "aliases": [], "output_contract": "one word", "evaluator": "loose", "metadata": {}, "context": {}, "task_shape": None}
+CASES = [
+    ({"task": None}, ["missing_task"]), ({"task": " ", "gold": None}, ["missing_task", "missing_oracle"]),
+    ({"task": "See the attached figure and the provided file."}, ["missing_context", "missing_context"]), ({"task": "See the attached figure.", "context": {"Images": "a.png", "other": ""}}, []), ({"task": "See the attached figure.", "context": {"image": "", "table": "t"}}, ["missing_context"]),
+    ({"task": "Read the passage above."}, []), ({"task": "Name the best and most recent one"}, ["ambiguous_goal", "ambiguous_goal"]), ({"task": "Name the best one.", "metadata": {"source": "s"}}, []), ({"task": "Name the best one.", "task_shape": "instruction"}, []),
+    ({"task": "Name the best one.", "task_shape": "multiple_choice"}, ["ambiguous_goal"]), ({"task": "Name the current version."}, ["ambiguous_goal", "context_version_mismatch_risk", "temporal_scope_missing"]), ({"task": "Name the version.", "metadata": {"Version": "1"}}, []),
+    ({"output_contract": "", "evaluator": None}, ["missing_evaluator", "missing_output_contract", "underconstrained_evaluator_risk"]), ({"output_contract": None, "evaluator": "", "choices": ["x", "y"]}, ["missing_evaluator"]),
+    ({"task": "About how tall is it?", "gold": "12", "evaluator": "numeric"}, ["output_format_overstrict_risk"]), ({"task": "About how many boxes fit?", "gold": "12", "evaluator": "numeric"}, []), ({"task": "About how many boxes fit?", "gold": "12.5", "evaluator": "numeric"}, ["output_format_overstrict_risk"]),
+    ({"task": "It costs one dollar each. Total?", "gold": "12", "evaluator": "numeric"}, ["missing_accepted_alternatives"]), ({"task": "It costs one dollar each. How much money?", "gold": "12", "evaluator": "numeric"}, []), ({"task": "It costs one dollar each. Total?", "gold": "12", "evaluator": "numeric", "output_contract": "USD"}, []),
+    ({"gold": ""}, ["missing_oracle"]), ({"gold": None, "choices": ["a", "a"]}, ["missing_oracle"]), ({"gold": "a", "choices": ["a", "A) a", ""], "output_contract": ""}, ["duplicate_choices", "empty_choice"]), ({"gold": "zz", "choices": ["p", "q"]}, ["invalid_choice_gold"]),
+    ({"task": "What is 2024-01-05?", "gold": "5 January 2024"}, []), ({"task": "what is 2**3", "gold": "9"}, ["wrong_gold_answer"]), ({"task": "compute 7//2", "gold": "3"}, []),
+    ({"evaluator": "exact", "gold": "Ab", "aliases": ["ab"]}, ["overstrict_evaluator", "metamorphic_inconsistency"]), ({"evaluator": "exact", "gold": "Ab"}, ["output_format_overstrict_risk"]), ({"evaluator": "exact", "gold": "-"}, []), ({"evaluator": "alias exact", "gold": "42", "aliases": ["43"]}, []),
+    ({"evaluator": "set match", "gold": "a, b", "aliases": ["zz"]}, []), ({"evaluator": None, "gold": "a, b", "output_contract": "a list"}, ["missing_evaluator"]), ({"task": "A new study says what?"}, ["source_reference_missing"]), ({"task": "A new study says what?", "context": {"s": "t"}}, []), ({"task": "The report of 2019 says what?"}, []),
+    ({"task": "Members are serving - year terms. Choose"}, ["incomplete_task_instruction"]), ({"task": "Itâ€™s 10^"}, ["presentation_corruption"]), ({"choices": ["3-Mar", "x"]}, ["presentation_corruption"]), ({"task": "As of now, who leads?", "metadata": {"date": "d"}}, ["context_version_mismatch_risk"][:0]),
+]
+
+
+def test_checkers_case_by_case(spark):
+    """Each branch of each checker alone, with what must not be found beside it."""
+    schema = "item_id long, task string, choices array<string>, gold string, aliases array<string>, output_contract string, evaluator string, metadata map<string,string>, context map<string,string>, task_shape string"
+    df = spark.createDataFrame([{"item_id": i, **BLANK, **change} for i, (change, _) in enumerate(CASES)], schema)
+    found = {}
+    for r in checks.findings(checks.with_audit(df)).collect():
+        found.setdefault(r["item_id"], []).append(r["defect_type"])
+    for i, (change, want) in enumerate(CASES):
+        assert sorted(found.get(i, [])) == sorted(want), change
+
+
 def test_bad_rows_are_refused(spark, tmp_path):
     (tmp_path / "bad.jsonl").write_text('{"id": 1}\n[1, 2]\n')
     with pytest.raises(readers.BadRows):
