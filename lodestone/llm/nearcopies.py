@@ -201,14 +201,11 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Ta
 
 def _led(rows: DataFrame) -> DataFrame:
     """Pairs of LEADS members of each group with all others of other roots that share SHARED min-hashes; rows: group, tid, root, mins."""
-    found = None
-    for salt in range(LEADS):
-        lead = rows.groupBy("group").agg(F.min(F.struct(F.xxhash64(F.lit(salt), "group", "tid").alias("h"), "tid", "root", "mins")).alias("p"))
-        lead = lead.select("group", F.col("p.tid").alias("lead"), F.col("p.root").alias("other"), F.col("p.mins").alias("its"))
-        met = salted_join(rows, lead, "group").where("root <> other").select("tid", "mins", "lead", "its")
-        part = met.mapInArrow(_between, "a long, b long")
-        found = part if found is None else found.union(part)
-    return found
+    least = [F.min(F.struct(F.xxhash64(F.lit(salt), "group", "tid").alias("h"), "tid", "root", "mins")) for salt in range(LEADS)]
+    leads = rows.groupBy("group").agg(F.array_distinct(F.transform(F.array(*least), lambda p: F.struct(p["tid"].alias("tid"), p["root"].alias("root"), p["mins"].alias("mins")))).alias("leads"))
+    leads = leads.select("group", F.explode("leads").alias("p")).select("group", F.col("p.tid").alias("lead"), F.col("p.root").alias("other"), F.col("p.mins").alias("its"))
+    met = salted_join(rows, leads, "group").where("root <> other").select("tid", "mins", "lead", "its")
+    return met.mapInArrow(_between, "a long, b long")
 
 
 def crowded(rest: DataFrame, texts: DataFrame, rows: DataFrame, counted: DataFrame) -> DataFrame:

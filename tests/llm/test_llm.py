@@ -441,10 +441,10 @@ def test_near_copies_behind_a_common_passage(spark, monkeypatch, group):
 
 
 def test_near_copies_behind_a_template(spark):
-    """2,400 texts share 300 words; each has one true near copy, at 0.826, and lies at 0.787 from all others."""
+    """800 texts share 300 words; each has one true near copy, at 0.826, and lies at 0.787 from all others."""
     rng = random.Random(8)
     template, texts = [f"c{i}" for i in range(300)], []
-    for i in range(1200):
+    for i in range(400):
         own = [f"w{i}x{j}" for j in range(40)]
         texts += [" ".join(template + own), " ".join([*template, *own[:8], f"z{i}", *[f"y{i}x{j}" for j in range(31)]])]
     order = list(range(len(texts)))
@@ -455,7 +455,7 @@ def test_near_copies_behind_a_template(spark):
     for r in simhash.near_copies(docs).collect():
         classes[r["root"]].append(pair[r["tid"]])
     joined = sum(len(c) == 2 and c[0] == c[1] for c in classes.values())
-    assert joined >= 0.98 * 1200 and all(len(set(c)) == 1 for c in classes.values())
+    assert joined >= 0.98 * 400 and all(len(set(c)) == 1 for c in classes.values())
 
 
 def test_no_entity_of_any_script_stays():
