@@ -135,6 +135,11 @@ _TERM = rf"{_FACTOR}(?:(?:\*|//|/){_FACTOR})*"
 
 
 def _operate(a: Column, op: Column, b: Column) -> Column:
+    """a op b, each of them worked out once."""
+    return let(F.struct(a.alias("a"), op.alias("op"), b.alias("b")), lambda x: _operated(x["a"], x["op"], x["b"]))
+
+
+def _operated(a: Column, op: Column, b: Column) -> Column:
     """a op b for + - * / // **; null where it has no finite value."""
     power = F.pow(a, b)
     power = F.when(~F.isnan(power) & (F.abs(power) < float("inf")), power)
@@ -193,7 +198,7 @@ def expression_value(x: Column) -> Column:
 
     steps = F.sequence(F.lit(0), F.regexp_count(x, F.lit(r"\(")))  # one more than there are brackets, which changes nothing
     general = let(F.aggregate(steps, F.regexp_replace(x, r"\s+", ""), inner), _flat)
-    return F.when(~barred, F.when(simple, _operate(part(1).try_cast("double"), part(2), part(3).try_cast("double"))).otherwise(general))
+    return F.when(~barred, F.when(simple, _operated(part(1).try_cast("double"), part(2), part(3).try_cast("double"))).otherwise(general))
 
 
 def added_lines(patch: Column) -> Column:

@@ -117,7 +117,7 @@ def standard_checks(names: Sequence[str] | None = None) -> list[Check]:
     low = lambda: F.lower(F.regexp_replace(task, r"(?U)\s+", " "))
     off = lambda: F.abs(arithmetic_value(task) - number) > 1e-9
     ok = lambda x: A.accept(x, seen, answers, choices, ev, c("aliases"))
-    aliases_rejected = lambda: F.coalesce((answers["cardinality"] != "set") & F.exists("aliases", lambda a: ~ok(a)), F.lit(False))
+    told_off = c("__alias_rejected")  # of prepared()
     rejected = lambda vs: F.exists(vs, lambda v: ~ok(v))
     survived = lambda: F.filter(A.mutations(gold, kind, choices), ok)
     plain = single & kind.isin("choice", "numeric", "normalized_exact")
@@ -163,8 +163,8 @@ def standard_checks(names: Sequence[str] | None = None) -> list[Check]:
             yes,
             [
                 finding(static, "missing_evaluator", ~has_ev & (has_gold | has_out), severity, review=True),
-                finding(static, "overstrict_evaluator", aliases_rejected(), "major", "declared_alias_replay", True),
-                finding(static, "output_format_overstrict_risk", single & (kind == "exact") & rejected(A.format_variants(gold, answers, choices)) & ~aliases_rejected(), "review", review=True),
+                finding(static, "overstrict_evaluator", told_off, "major", "declared_alias_replay", True),
+                finding(static, "output_format_overstrict_risk", single & (kind == "exact") & ~told_off & rejected(A.format_variants(gold, answers, choices)), "review", review=True),
                 finding(static, "underconstrained_evaluator_risk", ~has_ev & ~has_out & ~has_choices, "review", review=True),
             ],
         )),
@@ -192,25 +192,29 @@ def prepared(items: DataFrame) -> DataFrame:
     context = F.coalesce(c("context"), F.create_map().cast("map<string,string>")) if "context" in items.columns else F.create_map().cast("map<string,string>")
     shape = c("task_shape") if "task_shape" in items.columns else F.lit(None).cast("string")
     items = items.withColumns({"__context": context, "__shape": shape})
-    return items.withColumn("__answers", A.contract(c("evaluator"), c("output_contract"), c("gold"), c("choices"))).withColumn("__gold", A.view(c("gold"), c("choices")))
+    items = items.withColumn("__answers", A.contract(c("evaluator"), c("output_contract"), c("gold"), c("choices"))).withColumn("__gold", A.view(c("gold"), c("choices")))
+    off = F.exists("aliases", lambda a: ~A.accept(a, c("__gold"), c("__answers"), c("choices"), c("evaluator"), c("aliases")))
+    return items.withColumn("__alias_rejected", F.coalesce((c("__answers")["cardinality"] != "set") & off, F.lit(False)))
 
 
 def with_audit(items: DataFrame, checks: Sequence[Check] | None = None) -> DataFrame:
     """items plus `audit`: array of struct(checker, eligible, findings), one element per checker, in one projection."""
     checks = list(checks or standard_checks())
     cells = [F.struct(F.lit(k.name).alias("checker"), F.coalesce(k.eligible, F.lit(False)).alias("eligible"), F.array_compact(F.array(*k.findings)).alias("findings")) for k in checks]
-    return prepared(items).withColumn("audit", F.array(*cells)).drop("__answers", "__gold", "__context", "__shape")
+    return prepared(items).withColumn("audit", F.array(*cells)).drop("__answers", "__gold", "__context", "__shape", "__alias_rejected")
 
 
 def findings(audited: DataFrame) -> DataFrame:
-    """One row per finding, with item_id and checker; an ineligible checker's findings don't count."""
-    cell = audited.select("item_id", F.explode("audit").alias("a")).where("a.eligible")
-    return cell.select("item_id", F.col("a.checker").alias("checker"), F.explode("a.findings").alias("f")).select("item_id", "checker", "f.*")
+    """One row per finding, with item_id and checker; an ineligible checker's findings don't count. The outer explodes keep Spark
+    from working all checks out once more in filters of its own."""
+    cell = audited.select("item_id", F.explode_outer("audit").alias("a")).where("a.eligible")
+    each = cell.select("item_id", F.col("a.checker").alias("checker"), F.explode_outer("a.findings").alias("f")).where("f is not null")
+    return each.select("item_id", "checker", "f.*")
 
 
 def ledger(audited: DataFrame) -> DataFrame:
     """One row per item and checker: ineligible, finding or completed_no_finding (which never means clean)."""
-    cell = audited.select("item_id", F.explode("audit").alias("a"))
+    cell = audited.select("item_id", F.explode_outer("audit").alias("a"))
     n = F.size("a.findings")
     status = F.when(~F.col("a.eligible"), "ineligible").when(n > 0, "finding").otherwise("completed_no_finding")
     return cell.select("item_id", F.col("a.checker").alias("checker"), F.col("a.eligible").alias("eligible"), status.alias("status"), F.when(F.col("a.eligible"), n).otherwise(0).alias("n_findings"))
