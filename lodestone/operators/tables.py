@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import normalize_loose, normalize_text
+from lodestone.functions.canonical import comparison_text
+from lodestone.functions.text import normalize_text
 
 
 def duplicate_ids(items: DataFrame, key: str = "item_id", order: str = "source_row_index") -> DataFrame:
@@ -15,12 +16,25 @@ def duplicate_ids(items: DataFrame, key: str = "item_id", order: str = "source_r
     return items.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first_row")).where("n > 1")
 
 
+def task_signature(items: DataFrame, task: str = "task") -> Column:
+    """SHA-256 over what makes two tasks the same: normalised task, context (names sorted), choices in order, output contract. Columns that
+    items don't have, and nulls, count as empty."""
+    have = lambda name, use: F.coalesce(use(F.col(name)), F.lit("")) if name in items.columns else F.lit("")
+    context = have("context", lambda m: F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat_ws("=", e["key"], normalize_text(e["value"]))), "\x1e"))
+    choices = have("choices", lambda cs: F.array_join(F.transform(cs, normalize_text), "\x1e"))
+    return F.sha2(F.concat_ws("\x1f", normalize_text(F.col(task)), context, choices, have("output_contract", normalize_text)), 256)
+
+
 def duplicate_tasks(items: DataFrame, task: str = "task", gold: str = "gold") -> DataFrame:
-    """(signature, n, golds, verdict): groups of equal normalised tasks. More than one raw gold is a conflict, or only a
-    surface difference if the comparison golds agree; else the task is a duplicate."""
-    signed = items.select(F.sha2(normalize_text(F.col(task)), 256).alias("signature"), F.col(gold).cast("string").alias("g"))
-    grouped = signed.groupBy("signature").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("g").alias("golds"), F.count_distinct(normalize_loose(F.col("g"))).alias("loose"))
-    verdict = F.when((F.col("golds") > 1) & (F.col("loose") > 1), "conflicting_duplicate_oracle").when(F.col("golds") > 1, "surface_only_review").otherwise("duplicate_task")
+    """(signature, n, golds, verdict): groups of equal tasks. More than one raw gold is a conflict, or only a surface difference if
+    their comparison forms agree (`canonical.comparison_text`); else the task is a duplicate. Null golds don't count as golds.
+
+    Rows are first folded to one per task and raw gold, so that only those are compared, and a task that a third of all
+    rows repeat leaves each task as a few rows.
+    """
+    pairs = items.select(task_signature(items, task).alias("signature"), F.col(gold).cast("string").alias("g")).groupBy("signature", "g").agg(F.count(F.lit(1)).alias("n"))
+    grouped = pairs.withColumn("form", comparison_text(F.col("g"))).groupBy("signature").agg(F.sum("n").alias("n"), F.count("g").alias("golds"), F.count_distinct("form").alias("forms"))
+    verdict = F.when((F.col("golds") > 1) & (F.col("forms") > 1), "conflicting_duplicate_oracle").when(F.col("golds") > 1, "surface_only_review").otherwise("duplicate_task")
     return grouped.where("n > 1").select("signature", "n", "golds", verdict.alias("verdict"))
 
 

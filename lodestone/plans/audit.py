@@ -181,13 +181,13 @@ def duplicate_item_ids(spark, sf_dir):
     return tables.duplicate_ids(rows)
 
 
-@query("conflicting_oracles", f"""WITH {ARITH_SQL}, g AS (SELECT sha256(lower(task)) AS signature, count(*) AS n, count(DISTINCT gold) AS golds FROM arith GROUP BY 1 HAVING count(*) > 1)
+@query("conflicting_oracles", f"""WITH {ARITH_SQL}, g AS (SELECT sha256(lower(task) || chr(31) || chr(31) || chr(31) || 'a number') AS signature, count(*) AS n, count(DISTINCT gold) AS golds FROM arith GROUP BY 1 HAVING count(*) > 1)
 SELECT signature, n, golds, CASE WHEN golds > 1 THEN 'conflicting_duplicate_oracle' ELSE 'duplicate_task' END AS verdict FROM g""")
 def conflicting_oracles(spark, sf_dir):
     return tables.duplicate_tasks(arith_items(spark, sf_dir))
 
 
-@query("duplicate_documents", rf"""SELECT sha256(lower(trim(regexp_replace(text, '[\s\x0b]+', ' ', 'g'))))  AS signature, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1""")
+@query("duplicate_documents", rf"""SELECT sha256(lower(trim(regexp_replace(coalesce(text, ''), '[\s\x0b]+', ' ', 'g'))) || chr(31) || chr(31) || chr(31)) AS signature, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1""")
 def duplicate_documents(spark, sf_dir):
     return tables.duplicate_tasks(doc_items(spark, sf_dir)).select("signature", "n")
 

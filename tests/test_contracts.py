@@ -41,6 +41,16 @@ def test_surface_only_conflict(spark):
     assert got == ["conflicting_duplicate_oracle", "duplicate_task", "surface_only_review"]
 
 
+def test_task_signature(spark):
+    """Context, choices and contract tell tasks apart; case, white space and the order of context names don't."""
+    schema = "task string, gold string, choices array<string>, output_contract string, context map<string,string>"
+    base = ("Pick", "A", ["x", "y"], "label", {"a": "1", "b": "2"})
+    rows = [base, ("pick ", "B", ["X", "y"], "Label", {"b": "2", "a": "1"}), ("Pick", "A", ["y", "x"], "label", base[4]), ("Pick", "A", base[2], "number", base[4]), ("Pick", "A", base[2], "label", {"a": "1"}), ("Pick", "A", None, None, None), ("Pick", None, [], "", {})]
+    got = sorted(tuple(r)[1:] for r in tables.duplicate_tasks(spark.createDataFrame(rows, schema)).collect())
+    assert got == [(2, 1, "duplicate_task"), (2, 2, "conflicting_duplicate_oracle")]
+    assert tables.duplicate_tasks(spark.createDataFrame([], schema)).count() == 0
+
+
 def test_adapter_abstains(spark):
     rows = spark.createDataFrame([(1, '{"a": {"b": "x"}}', "q"), (2, "bad", "q")], "id long, raw string, name string")
     out = adapter.project(rows, "id", [adapter.Binding("gold", path="raw.$.a.b", required=True), adapter.Binding("task", template="<{name}>")]).collect()
