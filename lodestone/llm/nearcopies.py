@@ -121,12 +121,12 @@ def verified(pairs: DataFrame, rows: DataFrame, counted: DataFrame) -> DataFrame
     return stash(got.mapInArrow(_alike, "a long, b long"), "alike")
 
 
-#: A group of texts with more members than this is cut by their other bands.
-GROUP = 128
+#: A group of texts with more members than this is cut by their other bands, and what is larger then goes by its rarest shingles.
+GROUP = 32
 #: Min-hashes of 64 that texts must share to be compared; at a similarity of 0.8 it is 51 on average, below 42 with probability 0.002.
 SHARED = 42
-#: Members that meet all others of a group that two bands in common leave too large.
-LEADS = 8
+#: Members that meet all others of a group of over CROWD texts that two bands in common leave.
+LEADS, CROWD = 8, 128
 
 
 def _within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,7 +240,8 @@ def candidates(members: DataFrame, texts: DataFrame, rows: DataFrame, counted: D
     """Pairs (a, b) of texts of other roots in one group that share SHARED min-hashes; members has (band, tid, root), one row
     per band, texts has (lead, bands, mins). A band of over GROUP members gives way to its pairs with the other bands of each
     text, of which two texts alike by 0.8 share one with probability 0.9996. What is too large then as well has many texts
-    that agree in two bands and more; there LEADS members meet all others, and all go by their rarest shingles (`crowded`)."""
+    that agree in two bands and more; all of these go by their rarest shingles (`crowded`), and over CROWD texts LEADS members
+    meet all others besides."""
     wide = members.join(texts.select(F.col("lead").alias("tid"), "bands", "mins"), "tid")
     each = wide.select(F.col("band").alias("group"), "tid", "root", "bands", "mins", F.col("band").alias("own"))
     sized = lambda r: r.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("group", "n")
@@ -256,8 +257,9 @@ def candidates(members: DataFrame, texts: DataFrame, rows: DataFrame, counted: D
     sizes = stash(sized(two), "sizes")
     few = few.union(two.join(sizes.where(F.col("n") <= GROUP), "group").select(*pick))
     found = few.repartition("group").sortWithinPartitions("group").mapInArrow(_within, "a long, b long")
-    rest = stash(two.join(sizes.where(F.col("n") > GROUP).select("group"), "group").select(*pick), "rest")
-    return stash(found.union(_led(rest)).union(crowded(rest, texts, rows, counted)).distinct(), "candidates")
+    rest = stash(two.join(sizes.where(F.col("n") > GROUP), "group").select(*pick, "n"), "rest")
+    led = _led(rest.where(F.col("n") > CROWD).select(*pick))
+    return stash(found.union(led).union(crowded(rest, texts, rows, counted)).distinct(), "candidates")
 
 
 def _between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
