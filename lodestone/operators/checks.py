@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -101,8 +102,27 @@ def _missing_context(kind: str, task: Column, context: Column) -> Column:
     return task.rlike("(?i)" + REFERENCES[kind]) & ~F.coalesce(named, F.lit(False))
 
 
+#: Columns built in this application; the checkers are thousands of calls into the JVM.
+_BUILT: dict = {}
+
+
+def _once(name: object, build: Callable[[], object]) -> object:
+    """build(), or what it gave before in the same Spark application."""
+    context = SparkContext._active_spark_context
+    if context is None:
+        return build()
+    key = (context.applicationId, name)
+    if key not in _BUILT:
+        _BUILT[key] = build()
+    return _BUILT[key]
+
+
 def standard_checks(names: Sequence[str] | None = None) -> list[Check]:
-    """All checkers, or those named; only what is asked for is built."""
+    """All checkers, or those named; only what is asked for is built, once in an application."""
+    return list(_once(("checks", names if names is None else tuple(names)), lambda: _standard_checks(names)))
+
+
+def _standard_checks(names: Sequence[str] | None) -> list[Check]:
     c = F.col
     task, gold, choices, ev, out, context = c("task"), c("gold"), c("choices"), c("evaluator"), c("output_contract"), c("__context")
     yes, static = F.lit(True), "static_rule"
@@ -192,9 +212,11 @@ def prepared(items: DataFrame) -> DataFrame:
     context = F.coalesce(c("context"), F.create_map().cast("map<string,string>")) if "context" in items.columns else F.create_map().cast("map<string,string>")
     shape = c("task_shape") if "task_shape" in items.columns else F.lit(None).cast("string")
     items = items.withColumns({"__context": context, "__shape": shape})
-    items = items.withColumn("__answers", A.contract(c("evaluator"), c("output_contract"), c("gold"), c("choices"))).withColumn("__gold", A.view(c("gold"), c("choices")))
-    off = F.exists("aliases", lambda a: ~A.accept(a, c("__gold"), c("__answers"), c("choices"), c("evaluator"), c("aliases")))
-    return items.withColumn("__alias_rejected", F.coalesce((c("__answers")["cardinality"] != "set") & off, F.lit(False)))
+    view = _once("prepared", lambda: (
+        A.contract(c("evaluator"), c("output_contract"), c("gold"), c("choices")), A.view(c("gold"), c("choices")),
+        F.coalesce((c("__answers")["cardinality"] != "set") & F.exists("aliases", lambda a: ~A.accept(a, c("__gold"), c("__answers"), c("choices"), c("evaluator"), c("aliases"))), F.lit(False)),
+    ))
+    return items.withColumn("__answers", view[0]).withColumn("__gold", view[1]).withColumn("__alias_rejected", view[2])
 
 
 def with_audit(items: DataFrame, checks: Sequence[Check] | None = None) -> DataFrame:

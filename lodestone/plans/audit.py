@@ -132,8 +132,12 @@ def contract_census(spark, sf_dir):
 
 @query("injected_recall", f"""WITH {MCQ_SQL}, ops AS (SELECT m.*, o.operator, md5('20260713:' || item_id || ':' || o.operator) AS h FROM mcq m CROSS JOIN (VALUES ('remove_task'), ('remove_gold'), ('wrong_gold'), ('duplicate_choice'), ('remove_evaluator')) o(operator)
  WHERE k % 17 <> 0 AND k % 19 <> 0 AND k % 29 <> 0 AND CASE o.operator WHEN 'remove_task' THEN true WHEN 'remove_evaluator' THEN trim(evaluator) <> '' ELSE gold IS NOT NULL END),
-p AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY h, operator) AS rn FROM ops)
-SELECT operator, count(*) AS expected, count(*) AS hits, 1.0::DOUBLE AS recall FROM p WHERE rn <= 2 GROUP BY ROLLUP (operator)""")
+p AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY h, operator) AS rn FROM ops),
+m AS (SELECT operator, CASE operator WHEN 'remove_task' THEN '' ELSE task END AS task, CASE operator WHEN 'remove_gold' THEN NULL WHEN 'wrong_gold' THEN 'Z?' ELSE gold END AS gold,
+ CASE operator WHEN 'duplicate_choice' THEN list_append(choices, choices[1]) ELSE choices END AS choices, CASE operator WHEN 'remove_evaluator' THEN '' ELSE evaluator END AS evaluator FROM p WHERE rn <= 2),
+c AS (SELECT operator, CASE operator WHEN 'remove_task' THEN trim(task) = '' WHEN 'remove_gold' THEN gold IS NULL WHEN 'wrong_gold' THEN gold IS NOT NULL AND NOT (length(gold) = 1 AND ascii(gold) - 65 BETWEEN 0 AND len(choices) - 1) AND NOT list_contains(choices, gold)
+ WHEN 'duplicate_choice' THEN gold IS NOT NULL AND len(list_distinct(list_transform(choices, lambda c: lower(trim(c))))) < len(choices) ELSE trim(evaluator) = '' END AS hit FROM m)
+SELECT operator, count(*) AS expected, count_if(hit)::BIGINT AS hits, count_if(hit)::DOUBLE / count(*) AS recall FROM c GROUP BY ROLLUP (operator)""")
 def injected_recall(spark, sf_dir):
     clean = mcq_items(spark, sf_dir).where("source_row_index % 17 <> 0 and source_row_index % 19 <> 0 and source_row_index % 29 <> 0")
     mutants = metrics.inject(clean, 2)
@@ -240,7 +244,7 @@ def adapter_projection(spark, sf_dir):
     return project(table(spark, sf_dir, "events"), "event_id", [Binding("task", template="{event_type} by {user_id}"), Binding("gold", path="props.$.k", required=True)])
 
 
-@query("choice_tiers", f"WITH {MCQ_SQL} SELECT item_id, 'T1' AS tier, 3::BIGINT AS n FROM mcq WHERE len(list_distinct(choices)) < 3")
+@query("choice_tiers", f"""WITH {MCQ_SQL}, t AS (SELECT item_id, len(choices)::BIGINT AS n, CASE WHEN len(list_distinct(choices)) < len(choices) THEN 'T1' WHEN len(list_distinct(list_transform(choices, lambda c: lower(trim(c))))) < len(choices) THEN 'T2' END AS tier FROM mcq) SELECT item_id, tier, n FROM t WHERE tier IS NOT NULL""")
 def choice_tiers(spark, sf_dir):
     return contracts.choice_tiers(mcq_items(spark, sf_dir))
 
@@ -283,10 +287,43 @@ def workspace_issues(spark, sf_dir):
     return contracts.workspace_issues(rows)
 
 
-@query("solution_leak_lines", r"""WITH p AS (SELECT d.doc_id, list_distinct(list_filter(list_transform(string_split(d.text, chr(10)), lambda s: trim(s)), lambda s: length(s) >= 12 AND regexp_matches(s, '[A-Za-z]') AND NOT regexp_matches(s, '^(#|//|/\*|\*|import |from )'))) AS lines, t.text AS task FROM documents d JOIN documents t ON t.doc_id = d.doc_id - 1)
+#: Whether a line s of code is concrete, in SQL.
+CONCRETE_SQL = r"""length(s) >= 8 AND lower(regexp_replace(s, '\s+', ' ', 'g')) NOT IN ('pass', 'continue', 'break', 'return', 'return none', 'return true', 'return false', 'return 0', 'return 1', 'none', 'true', 'false', 'else:', 'try:', 'finally:')
+ AND NOT regexp_matches(s, '^(#|//|[*])') AND NOT regexp_matches(s, '^[rubfRUBF]*[''"]{3}') AND NOT regexp_matches(s, '^[rubfRUBF]*[''"][^''"]{0,40}[''"]$')
+ AND NOT regexp_matches(lower(regexp_replace(s, '\s+', ' ', 'g')), '^((return )?(none|true|false|[0-9]+([.][0-9]+)?)|(raise|except|elif|if|for|while|with|class|def)[: ]*)$')
+ AND (regexp_matches(s, '[][=().:{},]') OR (len(regexp_extract_all(s, '[A-Za-z_][A-Za-z0-9_]*')) >= 2 AND len(list_filter(regexp_extract_all(s, '[A-Za-z_][A-Za-z0-9_]*'), lambda w: contains(w, '_'))) > 0)
+  OR (len(regexp_extract_all(s, '[A-Za-z_][A-Za-z0-9_]*')) >= 3 AND lower(regexp_extract(s, '[A-Za-z_][A-Za-z0-9_]*')) IN ('and', 'or', 'not', 'is', 'in')))"""
+
+
+@query("solution_leak_lines", rf"""WITH p AS (SELECT d.doc_id, list_distinct(list_filter(list_transform(string_split(d.text, chr(10)), lambda s: trim(s)), lambda s: {CONCRETE_SQL})) AS lines, t.text AS task FROM documents d JOIN documents t ON t.doc_id = d.doc_id - 1)
 SELECT doc_id, len(list_filter(lines, lambda s: contains(task, s)))::INT AS leaked FROM p WHERE len(list_filter(lines, lambda s: contains(task, s))) > 0""")
 def solution_leaks(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     patch = F.array_join(F.transform(F.split("text", "\n"), lambda s: F.concat(F.lit("+ "), s)), "\n")
     pairs = docs.select("doc_id", patch.alias("patch")).join(docs.select((F.col("doc_id") + 1).alias("doc_id"), F.col("text").alias("task")), "doc_id")
     return pairs.select("doc_id", checks.leaked_lines(F.col("patch"), F.col("task"))["leaked"].alias("leaked")).where("leaked > 0")
+
+
+#: Lines of which each kind is decided by another condition.
+PLANTED = ("total = sum(rows)", "import os.path", "# a comment line", "return none", "'a short string'", "finally:", "x=1", "row_count limit", "not yet done here", "plain words only", "def   :", "return 12.50")
+
+
+@query("added_code_lines", rf"""WITH l AS (SELECT p_partkey AS part_id, [{", ".join("'" + x.replace("'", "''") + "'" for x in PLANTED)}][p_partkey % {len(PLANTED)} + 1] AS s, 'part_' || p_partkey || ' = ' || p_size AS own FROM part)
+SELECT part_id, CASE WHEN {CONCRETE_SQL} THEN s || '|' ELSE '' END || own AS lines FROM l""")
+def added_code_lines(spark, sf_dir):
+    key = F.col("p_partkey")
+    planted = F.get(F.array(*[F.lit(x) for x in PLANTED]), (key % len(PLANTED)).cast("int"))
+    own = F.concat(F.lit("part_"), key.cast("string"), F.lit(" = "), F.col("p_size").cast("string"))
+    patch = F.concat(F.lit("--- a/x\n+++ b/x\n-old = 1\n+  "), planted, F.lit("\n context(line)\n+"), own, F.lit("\n+"), own)
+    return table(spark, sf_dir, "part").select(key.alias("part_id"), F.array_join(X.added_lines(patch), "|").alias("lines"))
+
+
+@query("rubric_numbers_planted", """SELECT p_partkey AS part_id, CASE p_partkey % 6 WHEN 0 THEN (1000 + p_size) || '.0' WHEN 1 THEN '58000.0' WHEN 2 THEN p_size || '.5|12.0' WHEN 3 THEN (p_size + 60) || '.0' WHEN 4 THEN '9.0' ELSE '' END AS numbers FROM part""")
+def rubric_numbers_planted(spark, sf_dir):
+    key, size = F.col("p_partkey"), F.col("p_size").cast("string")
+    kinds = (
+        F.concat(F.lit("discount >=50% of 1,"), F.lpad(size, 3, "0"), F.lit(" rows")), F.concat(F.lit("SR-"), size, F.lit(" in 2024年 total 58000")), F.concat(F.lit("item 14 has "), size, F.lit(".5 and 12")),
+        F.concat(F.lit("35%-45% share, "), (F.col("p_size") + 60).cast("string"), F.lit(" rows")), F.concat(F.lit("a"), size, F.lit(".xlsx 9")), F.concat(F.lit("Partner "), size, F.lit(" #1013")),
+    )
+    text = F.get(F.array(*kinds), (key % len(kinds)).cast("int"))
+    return table(spark, sf_dir, "part").select(key.alias("part_id"), F.array_join(F.transform(X.rubric_numbers(text), lambda x: x.cast("string")), "|").alias("numbers"))
