@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.plans import analytics, audit, structured
+from lodestone.plans import analytics, audit, structured, verdicts
 
-ALL = audit.QUERIES | analytics.QUERIES | structured.QUERIES
+ALL = audit.QUERIES | analytics.QUERIES | structured.QUERIES | verdicts.QUERIES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import normalize_loose, normalize_text, parse_number, parse_ratio, split_list
+from lodestone.functions.text import let, normalize_loose, normalize_text, parse_number, parse_ratio, split_list
 
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SENTINEL = "__wrong_answer__"
@@ -56,12 +56,35 @@ def close(a: Column, b: Column, rel: float = 0.0, absolute: float = 1e-9) -> Col
     return F.coalesce(F.abs(a - b) <= F.greatest(F.lit(absolute), rel * F.greatest(F.lit(1.0), F.abs(a), F.abs(b))), F.lit(False))
 
 
+def one_view(gold: Column, choices: Column) -> list[Column]:
+    return [F.trim(gold).alias("plain"), choice_index(gold, choices).alias("index"), parse_number(gold).alias("number"), parse_ratio(gold).alias("ratio"), normalize_loose(gold).alias("loose")]
+
+
 def view(gold: Column, choices: Column) -> Column:
-    """What acceptance reads of a gold answer, as a struct to be computed once per item."""
-    return F.struct(
-        F.trim(gold).alias("plain"), choice_index(gold, choices).alias("index"), parse_number(gold).alias("number"), parse_ratio(gold).alias("ratio"), normalize_loose(gold).alias("loose"),
-        F.array_sort(F.transform(split_list(gold), normalize_loose)).alias("parts"),
-    )
+    """What acceptance reads of a gold answer, as a struct to be computed once per item: its values as one and as a list."""
+    parts = lambda v: F.when(F.size(split_list(gold)) == 1, F.array(v)).otherwise(F.transform(split_list(gold), lambda g: F.struct(*one_view(g, choices))))
+    return let(F.struct(*one_view(gold, choices)), lambda v: F.struct(*[v[n].alias(n) for n in ("plain", "index", "number", "ratio", "loose")], parts(v).alias("parts")))
+
+
+def answer_values(v: Column) -> Column:
+    """The values of a VARIANT answer as texts: entries of a list without null and empty ones, one for a scalar, none for null or ""."""
+    listed = F.when(F.startswith(F.schema_of_variant(v), F.lit("ARRAY")), F.try_variant_get(v, "$", "array<string>"))
+    return F.filter(F.coalesce(listed, F.array(F.try_variant_get(v, "$", "string"))), lambda x: F.coalesce(x != "", F.lit(False)))
+
+
+def match_sets(answers: Column, golds: Column, kind: Column, choices: Column) -> Column:
+    """Whether two arrays of equal size match one to one: each answer, in order, takes the first gold value still free that it passes
+    against. golds are views. Values of loose text pass exactly when they are equal, so these are only sorted; numbers pass within a
+    tolerance, where the order of choosing counts."""
+
+    def take(state: Column, x: Column) -> Column:
+        at = F.array_position(F.transform(state["free"], lambda g: F.coalesce(accept_single(x, g, kind, choices), F.lit(False))), True).cast("int")
+        rest = lambda i: F.when(i > 0, F.concat(F.slice(state["free"], F.lit(1), i - 1), F.slice(state["free"], i + 1, F.size(state["free"])))).otherwise(state["free"])
+        return let(at, lambda i: F.struct(rest(i).alias("free"), (state["ok"] & (i > 0)).alias("ok")))
+
+    greedy = F.aggregate(answers, F.struct(golds.alias("free"), F.lit(True).alias("ok")), take)["ok"]
+    loose = F.array_sort(F.transform(answers, normalize_loose)) == F.array_sort(F.transform(golds, lambda g: g["loose"]))
+    return (F.size(answers) == F.size(golds)) & F.when(kind.isin("choice", "numeric", "ratio", "exact"), greedy).otherwise(loose)
 
 
 def accept_single(answer: Column, gold: Column, kind: Column, choices: Column) -> Column:
@@ -77,14 +100,16 @@ def accept_single(answer: Column, gold: Column, kind: Column, choices: Column) -
 
 
 def accept(answer: Column, gold: Column, answers: Column, choices: Column, evaluator: Column, aliases: Column) -> Column:
-    """Acceptance under a contract struct, against a gold's view: sets of equal size in any order, compounds place by
-    place, else one value; a declared alias helps where the evaluator says so."""
+    """Acceptance under a contract struct, against a gold's view: sets of equal size one to one in any order, compounds place by
+    place (as numbers where both are), else one value; a declared alias helps where the evaluator says so."""
     kind = answers["kind"]
-    as_set = F.array_sort(F.transform(split_list(answer), normalize_loose)) == gold["parts"]
-    a, b = F.split(answer, r"\s*;\s*"), F.split(gold["plain"], r"\s*;\s*")
-    compound = (F.size(a) == F.size(b)) & F.forall(F.zip_with(a, b, lambda x, y: accept_single(x, view(y, choices), kind, choices)), lambda x: x)
+    as_set = match_sets(F.when(F.size(gold["parts"]) > 1, split_list(answer)).otherwise(F.array(answer)), gold["parts"], kind, choices)
+    a, b = (F.filter(F.split(F.trim(x), r"\s*;\s*"), lambda p: F.trim(p) != "") for x in (answer, gold["plain"]))
+    number = lambda x, y: F.when(parse_number(x).isNotNull() & parse_number(y).isNotNull(), F.lit("numeric")).otherwise(kind)
+    placed = lambda x, y: F.coalesce(accept_single(x, F.struct(*one_view(y, choices)), number(x, y), choices), F.lit(False))
+    compound = (F.size(a) == F.size(b)) & F.forall(F.zip_with(a, b, placed), lambda x: x)
     plain = F.when(answers["cardinality"] == "set", as_set).when(answers["cardinality"] == "compound", compound).otherwise(accept_single(answer, gold, kind, choices))
-    alias = F.contains(F.lower(evaluator), F.lit("alias")) & F.exists(aliases, lambda x: accept_single(answer, view(x, choices), kind, choices))
+    alias = F.contains(F.lower(evaluator), F.lit("alias")) & F.exists(aliases, lambda x: accept_single(answer, F.struct(*one_view(x, choices)), kind, choices))
     return F.coalesce(plain, F.lit(False)) | F.coalesce(alias, F.lit(False))
 
 
@@ -102,7 +127,7 @@ def format_variants(gold: Column, answers: Column, choices: Column) -> Column:
     in a sentence where explanations are allowed, with case exchanged, with thousands commas, and as a choice's text or
     label with a period. Null golds have none."""
     text, number, at = F.trim(gold), parse_number(gold), choice_index(gold, choices)
-    parts = F.transform(split_list(gold), F.trim)
+    parts = F.transform(split_list(gold), lambda p: F.trim(p))
     as_set = F.when(F.size(parts) > 1, F.array(F.array_join(F.reverse(parts), ", "), F.array_join(parts, ", "))).otherwise(none_of())
     single = _strings(
         F.when(answers["explains"], F.concat(F.lit("Answer: "), text)), F.when(answers["explains"], F.concat(F.lit("The final answer is "), text, F.lit("."))), F.when(text != "", swapped(text)),

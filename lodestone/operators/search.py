@@ -68,7 +68,7 @@ def grounding_terms(rubric: Column, most: int = 48) -> Column:
     longer words; each once by its letters and digits, in that order, `most` at most."""
     files = r"(?i)\b[\w./ -]+\.(?:md|txt|csv|tsv|xlsx|xls|docx|doc|pdf|pptx|ppt|json|html|htm|png|jpg|jpeg|svg|zip)\b"
     text = spaced(rubric)
-    named = F.flatten(F.transform(F.transform(_all(text, files), F.trim), lambda f: F.array(f, F.regexp_extract(f, r"([^/]*)/*$", 1))))
+    named = F.flatten(F.transform(F.transform(_all(text, files), lambda f: F.trim(f)), lambda f: F.array(f, F.regexp_extract(f, r"([^/]*)/*$", 1))))
     words = F.filter(_all(text, r"[A-Za-z][A-Za-z0-9_-]{4,}|[一-鿿]{2,}"), lambda w: ~F.lower(w).isin(*STOPWORDS))
     every = F.concat(_all(text, r"""[`'"]([^`'"]{2,120})[`'"]""", 1), _with_bare(_all(text, NUMBER)), named, words)
     return let(every, lambda ts: _first_of_each(ts, lambda t: F.regexp_replace(F.lower(t), r"(?U)[\W_]+", ""), most))
@@ -146,7 +146,7 @@ def filename_claims(text: Column) -> Column:
 def format_claims(text: Column) -> Column:
     """array<struct<fragment, extension>>: sentences that ask for an output in exactly one format. Links and quoted file names don't
     count; where several formats are named, PDF as the final form decides."""
-    parts = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"[\r\n]+|(?<=[.!?])\s+"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"[\r\n]+|(?<=[.!?])\s+"), lambda p: F.trim(p)), lambda p: p != "")
 
     def claim(p: Column, i: Column) -> Column:
         plain = F.regexp_replace(F.regexp_replace(p, r"https?://\S+", " "), QUOTED_FILE, " ")
@@ -180,7 +180,7 @@ def _scope(p: Column, source: str) -> Column:
 def column_claims(text: Column, source: str) -> Column:
     """array<struct<fragment, scope, role, column, conditional>>: what a task (source "task") or rubric says about the roles of
     columns. Roles: q2 and q3 (told as a pair), variance, sample_flag. A role and column count once per sentence."""
-    parts = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"[\r\n]+|(?<=[.;])\s+(?=[A-Z0-9])"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"[\r\n]+|(?<=[.;])\s+(?=[A-Z0-9])"), lambda p: F.trim(p)), lambda p: p != "")
     pair_of = lambda p, pattern: F.array(column_token(F.regexp_extract(p, pattern, 1)), column_token(F.regexp_extract(p, pattern, 2)))
     both = lambda xs: F.forall(xs, lambda x: x.isNotNull())
     told = lambda role, column: F.struct(F.lit(role).alias("role"), column.alias("column"))
