@@ -216,7 +216,7 @@ def prepared(items: DataFrame) -> DataFrame:
         A.contract(c("evaluator"), c("output_contract"), c("gold"), c("choices")), A.view(c("gold"), c("choices")),
         F.coalesce((c("__answers")["cardinality"] != "set") & F.exists("aliases", lambda a: ~A.accept(a, c("__gold"), c("__answers"), c("choices"), c("evaluator"), c("aliases"))), F.lit(False)),
     ))
-    return items.withColumn("__answers", view[0]).withColumn("__gold", view[1]).withColumn("__alias_rejected", view[2])
+    return items.withColumn("__answers", view[0]).withColumn("__gold", view[1]).withColumn("__alias_rejected", view[2] if "aliases" in items.columns else F.lit(False))
 
 
 def with_audit(items: DataFrame, checks: Sequence[Check] | None = None) -> DataFrame:
