@@ -61,7 +61,7 @@ _CLASS = {c: letters for letters in NAME_LETTERS for c in letters}
 _LETTER = r"(?:[^\W\d_]|[\u0300-\u036f\u0900-\u0dff])"
 _WORD = rf"(?:[\u4e00-\u9fff]{{2,4}}|[^\W\d_a-zа-яß-öø-ÿα-ώ\u4e00-\u9fff](?:{_LETTER}*(?:[-'’]{_LETTER}{{2,}})+|{_LETTER}+))"
 _INITIAL = r"(?:[^\W\d_a-zа-яß-öø-ÿα-ώ\u4e00-\u9fff]\. ?)"
-_NOT = rf"(?!(?:{NO_NAMES}|{TITLES})\b)"
+_NOT = rf"(?!(?:{NO_NAMES}|{TITLES})\b(?![-'’][^\W\d_a-zа-яß-öø-ÿα-ώ]{_LETTER}))"  # O’Neil and El-Amin begin as such words do
 _GIVEN = "|".join(n for k, names in NAMES.items() if k[1] != "family" for n in names)
 _FAMILY = "|".join(n for k, names in NAMES.items() if k[1] == "family" for n in names)
 PATTERNS = [
