@@ -1,4 +1,4 @@
-"""What the search for near copies by five-word shingles compares: fingerprints, min-hash bands, and exact similarity."""
+"""What the search for near copies by five-word shingles compares: fingerprints, min-hash bands, and exact similarity of all texts of a group."""
 
 from __future__ import annotations
 
@@ -7,10 +7,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm._base import salted_join, slices, stash, text_bytes
+from lodestone.llm._base import connected_components, salted_join, slices, stash, text_bytes
 from lodestone.llm.substring import _mix, _words
 
 WIDTH, LIKE = 5, 0.8
@@ -44,20 +44,17 @@ def shingles(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[int]]:
     return _mix(gram[whole]), np.concatenate([[0], np.cumsum(count)]), keys
 
 
-def bands(gram: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(texts, BANDS) keys of the bands, and a byte of each min-hash; those of texts without shingles say nothing."""
+def bands(gram: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """(texts, BANDS) keys of the bands; those of texts without shingles say nothing."""
     out = np.zeros((len(at) - 1, BANDS), dtype=np.uint64)
-    low = np.zeros((len(at) - 1, BANDS * ROWS), dtype=np.uint8)
     some = np.flatnonzero(np.diff(at))
     if len(some):
         for k in range(BANDS):
             key = np.full(len(some), k + 1, dtype=np.uint64)
             for r in range(k * ROWS, k * ROWS + ROWS):
-                least = np.minimum.reduceat(gram * _TIMES[r] + _PLUS[r], at[some])
-                low[some, r] = (_mix(least) & np.uint64(255)).astype(np.uint8)
-                key = _mix(key * _BASE + least)
+                key = _mix(key * _BASE + np.minimum.reduceat(gram * _TIMES[r] + _PLUS[r], at[some]))
             out[some, k] = key
-    return out, low
+    return out
 
 
 def simhashes(gram: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -72,200 +69,164 @@ def simhashes(gram: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-SKETCH = "tid long, key long, fp long, bands array<long>, mins binary"
+SKETCH = "tid long, key long, fp long, bands array<long>"
 
 
 def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (tid, text): the hash of the text's words, its fingerprint, its bands (none without words), and a byte per min-hash."""
+    """Of (tid, text): the hash of the text's words, its fingerprint and its bands (none without words)."""
     names = [c.split()[0] for c in SKETCH.split(", ")]
     for big in batches:
         for batch in slices([big], "text", 1 << 20):
             if batch.num_rows:
                 gram, at, keys = shingles(text_bytes(batch, "text"))
-                found, low = bands(gram, at)
-                found, some = found.view(np.int64), np.diff(at) > 0
+                found, some = bands(gram, at).view(np.int64), np.diff(at) > 0
                 offsets = np.concatenate([[0], np.cumsum(np.where(some, BANDS, 0))]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(found[some].ravel()))
                 key = pa.array(np.array(keys, dtype=np.uint64).view(np.int64), pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column("tid"), key, pa.array(simhashes(gram, at).view(np.int64)), lists, pa.array([x.tobytes() for x in low])], names)
-
-
-def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for big in batches:
-        for batch in slices([big], "a_text", 1 << 20):
-            n = batch.num_rows
-            if not n:
-                continue
-            gram, at, _ = shingles(text_bytes(batch, "a_text") + text_bytes(batch, "b_text"))
-            near = []
-            for i in range(n):
-                x, y = np.unique(gram[at[i] : at[i + 1]]), np.unique(gram[at[n + i] : at[n + i + 1]])
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                near.append(both >= LIKE * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(near)) for c in "ab"], ["a", "b"])
-
-
-def texts_of(rows: DataFrame, asked: DataFrame, counted: DataFrame) -> DataFrame:
-    """(tid, text) of the texts asked for, each once; rows has (doc_id, tid, text), counted their tid."""
-    return salted_join(rows, asked, "tid", counted).groupBy("tid").agg(F.first("text").alias("text"))
-
-
-def verified(pairs: DataFrame, rows: DataFrame, counted: DataFrame) -> DataFrame:
-    """The pairs (a, b) of texts, by tid, whose shingle sets are alike; rows has (doc_id, tid, text), counted their tid."""
-    pairs = stash(pairs, "pairs")
-    asked = pairs.select(F.col("a").alias("tid")).union(pairs.select("b")).distinct()
-    texts = texts_of(rows, asked, counted)
-    to_b = pairs.select("a", F.col("b").alias("tid"))
-    one = salted_join(pairs.select(F.col("a").alias("tid"), "b"), texts, "tid").select(F.col("tid").alias("a"), F.col("b").alias("tid"), F.col("text").alias("a_text"))
-    got = salted_join(one, texts, "tid", to_b).select("a", F.col("tid").alias("b"), "a_text", F.col("text").alias("b_text"))
-    return stash(got.mapInArrow(_alike, "a long, b long"), "alike")
-
-
-#: A group of texts with more members than this is cut by their other bands, and what is larger then goes by its rarest shingles.
-GROUP = 32
-#: Min-hashes of 64 that texts must share to be compared; at a similarity of 0.8 it is 51 on average, below 42 with probability 0.002.
-SHARED = 42
-#: Members that meet all others of a group of over CROWD texts that two bands in common leave.
-LEADS, CROWD = 8, 128
-
-
-def _within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (group, tid, root, mins), sorted by group, with at most GROUP rows each: pairs of other roots that share enough."""
-
-    def pairs(table: pa.Table) -> pa.RecordBatch:
-        group, tid, root = (table.column(c).to_numpy() for c in ("group", "tid", "root"))
-        mins = np.frombuffer(b"".join(table.column("mins").to_pylist()), dtype=np.uint8).reshape(-1, BANDS * ROWS)
-        cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(group)]
-        a, b = [], []
-        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-            for i in range(lo, hi - 1):
-                near = ((mins[i + 1 : hi] == mins[i]).sum(axis=1) >= SHARED) & (root[i + 1 : hi] != root[i])
-                for j in np.flatnonzero(near).tolist():
-                    a.append(min(tid[i], tid[i + 1 + j]))
-                    b.append(max(tid[i], tid[i + 1 + j]))
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    for table in _whole_groups(batches, "group"):
-        yield pairs(table)
+                yield pa.RecordBatch.from_arrays([batch.column("tid"), key, pa.array(simhashes(gram, at).view(np.int64)), lists], names)
 
 
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (tid, root, text): the distinct shingles of each text."""
+    """Of (tid, text): the number of distinct shingles of each text, and their hashes."""
     for big in batches:
         for batch in slices([big], "text", 1 << 20):
             if batch.num_rows:
                 gram, at, _ = shingles(text_bytes(batch, "text"))
                 own = [np.unique(gram[at[i] : at[i + 1]]) for i in range(batch.num_rows)]
-                row = pa.array(np.repeat(np.arange(batch.num_rows), [len(x) for x in own]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).view(np.int64)), batch.column("tid").take(row), batch.column("root").take(row)], ["gram", "tid", "root"])
-
-
-def _prefix_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (gram, tid, root, place, size), sorted by gram, with at most GROUP rows of a gram: the pairs (a, b) of other roots that can
-    still be alike, if what they share begins with this shingle."""
-
-    def pairs(table: pa.Table) -> pa.RecordBatch:
-        gram, tid, root, place, size = (table.column(c).to_numpy() for c in ("gram", "tid", "root", "place", "size"))
-        cuts = [0, *(np.flatnonzero(np.diff(gram)) + 1).tolist(), len(gram)]
+                yield pa.RecordBatch.from_arrays([batch.column("tid"), pa.array([len(x) for x in own], pa.int64()), pa.array([x.tobytes() for x in own], pa.binary())], ["tid", "size", "grams"])
+
+
+#: Members and shingles of a block; a group that holds more is cut into blocks, of which all pairs are compared.
+GROUP, HELD = 1024, 1 << 21
+#: A group of more blocks than this goes by the bands and links of its members instead.
+BLOCKS = 8
+#: Shingles that more texts of two blocks hold are counted by a product of matrices, others pair by pair.
+OFTEN = 64
+
+
+def alike(sets: list[np.ndarray], first: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs (i < j) of sets of distinct hashes whose Jaccard similarity is LIKE or more; with `first`, those of one of the
+    first sets and one of the others."""
+    n = len(sets)
+    size = np.array([len(x) for x in sets], dtype=np.int64)
+    _, col, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(n), size)
+    order = np.argsort(col, kind="stable")  # owners ascend within a column
+    order = order[often[col[order]] > 1]
+    col, owner, often = col[order], owner[order], often[col[order]]
+    both = np.zeros(n * n, dtype=np.float64 if size.max(initial=0) >= 1 << 24 else np.float32)
+    c, o = col[often <= OFTEN], owner[often <= OFTEN]
+    codes, held = [], 0
+    for lag in range(1, OFTEN):
+        k = np.flatnonzero(c[lag:] == c[: len(c) - lag])
+        if not len(k):
+            break
+        codes.append(o[k] * n + o[k + lag])
+        held += len(k)
+        if held > 1 << 22:
+            both += np.bincount(np.concatenate(codes), minlength=n * n)
+            codes, held = [], 0
+    if codes:
+        both += np.bincount(np.concatenate(codes), minlength=n * n)
+    both = both.reshape(n, n)
+    c, o = col[often > OFTEN], owner[often > OFTEN]
+    c = np.unique(c, return_inverse=True)[1]
+    width = max(256, (1 << 22) // n)
+    for lo in range(0, int(c.max(initial=-1)) + 1, width):
+        a, b = np.searchsorted(c, [lo, lo + width])
+        has = np.zeros((n, width), dtype=both.dtype)
+        has[o[a:b], c[a:b] - lo] = 1
+        both[: first or n, first:] += has[: first or n] @ has[first:].T
+    i, j = np.nonzero(np.triu(both, 1))
+    if first:
+        i, j = i[(i < first) & (j >= first)], j[(i < first) & (j >= first)]
+    near = both[i, j].astype(np.int64) * (1 + LIKE) >= LIKE * (size[i] + size[j]) - 1e-6
+    return i[near], j[near]
+
+
+def forest(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, least row reachable) for the rows that links reach and that aren't least themselves."""
+    label = np.arange(n)
+    while True:
+        least = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, label[a], least)
+        np.minimum.at(new, label[b], least)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    moved = np.flatnonzero(label != np.arange(n))
+    return moved, label[moved]
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (unit, side, tid, grams), sorted by unit and side: a forest over the texts that all alike pairs of a unit link; of a
+    unit with two sides these are pairs of one text of each."""
+    for table in _whole_groups(batches, "unit"):
+        unit, side, tid = (table.column(c).to_numpy() for c in ("unit", "side", "tid"))
+        grams = table.column("grams").to_pylist()
+        cuts = [0, *(np.flatnonzero(np.diff(unit)) + 1).tolist(), len(unit)]
         a, b = [], []
         for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-            i, j = np.triu_indices(hi - lo, 1)
-            i, j = i + lo, j + lo
-            most = np.minimum(size[i] - place[i], size[j] - place[j])
-            fits = (root[i] != root[j]) & (most * (1 + LIKE) >= LIKE * (size[i] + size[j]) - 1e-6)
-            a.append(np.minimum(tid[i[fits]], tid[j[fits]]))
-            b.append(np.maximum(tid[i[fits]], tid[j[fits]]))
-        both = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["a", "b"])
-
-    for table in _whole_groups(batches, "gram"):
-        yield pairs(table)
+            first = hi - lo - int(side[lo:hi].sum())
+            if hi - lo > 1 and first:
+                i, j = forest(*alike([np.frombuffer(x, dtype=np.uint64) for x in grams[lo:hi]], first % (hi - lo)), hi - lo)
+                a.append(tid[lo + i])
+                b.append(tid[lo + j])
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a), pa.int64()), pa.array(np.concatenate(b), pa.int64())], ["a", "b"])
 
 
 def _whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     """The same rows, sorted by key, cut so that no key's rows are apart."""
-    rest = None
+    rest: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
             continue
-        now = pa.Table.from_batches([batch])
-        now = now if rest is None else pa.concat_tables([rest, now])
-        values = now.column(key).to_numpy()
+        values = batch.column(key).to_numpy()
+        last = rest[0].column(key)[0].as_py() if rest else None
         cut = int(np.searchsorted(values, values[-1]))  # the last key may go on
-        if cut:
-            yield now.slice(0, cut)
-        rest = now.slice(cut)
-    if rest is not None:
-        yield rest
+        if cut or rest and last != values[-1]:
+            yield pa.Table.from_batches([*rest, batch.slice(0, cut)])
+            rest = []
+        rest.append(batch.slice(cut))
+    if rest:
+        yield pa.Table.from_batches(rest)
 
 
-def _led(rows: DataFrame) -> DataFrame:
-    """Pairs of LEADS members of each group with all others of other roots that share SHARED min-hashes; rows: group, tid, root, mins."""
-    least = [F.min(F.struct(F.xxhash64(F.lit(salt), "group", "tid").alias("h"), "tid", "root", "mins")) for salt in range(LEADS)]
-    leads = rows.groupBy("group").agg(F.array_distinct(F.transform(F.array(*least), lambda p: F.struct(p["tid"].alias("tid"), p["root"].alias("root"), p["mins"].alias("mins")))).alias("leads"))
-    leads = leads.select("group", F.explode("leads").alias("p")).select("group", F.col("p.tid").alias("lead"), F.col("p.root").alias("other"), F.col("p.mins").alias("its"))
-    met = salted_join(rows, leads, "group").where("root <> other").select("tid", "mins", "lead", "its")
-    return met.mapInArrow(_between, "a long, b long")
+def texts_of(rows: DataFrame, asked: DataFrame, counted: DataFrame) -> DataFrame:
+    """(tid, text) of the texts asked for, each once; rows has (doc_id, tid, text), counted their tid."""
+    return salted_join(rows, asked, "tid", counted).groupBy("tid").agg(F.first("text").alias("text"))
 
 
-def crowded(rest: DataFrame, texts: DataFrame, rows: DataFrame, counted: DataFrame) -> DataFrame:
-    """Pairs (a, b) among texts that agree in much with too many others, found by their rarest shingles.
+def linked(members: DataFrame, rows: DataFrame, counted: DataFrame) -> DataFrame:
+    """(a, b): links of texts, by tid, that connect all alike pairs within a group; members has (group, tid) once each, rows
+    (doc_id, tid, text), counted their tid.
 
-    The shingles of these texts are counted over these texts alone; each text keeps its rarest fifth and one more, in an order that
-    is the same for all. Two texts alike by 0.8 have one of these in common, and the first in common leaves enough behind
-    it in both (prefix and position filter: no loss). Shingles of a template are frequent, and so come last. A shingle that
-    GROUP texts or fewer keep pairs all of them; of more frequent ones, each text's rarest has LEADS members that meet the others.
+    Groups that share texts are compared as one, whose texts move once; where that is over BLOCKS blocks, each for itself.
+    No pair of a group is left out: a group beyond one block is compared block against block. Rows that move are members
+    times blocks, and what a unit returns is a forest over its texts.
     """
-    told = stash(rest.select("tid", "root").distinct(), "crowd")
-    if told.isEmpty():
-        return told.select(F.col("tid").alias("a"), F.col("root").alias("b"))
-    grams = stash(texts_of(rows, told.select("tid"), counted).join(told, "tid").mapInArrow(_grams, "gram long, tid long, root long"), "grams")
-    often = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    order = Window.partitionBy("tid")
-    placed = grams.join(often, "gram", "left").withColumn("n", F.coalesce("n", F.lit(1)))
-    placed = placed.withColumn("place", F.row_number().over(order.orderBy("n", "gram")) - 1).withColumn("size", F.count(F.lit(1)).over(order))
-    kept = stash(placed.where(F.col("n") > 1).where(F.col("place") <= F.col("size") - F.ceil(LIKE * F.col("size") - 1e-6)), "prefix")
-    sizes = stash(kept.groupBy("gram").agg(F.count(F.lit(1)).alias("kept"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("gram", "kept"), "sizes")
-    few = kept.join(sizes.where(F.col("kept") <= GROUP).select("gram"), "gram").select("gram", "tid", "root", "place", "size")
-    met = few.repartition("gram").sortWithinPartitions("gram").mapInArrow(_prefix_pairs, "a long, b long").distinct()
-    mins = texts.select(F.col("lead").alias("tid"), "mins")
-    near = met.join(mins.select(F.col("tid").alias("a"), F.col("mins").alias("mins")), "a").join(mins.select(F.col("tid").alias("b"), F.col("mins").alias("its")), "b")
-    exact = near.select(F.col("a").alias("tid"), "mins", F.col("b").alias("lead"), "its").mapInArrow(_between, "a long, b long")
-    many = kept.join(sizes.where(F.col("kept") > GROUP).select("gram"), "gram").groupBy("tid", "root").agg(F.min(F.struct("n", "gram")).alias("least"))
-    many = stash(many.select(F.col("least.gram").alias("group"), "tid", "root").join(mins, "tid").select("group", "tid", "root", "mins"), "frequent")
-    return exact.union(_led(many))
-
-
-def candidates(members: DataFrame, texts: DataFrame, rows: DataFrame, counted: DataFrame) -> DataFrame:
-    """Pairs (a, b) of texts of other roots in one group that share SHARED min-hashes; members has (band, tid, root), one row
-    per band, texts has (lead, bands, mins). A band of over GROUP members gives way to its pairs with the other bands of each
-    text, of which two texts alike by 0.8 share one with probability 0.9996. What is too large then as well has many texts
-    that agree in two bands and more; all of these go by their rarest shingles (`crowded`), and over CROWD texts LEADS members
-    meet all others besides."""
-    wide = members.join(texts.select(F.col("lead").alias("tid"), "bands", "mins"), "tid")
-    each = wide.select(F.col("band").alias("group"), "tid", "root", "bands", "mins", F.col("band").alias("own"))
-    sized = lambda r: r.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("group", "n")
-    pick = ["group", "tid", "root", "mins"]
-
-    sizes = stash(sized(each), "sizes")
-    few = each.join(sizes.where(F.col("n") <= GROUP), "group").select(*pick)
-    big = each.join(sizes.where(F.col("n") > GROUP), "group")
-    other = F.filter("bands", lambda x: x != F.col("own"))
-    two = big.select("tid", "root", "mins", "own", F.explode(other).alias("x"))
-    two = two.select(F.xxhash64(F.least("own", "x"), F.greatest("own", "x")).alias("group"), "tid", "root", "mins").dropDuplicates(["group", "tid"])
-    two = stash(two, "two")
-    sizes = stash(sized(two), "sizes")
-    few = few.union(two.join(sizes.where(F.col("n") <= GROUP), "group").select(*pick))
-    found = few.repartition("group").sortWithinPartitions("group").mapInArrow(_within, "a long, b long")
-    rest = stash(two.join(sizes.where(F.col("n") > GROUP), "group").select(*pick, "n"), "rest")
-    led = _led(rest.where(F.col("n") > CROWD).select(*pick))
-    return stash(found.union(led).union(crowded(rest, texts, rows, counted)).distinct(), "candidates")
-
-
-def _between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (tid, mins, lead, its): the pairs that share enough min-hashes."""
-    for batch in batches:
-        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(-1, BANDS * ROWS) for c in ("mins", "its"))
-        near = (x == y).sum(axis=1) >= SHARED
-        a, b = (batch.column(c).to_numpy()[near] for c in ("tid", "lead"))
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+    leads = members.groupBy("group").agg(F.min("tid").alias("lead"), F.max("tid").alias("last")).where("lead < last").select("group", "lead")
+    held = stash(salted_join(members, leads, "group"), "held")
+    whole = stash(connected_components(held.select(F.col("lead").alias("a"), F.col("tid").alias("b"))), "joint")
+    grams = stash(texts_of(rows, whole.select(F.col("node").alias("tid")), counted).mapInArrow(_grams, "tid long, size long, grams binary"), "grams")
+    sizes = grams.select("tid", "size")
+
+    def blocks(groups: DataFrame) -> DataFrame:
+        need = groups.join(sizes, "tid").groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+        return stash(need.select("group", F.ceil(F.greatest(F.col("n") / GROUP, F.col("size") / HELD, F.lit(1))).cast("int").alias("blocks")), "blocks")
+
+    joint = whole.select(F.col("root").alias("group"), F.col("node").alias("tid"))
+    cut = blocks(joint)
+    parts = salted_join(joint, cut.where(F.col("blocks") <= BLOCKS), "group").select("group", "tid", "blocks")
+    large = cut.where(F.col("blocks") > BLOCKS).select("group")
+    if not large.isEmpty():
+        within = stash(held.select("group", "tid").join(joint.join(large, "group", "left_semi").select("tid"), "tid", "left_semi"), "large")
+        parts = parts.union(salted_join(within, blocks(within), "group").select("group", "tid", "blocks"))
+    own = F.pmod(F.xxhash64("tid"), F.col("blocks")).cast("int")
+    met = parts.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select(F.xxhash64("group", F.least("own", "other"), F.greatest("own", "other")).alias("unit"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), "tid")
+    got = met.join(grams.select("tid", "grams"), "tid").repartition("unit").sortWithinPartitions("unit", "side").select("unit", "side", "tid", "grams").mapInArrow(_compared, "a long, b long")
+    return stash(got, "alike")

@@ -114,22 +114,6 @@ def index_links(group: np.ndarray, fp: np.ndarray, most: int = 2) -> tuple[np.nd
     return np.concatenate(found_a), np.concatenate(found_b)
 
 
-def _forest(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, least row reachable) for the rows that links reach and that aren't least themselves."""
-    label = np.arange(n)
-    while True:
-        least = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, label[a], least)
-        np.minimum.at(new, label[b], least)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    moved = np.flatnonzero(label != np.arange(n))
-    return moved, label[moved]
-
-
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by node; links go out as a forest per flush, never as all pairs."""
     names = ["a", "b"]
@@ -138,7 +122,7 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group = np.concatenate([[0], np.cumsum((keys[1:] != keys[:-1]).any(axis=1))]) if len(keys) else np.empty(0, np.int64)
         order = np.lexsort((gray_rank(fps), group))
         group, fps = group[order], fps[order]
-        i, j = _forest(*index_links(group, fps), len(fps))
+        i, j = nearcopies.forest(*index_links(group, fps), len(fps))
         return pa.RecordBatch.from_arrays([pa.array(fps[i].view(np.int64)), pa.array(fps[j].view(np.int64))], names)
 
     keys, fps, held = [], [], 0
@@ -213,30 +197,20 @@ def near_copies(docs: DataFrame) -> DataFrame:
     Texts of equal words (A-Z as a-z) link, as do texts whose sets of five-word shingles have a Jaccard similarity of
     0.8 or more. Candidates are texts whose fingerprints the Gray-order index links, at 2 bits or fewer; as bits of
     texts at that similarity differ with probability 0.15 (some 10 of 64), texts that share one of 16 bands of 4
-    min-hashes are candidates too, which a pair at 0.8 fails with probability 0.0002. All are compared by their shingles.
-    Members of a band first meet its least member. Where that leaves several components, all members of different ones are
-    compared by 64 min-hashes, without their texts, and those that share 42 by their shingles. Bands of over 128 members
-    are cut by the texts' other bands first, so comparisons don't grow with the square of a band; what agrees in two bands
-    and is too many still goes by its rarest shingles (`nearcopies.crowded`).
+    min-hashes are candidates too, which a pair at 0.8 fails with probability 0.0002. All texts of a band are compared
+    with each other by their shingles, however many they are (`nearcopies.linked`).
     All texts without words are one class; an empty table gives no rows.
     """
     ship(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), "doc_id").select("doc_id", F.xxhash64("text").alias("tid"), "text")
     keyed = stash(rows.drop("doc_id").mapInArrow(nearcopies.sketches, nearcopies.SKETCH), "sketches")
-    per = stash(keyed.groupBy("key").agg(F.min("tid").alias("lead"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("mins").alias("mins")), "texts")
-    each = per.select("lead", F.explode("bands").alias("band")).withColumnRenamed("lead", "tid")
-    leads = stash(each.groupBy("band").agg(F.min("tid").alias("lead"), F.max("tid").alias("last")).where("lead < last").select("band", "lead"), "leads")
-    held = stash(salted_join(each, leads, "band").select("band", "lead", "tid"), "held")
-    of_print = per.groupBy("fp").agg(F.min("lead").alias("lead"))
-    same = salted_join(per.select("fp", F.col("lead").alias("b")), of_print, "fp").where("lead <> b").select(F.col("lead").alias("a"), "b")
-    linked = near_links(per).join(of_print.select(F.col("fp").alias("a"), F.col("lead").alias("x")), "a").join(of_print.select(F.col("fp").alias("b"), F.col("lead").alias("y")), "b")
-    star = held.where("tid <> lead").select(F.col("lead").alias("a"), F.col("tid").alias("b"))
-    first = stash(star.union(same).union(linked.select(F.least("x", "y"), F.greatest("x", "y"))).distinct(), "star")
-    links = nearcopies.verified(first, rows, keyed)
-    comps = stash(connected_components(links), "components")
-    named = held.join(comps, held["tid"] == comps["node"], "left").select("band", "tid", F.coalesce("root", "tid").alias("root"))
-    mixed = named.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band")
-    more = nearcopies.candidates(stash(named.join(mixed, "band", "left_semi"), "left"), per, rows, keyed).join(first, ["a", "b"], "left_anti")
-    comps = connected_components(links.union(nearcopies.verified(more, rows, keyed)))
-    rooted = per.select("key", "lead").join(comps, per["lead"] == comps["node"], "left").select("key", F.coalesce("root", "lead").alias("root"))
+    per = stash(keyed.groupBy("key").agg(F.min("tid").alias("tid"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "texts")
+    by_band = per.select(F.explode("bands").alias("group"), "tid")
+    by_print = per.select(F.xxhash64(F.lit("fp"), "fp").alias("group"), "tid")
+    of_print = per.groupBy("fp").agg(F.min("tid").alias("tid"))
+    near = near_links(per).join(of_print.select(F.col("fp").alias("a"), F.col("tid").alias("x")), "a").join(of_print.select(F.col("fp").alias("b"), F.col("tid").alias("y")), "b")
+    by_index = near.select(F.xxhash64(F.lit("index"), "a", "b").alias("group"), F.explode(F.array("x", "y")).alias("tid"))
+    members = stash(by_band.union(by_print).union(by_index).distinct(), "members")
+    comps = connected_components(nearcopies.linked(members, rows, keyed))
+    rooted = per.select("key", "tid").join(comps, per["tid"] == comps["node"], "left").select("key", F.coalesce("root", "tid").alias("root"))
     return keyed.select("tid", "key").distinct().join(rooted, "key").select("tid", "root")

@@ -458,6 +458,48 @@ def test_near_copies_behind_a_template(spark):
     assert joined >= 0.98 * 400 and all(len(set(c)) == 1 for c in classes.values())
 
 
+@pytest.mark.parametrize("held", [1 << 21, 3000])
+def test_near_copies_of_a_large_group_lose_no_link(spark, monkeypatch, held):
+    """Brute force: 220 edits of one text, pairs around 0.8, in few blocks and in so many that bands are compared each for itself."""
+    monkeypatch.setattr(simhash.nearcopies, "HELD", held)
+    monkeypatch.setattr(simhash.nearcopies, "GROUP", 64)
+    rng = random.Random(23)
+    base, texts = [f"c{i}" for i in range(300)], []
+    for i in range(220):
+        w = list(base)
+        for _ in range(rng.choice((2, 3, 4, 5, 6))):
+            w[rng.randrange(len(w))] = f"e{rng.randrange(40)}"
+        texts.append(" ".join(w))
+    sets = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    root = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if len(a & b) >= 0.8 * len(a | b) and root[i] != root[j]:
+                x, y = sorted((root[i], root[j]))
+                root = [x if r == y else r for r in root]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    tid = {r["t"]: r["doc_id"] for r in docs.select("doc_id", F.xxhash64("text").alias("t")).collect()}
+    got, want = collections.defaultdict(list), collections.defaultdict(list)
+    for r in simhash.near_copies(docs).collect():
+        got[r["root"]].append(tid[r["tid"]])
+    for i, r in enumerate(root):
+        want[r].append(i)
+    assert 20 < len(want) < 200 and sorted(sorted(g) for g in got.values()) == sorted(want.values())
+
+
+def test_alike_sets_are_all_found(monkeypatch):
+    """All pairs at 0.8 and more, exact at the limit, by counts of pairs and by products, of one side and of two."""
+    rng = np.random.default_rng(3)
+    pool = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([pool[:180], rng.choice(pool[180:], 26, replace=False)])) for _ in range(150)] + [pool[:80], pool[:100], pool[:64], pool[399:]]
+    want = [(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if 10 * len(np.intersect1d(sets[i], sets[j])) >= 8 * len(np.union1d(sets[i], sets[j]))]
+    assert (150, 151) in want and (150, 152) in want and 100 < len(want) < 11_000
+    for often in (1, 8, 64, 1000):
+        monkeypatch.setattr(simhash.nearcopies, "OFTEN", often)
+        assert sorted(zip(*(x.tolist() for x in simhash.nearcopies.alike(sets)), strict=True)) == want
+        assert sorted(zip(*(x.tolist() for x in simhash.nearcopies.alike(sets, 70)), strict=True)) == [(i, j) for i, j in want if i < 70 <= j]
+
+
 def test_no_entity_of_any_script_stays():
     make = pii.Surrogates(b"k")
     names = "Mr 王小明|Dr Αλέξανδρος Παπαδόπουλος|Frau Müller|Mr Łukasz Żółty|Prof דוד כהן|Dr محمد علي|Mr 김철수|Dr राम शर्मा|Mrs Katarzyna Nowak|Госпожа Ёлкина|Ms Anna-Maria O’Neil"
