@@ -802,3 +802,16 @@ def test_leaks_go_by_text(spark):
     rows = [(None, item), (None, "clean words"), (1, item), (1, "other clean words"), (2, None)]
     left = c.drop_leaks(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()
     assert sorted(map(str, left)) == sorted(str(r) for r in spark.createDataFrame([rows[1], rows[3], rows[4]], "doc_id long, text string").collect())
+
+
+def test_covered_holder_meets_the_uncovered(spark):
+    """Three hold 40 words; one of them shares a passage with each of the others, by words without seeds on either side, the others none."""
+    rng = random.Random(29)
+    broken = lambda words: [w if i % 5 else f"x{rng.getrandbits(40):x}" for i, w in enumerate(words)]
+    rows = []
+    for k in range(6):
+        head, run, tail = ([f"w{rng.getrandbits(40):x}" for _ in range(n)] for n in (20, 40, 20))
+        own = lambda: [f"v{rng.getrandbits(40):x}" for _ in range(30)]
+        rows += [(10 * k, " ".join([*own(), *run, *broken(tail), *own()])), (10 * k + 1, " ".join([*own(), *head, *run, *tail, *own()])), (10 * k + 2, " ".join([*own(), *broken(head), *run, *own()]))]
+    got = {r["doc_id"]: r for r in substring.duplicated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [(got[10 * k + j]["component_id"], got[10 * k + j]["n_links"]) for k in range(6) for j in range(3)] == [(10 * k, n) for k in range(6) for n in (1, 2, 1)]
