@@ -12,7 +12,7 @@ from compare import connect, same
 from pyspark.sql import functions as F
 
 from lodestone.llm import chat, decontam, fingerprints, mixing, pii, queries, sharding, simhash, substring, tokens, toxicity
-from lodestone.llm._base import connected_components, word_count
+from lodestone.llm._base import connected_components, salted_join, word_count
 
 SF = "/root/testdata/sf0.001"
 WORDS = [f"w{i}" for i in range(400)]
@@ -815,3 +815,18 @@ def test_covered_holder_meets_the_uncovered(spark):
         rows += [(10 * k, " ".join([*own(), *run, *broken(tail), *own()])), (10 * k + 1, " ".join([*own(), *head, *run, *tail, *own()])), (10 * k + 2, " ".join([*own(), *broken(head), *run, *own()]))]
     got = {r["doc_id"]: r for r in substring.duplicated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [(got[10 * k + j]["component_id"], got[10 * k + j]["n_links"]) for k in range(6) for j in range(3)] == [(10 * k, n) for k in range(6) for n in (1, 2, 1)]
+
+
+def test_hub_keys_take_no_second_join(spark, capsys):
+    """Rows of hub keys are told by the keys themselves: one join in the plan, each row through it once, the rows of a plain join."""
+    big = spark.range(6000).select((F.col("id") % 3000 * (F.col("id") % 2)).alias("k"), "id").union(spark.createDataFrame([(None, -1)], "k long, id long"))
+    small = spark.createDataFrame([(0, "a"), (1, "b"), (1, "c"), (None, "d"), (2, "e")], "k long, v string")
+    got = salted_join(big, small, "k")
+    capsys.readouterr()
+    got.explain()  # before it runs, so that one plan is told
+    assert len(re.findall("Join", capsys.readouterr().out)) == 1
+    assert got.columns == ["k", "id", "v"] and got.count() > 3000 and same_rows(got, big.join(small, "k"))
+
+
+def same_rows(a, b):
+    return sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
