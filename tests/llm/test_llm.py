@@ -830,3 +830,38 @@ def test_hub_keys_take_no_second_join(spark, capsys):
 
 def same_rows(a, b):
     return sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
+def test_uncovered_texts_meet_once(spark, monkeypatch):
+    """Three texts hold 40 words, some hundred pairs of seeds, and no passage of the first: they meet as a class, not once for each pair."""
+    rng, rows, held = random.Random(31), [], []
+    new = lambda n: [f"w{rng.getrandbits(40):x}" for _ in range(n)]
+    run, tail = new(40), new(20)
+    rows = [(0, " ".join([*new(30), *run, *new(30)])), (1, " ".join([*new(30), *run, *tail])), (2, " ".join([*new(30), *run, *tail, *new(30)]))]
+    real = substring.stash
+
+    def stash(df, name):
+        out = real(df, name)
+        held.extend([out.count()] * (name == "open"))
+        return out
+
+    monkeypatch.setattr(substring, "stash", stash)
+    got = {r["doc_id"]: r["component_id"] for r in substring.duplicated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: 0, 1: 1, 2: 1} and len(held) == 1 and held[0] <= 12, held
+
+
+def test_met_links_are_those_of_all_pairs(spark):
+    """Brute force: uncovered holders meet all others, their k-th place the others' k-th, from the first again after the last."""
+    rng, rows = random.Random(37), []
+    for pair in range(120):
+        texts = sorted(rng.sample(range(9), rng.choice((1, 2, 3, 3, 5))))
+        for t in texts if pair % 3 else (2, 5, 7):
+            places = sorted(rng.sample(range(40), rng.choice((1, 1, 2, 3)))) if pair % 4 else [10 * t]
+            rows.append((pair, pair // 6, t, places, t in (2, 4) if pair % 3 == 0 else rng.random() < 0.4))
+    want = set()
+    for p, _, t, xs, bare in rows:
+        for q, _, u, ys, too in rows:
+            if p == q and t != u and bare and (not too or t > u):
+                want |= {(t, u, x, ys[k % len(ys)]) for k, x in enumerate(xs)}
+    got = [tuple(r) for r in substring._met(spark.createDataFrame(rows, "pair long, seed long, tid long, places array<int>, bare boolean")).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
