@@ -865,3 +865,20 @@ def test_met_links_are_those_of_all_pairs(spark):
                 want |= {(t, u, x, ys[k % len(ys)]) for k, x in enumerate(xs)}
     got = [tuple(r) for r in substring._met(spark.createDataFrame(rows, "pair long, seed long, tid long, places array<int>, bare boolean")).collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_words_of_the_other_text_count_once():
+    """Brute force: of some 50 words of a, how many b has, each word of b counted for one of a."""
+    path = [(60, 65, 0)]
+    assert not substring.may_hold([1] * 120, [*range(100, 160), *[1] * 12, *range(200, 248)], path)
+    rng, held = random.Random(41), 0
+    for _ in range(500):
+        ha, hb = ([rng.randrange(80) if rng.random() < 0.5 else rng.randrange(most) for _ in range(rng.randrange(40, 160))] for most in (6, 9))
+        x, y = rng.randrange(len(ha)), rng.randrange(len(hb))
+        near, there = collections.Counter(hb[max(0, y - substring.MARGIN) : y + substring.REACH + substring.MARGIN + 1]), ha[max(0, x - substring.MARGIN) : x + substring.REACH + substring.MARGIN + 1]
+        runs = [collections.Counter(there[i : i + substring.MIN_WORDS]) for i in range(len(there) - substring.MIN_WORDS + 1)]
+        best = max((sum(min(n, near[w]) for w, n in run.items()) for run in runs), default=-1)
+        want = best >= substring.MIN_WORDS - 2 * substring.MIN_WORDS * (1 - substring.IDENTITY) - 1e-9
+        held += want
+        assert substring.may_hold(ha, hb, [(x, x, x - y)]) == want
+    assert 50 < held < 450
