@@ -90,7 +90,8 @@ def impact(before: DataFrame, after: DataFrame) -> DataFrame:
 
 def rank_correlations(pairs: DataFrame) -> DataFrame:
     """(n, tau_a, tau_b, spearman, pearson, flips) of columns x and y of one row per system. Systems are few by nature: the
-    self-join over a < b runs on one row per system."""
+    self-join over a < b runs on one row per system. Where all systems tie in x or y, tau_b, spearman and pearson aren't
+    defined and are NaN, as in SQL; of less than two systems tau_a, tau_b and flips are null."""
     a, b = pairs.select(F.col("system_id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay")), pairs.select(F.col("system_id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"))
     s = F.signum(F.col("ax") - F.col("bx")) * F.signum(F.col("ay") - F.col("by"))
     two = a.join(b, F.col("a") < F.col("b")).agg(
@@ -98,8 +99,11 @@ def rank_correlations(pairs: DataFrame) -> DataFrame:
     )
     mean_rank = lambda c: F.rank().over(Window.orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy(c)) - 1) / 2
     one = pairs.select("x", "y", mean_rank("x").alias("rx"), mean_rank("y").alias("ry")).agg(F.count(F.lit(1)).alias("n"), safe_corr("rx", "ry").alias("spearman"), safe_corr("x", "y").alias("pearson"))
-    n = F.col("pairs")
-    return one.join(F.broadcast(two)).select("n", (F.col("s") / n).alias("tau_a"), (F.col("s") / F.sqrt((n - F.col("tx")) * (n - F.col("ty")))).alias("tau_b"), "spearman", "pearson", "flips")
+    nan = lambda c: F.when(F.col("n") > 0, F.coalesce(c, F.lit(float("nan")))).alias(c)
+    n = F.col("pairs").cast("double")
+    untied = F.sqrt((n - F.col("tx")) * (n - F.col("ty")))
+    tau_b = F.when(untied > 0, F.col("s") / untied).when(n > 0, F.lit(float("nan")))
+    return one.join(F.broadcast(two)).select("n", F.when(n > 0, F.col("s") / n).alias("tau_a"), tau_b.alias("tau_b"), nan("spearman"), nan("pearson"), F.when(n > 0, F.col("flips")).alias("flips"))
 
 
 def method_overlap(flags: DataFrame) -> DataFrame:

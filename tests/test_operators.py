@@ -1,9 +1,10 @@
 import json
+import math
 
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import checks, evidence, tables
+from lodestone.operators import checks, evidence, responses, tables
 from lodestone.sources import readers
 from lodestone.streaming import audit as streaming
 
@@ -110,3 +111,16 @@ def test_windowed_counts(spark):
     events = streaming.replay(spark, "/root/testdata/sf0.001", "events")
     streaming.run_once(streaming.windowed_counts(events), "counted", "complete")
     assert spark.table("counted").agg(F.sum("n")).first()[0] == spark.read.parquet("/root/testdata/sf0.001/events.parquet").count()
+
+
+def test_rank_correlations_of_ties(spark):
+    of = lambda rows: responses.rank_correlations(spark.createDataFrame(rows, "system_id string, x double, y double")).first()
+    for rows in ([("a", 4.4, 1.0), ("b", 4.4, 2.0), ("c", 4.4, 3.0)], [("a", 4.4, 4.5), ("b", 4.4, 4.5), ("c", 4.4, 4.5)]):  # all systems tie
+        r = of(rows)
+        assert (r["n"], r["tau_a"], r["flips"]) == (3, 0, 0) and all(math.isnan(r[c]) for c in ("tau_b", "spearman", "pearson"))
+    one = of([("a", 1.0, 2.0)])
+    assert (one["n"], one["tau_a"], one["tau_b"], one["flips"]) == (1, None, None, None)
+    none = of([])
+    assert (none["n"], none["tau_a"], none["tau_b"], none["spearman"], none["pearson"], none["flips"]) == (0, None, None, None, None, None)
+    r = of([("a", 1.0, 2.0), ("b", 1.0, 1.0), ("c", 2.0, 3.0)])
+    assert r["tau_a"] == pytest.approx(2 / 3) and r["tau_b"] == pytest.approx(2 / math.sqrt(6)) and r["flips"] == 0
