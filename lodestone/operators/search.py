@@ -91,28 +91,40 @@ def snippets(text: Column, terms: Column, before: int = 40, after: int = 60) ->
 WORDS = r"[\p{L}\p{N}]+"
 
 
+def folded(x: Column) -> Column:
+    """Lower case, letter by letter: any capital sigma is a medial one, a dotted capital I a plain i, so that words don't depend on
+    what stands around them and places stay."""
+    return F.lower(F.replace(F.replace(F.coalesce(x, F.lit("")), F.lit("Σ"), F.lit("σ")), F.lit("İ"), F.lit("i")))
+
+
+def words(x: Column) -> Column:
+    """Runs of letters and digits in lower case."""
+    return _all(folded(x), WORDS)
+
+
 def phrase_hits(documents: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term_id, doc_id, hits, at, snippet): documents that hold a term as a run of whole words, ignoring case and whatever stands
-    between the words; hits counts the runs that don't overlap, at is the first one's place.
+    """(term_id, doc_id, hits, at, snippet): documents that hold a term as a run of whole words, ignoring case (of all scripts) and
+    whatever stands between the words; hits counts the runs that don't overlap, at is the first one's place.
 
     A posting table (word, document) of the terms' own words is built in one pass over the texts; it gives each word's
-    frequency, and a term is joined on its rarest word alone, so that frequent words never become keys. Only the documents
+    frequency, and a phrase is joined on its rarest word alone, so that frequent words never become keys. Only the documents
     found so are read again, to verify and to cut the context. Words of equal frequency: the first by name. Terms without
-    words find nothing; null texts hold nothing; a repeated doc_id is a document each time, and its hits repeat.
+    words find nothing; null texts hold nothing; a repeated doc_id is a document each time, and its hits repeat; so do those of
+    a repeated term. Null ids are ids like others.
     """
-    words = lambda c: _all(F.lower(F.coalesce(c, F.lit(""))), WORDS)
-    wanted = terms.select("term_id", "term", words(F.col("term")).alias("words")).where("size(words) > 0")
-    vocabulary = wanted.select(F.explode("words").alias("word")).distinct()
+    wanted = terms.select("term_id", words(F.col("term")).alias("words")).where("size(words) > 0")
+    phrases = wanted.select("words").distinct()
+    vocabulary = phrases.select(F.explode("words").alias("word")).distinct()
     postings = documents.select("doc_id", F.explode(F.array_distinct(words(F.col("text")))).alias("word")).join(vocabulary, "word", "left_semi")
     rarity = postings.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    ranked = wanted.select("term_id", "words", F.explode(F.array_distinct("words")).alias("word")).join(rarity, "word", "left")
-    key = ranked.groupBy("term_id", "words").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word")).alias("least")).where("least.n > 0")
-    pairs = key.select("term_id", "words", F.col("least.word").alias("word")).join(postings, "word").select("term_id", "words", "doc_id").distinct()
-    found = pairs.join(documents.select("doc_id", "text"), "doc_id")
-    run = F.concat(F.lit(r"(?i)(?<![\p{L}\p{N}])"), F.array_join("words", r"[^\p{L}\p{N}]+"), F.lit(r"(?![\p{L}\p{N}])"))
-    met = found.withColumn("hits", F.regexp_count("text", run)).where("hits > 0").withColumn("at", F.regexp_instr("text", run) - 1)
+    ranked = phrases.select("words", F.explode(F.array_distinct("words")).alias("word")).join(rarity, "word", "left")
+    key = ranked.groupBy("words").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word")).alias("least")).where("least.n > 0")
+    pairs = key.select("words", F.col("least.word").alias("word")).join(postings, "word").select("words", F.col("doc_id").alias("id")).distinct()
+    found = pairs.join(documents.select("doc_id", "text"), F.col("id").eqNullSafe(F.col("doc_id"))).withColumn("low", folded(F.col("text")))
+    run = F.concat(F.lit(r"(?<![\p{L}\p{N}])"), F.array_join("words", r"[^\p{L}\p{N}]+"), F.lit(r"(?![\p{L}\p{N}])"))
+    met = found.withColumn("hits", F.regexp_count("low", run)).where("hits > 0").withColumn("at", F.regexp_instr("low", run) - 1)
     around = lambda at: F.translate(F.substr(F.col("text"), F.greatest(at - 40, F.lit(0)) + 1, at + 60 - F.greatest(at - 40, F.lit(0))), "\n", " ")
-    return met.select("term_id", "doc_id", "hits", "at", around(F.col("at")).alias("snippet"))
+    return met.join(wanted, "words").select("term_id", "doc_id", "hits", "at", around(F.col("at")).alias("snippet"))
 
 
 def filename_claims(text: Column) -> Column:

@@ -186,6 +186,13 @@ def test_phrase_hits(spark):
     assert search.phrase_hits(docs, terms.limit(0)).count() == 0 and search.phrase_hits(docs.limit(0), terms).count() == 0
 
 
+def test_phrase_hits_ignore_the_case_of_all_scripts(spark):
+    docs = spark.createDataFrame([(1, "Le Éai ÉONLEEAU, éai Éonleeau"), (2, "ΟΔΟΣ.Α οδοσ"), (None, "İZ, iz ÖL"), (4, "DIE STRAẞE")], "doc_id long, text string")
+    terms = spark.createDataFrame([(1, "éai éonleeau"), (2, "ΟΔΟΣ"), (3, "İz"), (4, "Öl"), (4, "öL"), (None, "straße")], "term_id long, term string")
+    got = sorted(((r["term_id"], r["doc_id"], r["hits"], r["at"]) for r in search.phrase_hits(docs, terms).collect()), key=str)
+    assert got == [(1, 1, 2, 3), (2, 2, 2, 0), (3, None, 2, 0), (4, None, 1, 7), (4, None, 1, 7), (None, 4, 1, 4)]
+
+
 def test_filename_and_format_claims(spark):
     texts = [
         "Use the attached file 'in.xlsx' and save the result as 'out/final.v2.docx'.", "There is 'x.csv' here.", "Based on 'copy.pdf' return 'copy.pdf'", None, "",
