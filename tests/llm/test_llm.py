@@ -882,3 +882,31 @@ def test_words_of_the_other_text_count_once():
         held += want
         assert substring.may_hold(ha, hb, [(x, x, x - y)]) == want
     assert 50 < held < 450
+
+
+def test_only_what_no_passage_covers_meets(spark, monkeypatch):
+    """A passage that many texts hold anywhere is covered up to its last word, and runs of one word too short for a passage are no pairs of seeds: nothing meets.
+    Longer runs and runs that go over into the same words do share passages."""
+    rng, held = random.Random(43), []
+    new = lambda n: [f"w{rng.getrandbits(40):x}" for _ in range(n)]
+    passage = new(57)
+    rows = [(i, " ".join([*new(30 + i), *passage, *new(30)])) for i in range(12)]
+    rows += [(100 + i, " ".join([*new(60), *["of"] * (20 + i), *new(30)])) for i in range(20)]
+    real = substring.stash
+
+    def stash(df, name):
+        out = real(df, name)
+        held.extend([out.count()] * (name == "open"))
+        return out
+
+    monkeypatch.setattr(substring, "stash", stash)
+    got = {r["doc_id"]: r for r in substring.duplicated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert held == [0]
+    assert all(got[i]["component_id"] == 0 and got[i]["dup_bytes"] >= len(" ".join(passage)) for i in range(12))
+    assert all(got[100 + i]["component_id"] == 100 + i and got[100 + i]["n_links"] == 0 for i in range(20))
+    end = new(12)
+    rows = [(i, " ".join([*new(20), *["the"] * n, *new(20)])) for i, n in enumerate((50, 53, 70, 131))]
+    rows += [(10 + i, " ".join([*new(20), *["and"] * n, *end, *new(20)])) for i, n in enumerate((39, 42, 46))]
+    got = {r["doc_id"]: r for r in substring.duplicated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: got[i]["component_id"] for i in (0, 1, 2, 3, 10, 11, 12)} == {0: 0, 1: 0, 2: 0, 3: 0, 10: 10, 11: 10, 12: 10}
+    assert all(got[i]["dup_bytes"] >= len(" ".join(["the"] * n)) for i, n in enumerate((50, 53, 70, 131)))
